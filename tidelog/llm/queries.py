@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, license_scan
 from .chat_format import chat_format, read_back
 from .common import LONG_MAX, read
 from .decontaminate import scan
+from .importance import importance_resample
 from .jaccard_join import membership
 from .line_dedup import line_dedup
 from .mix import mix
@@ -23,6 +24,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_format(turns))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.license_scan(docs, license_scan.train(docs))
+    return found.select("doc_id", "n_paragraphs", F.size("license_at").cast("bigint").alias("n_license_paragraphs"), F.array_join("licenses", ",").alias("licenses"), "license_score")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +54,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership(read(spark, sf_dir, "documents")).select(F.when(F.col("_id") < LONG_MAX, F.col("_id")).alias("doc_id"), "n_shingles", "component_id")
 
 
+def op8_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resample(docs, read(spark, sf_dir, "labels")).select("doc_id", "log_ratio", "gumbel_key", "kept")
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -56,4 +68,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_mix_sources, op4_decontaminate, op5_quality_rules, op6_language_id, op7_jaccard_join, op9_token_count, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_mix_sources, op4_decontaminate, op5_quality_rules, op6_language_id, op7_jaccard_join, op8_importance_resample, op9_token_count, op10_line_dedup)}
