@@ -7,6 +7,7 @@ the whole of ``namespace.table.column`` (any of the source's names for the table
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterable, Sequence
@@ -108,6 +109,7 @@ def md2(data: bytes) -> str:
     return bytes(state[:16]).hex()
 
 
+@functools.cache
 def _pi_table() -> list[int]:
     """A permutation of 0..255 by a Durstenfeld shuffle whose random numbers are the decimal digits of pi."""
     digits = iter(_pi_digits(3_000))

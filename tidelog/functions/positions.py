@@ -46,6 +46,25 @@ def sort_key(family: str, **fields: Column | str) -> Column:
     return F.struct(*lead, stream, serial)
 
 
+def behind(columns, values, inclusive: bool = False) -> Column:
+    """Lexicographic comparison of columns with literal values, as a disjunction: it coerces types and reaches the scan."""
+    out, same = F.lit(False), F.lit(True)
+    for name, value in zip(columns, values, strict=True):
+        out = out | (same & (F.col(name) > value))
+        same = same & (F.col(name) == value)
+    bound = F.col(columns[0]) >= values[0]
+    return bound & (out | same if inclusive else out)
+
+
+def upto(columns, values) -> Column:
+    """The columns are at or before the literal values."""
+    out, same = F.lit(False), F.lit(True)
+    for name, value in zip(columns, values, strict=True):
+        out = out | (same & (F.col(name) < value))
+        same = same & (F.col(name) == value)
+    return (F.col(columns[0]) <= values[0]) & (out | same)
+
+
 def is_after(a: Column, b: Column) -> Column:
     return a > b
 

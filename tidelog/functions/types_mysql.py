@@ -53,7 +53,7 @@ def time_text(micros: Column) -> Column:
     seconds, fraction = F.floor(m / 1_000_000).cast("bigint"), (m % 1_000_000).cast("bigint")
     hours = F.floor(seconds / 3600).cast("bigint").cast("string")
     clock = F.concat_ws(":", F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours), *[F.lpad(x.cast("bigint").cast("string"), 2, "0") for x in (F.floor(seconds / 60) % 60, seconds % 60)])
-    return F.concat(F.when(micros < 0, "-").otherwise(""), clock, F.when(fraction > 0, F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))).otherwise(""))
+    return F.when(micros.isNotNull(), F.concat(F.when(micros < 0, "-").otherwise(""), clock, F.when(fraction > 0, F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))).otherwise("")))
 
 
 def _labels(values: Sequence[str]) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def typed(text: Column, spark_type: str) -> tuple[Column, Column]:
@@ -182,12 +183,12 @@ def parse_array(text: str | None, delimiter: str = ",") -> list | None:
         return None
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def hstore(texts: pd.Series) -> pd.Series:
     return texts.map(parse_hstore)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def array(texts: pd.Series) -> pd.Series:
     """One-dimensional arrays; inner arrays come back as JSON text."""
     import json

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.positions import behind, upto
 from .ordering import global_ordinal
 
 MODES = ("initial", "never", "when_needed")
@@ -49,21 +50,9 @@ def initial_snapshot(tables: Sequence[tuple[str, DataFrame, str]], anchor: int)
     return out.select("table", "pk", F.lit("r").alias("op"), F.lit(anchor).cast("bigint").alias("lsn"), (F.col("_before") + F.col("_in_table")).cast("bigint").alias("event_serial"))
 
 
-def key_after(columns: Sequence[str], values: Sequence) -> Column:
-    """Keyset bound: the key lies behind ``values``.
-
-    The struct comparison decides; the bound on the leading column says the same in a form that reaches the Parquet scan.
-    """
-    return (F.col(columns[0]) >= F.lit(values[0])) & (F.struct(*columns) > F.struct(*[F.lit(v) for v in values]))
-
-
-def key_upto(columns: Sequence[str], values: Sequence) -> Column:
-    return (F.col(columns[0]) <= F.lit(values[0])) & (F.struct(*columns) <= F.struct(*[F.lit(v) for v in values]))
-
-
 def next_chunk(table: DataFrame, key: Sequence[str], after: Sequence | None, maximum: Sequence, size: int, condition: str | None = None) -> DataFrame:
     """The next ``size`` rows by key, behind ``after`` and not beyond ``maximum``."""
-    bound = key_upto(key, maximum) if after is None else key_after(key, after) & key_upto(key, maximum)
+    bound = upto(key, maximum) if after is None else behind(key, after) & upto(key, maximum)
     rows = table.filter(bound)
     return (rows.filter(F.expr(condition)) if condition else rows).orderBy(*key).limit(size)
 

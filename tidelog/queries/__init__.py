@@ -1,4 +1,4 @@
 from .registry import QUERIES, SQL
-from . import ordering  # noqa: F401
+from . import encode, logs, ordering, snapshot, types  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

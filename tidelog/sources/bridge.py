@@ -15,16 +15,25 @@ from ..functions.types_doc import bridge_micros
 from ..model import COMMIT, DATA, HEARTBEAT, SNAPSHOT_COMPLETE
 
 
-def _get(doc: Column, path: str) -> Column:
-    return F.get_json_object(doc, path)
+#: The parts of an envelope that are read; objects stay JSON text.
+PAYLOAD = (
+    "before string, after string, op string, status string, ddl string, transaction struct<id:string>, source struct<connector:string,db:string,`schema`:string,`table`:string,collection:string,"
+    "snapshot:string,ts_ns:string,ts_us:string,ts_ms:string,txId:string,server_transaction_id:string,vgtid:string>"
+)
 
 
 def unwrap(doc: Column, layers: int = 4) -> Column:
-    """Takes off ``data`` (next to ``specversion``), ``payload`` (next to ``schema``), and string layers."""
+    """Takes off ``data`` (next to ``specversion``), ``payload`` (next to ``schema``), and string layers.
+
+    Each layer is bound by a lambda, or the expression would double with every layer.
+    """
+
+    def layer(d: Column) -> Column:
+        wrap = F.from_json(F.when(d.startswith('"'), F.concat(F.lit('{"text":'), d, F.lit("}"))).otherwise(d), "text string, specversion string, data string, `schema` string, payload string")
+        return F.transform(F.array(wrap), lambda w: F.when(w["text"].isNotNull() & d.startswith('"'), w["text"]).when(w["specversion"].isNotNull() & w["data"].isNotNull(), w["data"]).when(w["schema"].isNotNull() & w["payload"].isNotNull(), w["payload"]).otherwise(d))[0]
+
     for _ in range(layers):
-        has_spec, has_schema = _get(doc, "$.specversion").isNotNull(), doc.rlike('"schema"\\s*:') & _get(doc, "$.payload").isNotNull()
-        quoted = doc.startswith('"')
-        doc = F.when(quoted, _get(F.concat(F.lit('{"s":'), doc, F.lit("}")), "$.s")).when(has_spec & _get(doc, "$.data").isNotNull(), _get(doc, "$.data")).when(has_schema, _get(doc, "$.payload")).otherwise(doc)
+        doc = F.transform(F.array(doc), layer)[0]
     return doc
 
 
@@ -44,31 +53,23 @@ def decode(docs: DataFrame, doc: str = "doc", record_id: Column | None = None, c
     A document of another connector is marked in ``problem``. The boundary is a
     transaction's END, then a snapshot's last record, then data, then a heartbeat.
     """
-    out = docs.withColumn("payload", unwrap(F.col(doc)))
-    p = F.col("payload")
-    src = lambda name: _get(p, f"$.source.{name}")
-    op, status = _get(p, "$.op"), _get(p, "$.status")
-    is_data = op.isNotNull()
-    snapshot = src("snapshot")
-    boundary = F.when(status == "END", COMMIT).when(is_data & (snapshot == "last"), SNAPSHOT_COMPLETE).when(is_data | _get(p, "$.ddl").isNotNull(), DATA).otherwise(HEARTBEAT)
-    number = lambda c: c.try_cast("bigint")
-    micros = bridge_micros(number(src("ts_ns")), number(src("ts_us")), number(src("ts_ms")))
-    tx = F.coalesce(_get(p, "$.transaction.id"), src("txId"), src("server_transaction_id"), src("vgtid"))
     rid = document_id(F.col(doc)) if record_id is None else record_id
+    out = docs.withColumn("_p", F.from_json(unwrap(F.col(doc)), PAYLOAD)).withColumn("record_id", rid)
+    p, src, number = F.col("_p"), F.col("_p.source"), lambda c: c.try_cast("bigint")
+    is_data, is_ddl, snapshot = p["op"].isNotNull(), p["ddl"].isNotNull(), src["snapshot"]
     out = out.withColumns({
-        "record_id": rid,
-        "connector": src("connector"),
-        "database": src("db"),
-        "schema": src("schema"),
-        "table": F.coalesce(src("table"), src("collection"), F.when(_get(p, "$.ddl").isNotNull(), "_ddl")),
-        "op": F.when(is_data, op).when(_get(p, "$.ddl").isNotNull(), "m"),
+        "connector": src["connector"],
+        "database": src["db"],
+        "schema": src["schema"],
+        "table": F.coalesce(src["table"], src["collection"], F.when(is_ddl, "_ddl")),
+        "op": F.when(is_data, p["op"]).when(is_ddl, "m"),
         "is_snapshot": F.coalesce(snapshot.isin("true", "first", "first_in_data_collection", "last_in_data_collection", "last", "incremental"), F.lit(False)),
-        "boundary": boundary,
-        "before": _get(p, "$.before"),
-        "after": F.coalesce(_get(p, "$.after"), _get(p, "$.ddl")),
-        "tx_id": tx,
-        "source_us": micros,
-    })
+        "boundary": F.when(p["status"] == "END", COMMIT).when(is_data & (snapshot == "last"), SNAPSHOT_COMPLETE).when(is_data | is_ddl, DATA).otherwise(HEARTBEAT),
+        "before": p["before"],
+        "after": F.coalesce(p["after"], p["ddl"]),
+        "tx_id": F.coalesce(p["transaction"]["id"], src["txId"], src["server_transaction_id"], src["vgtid"]),
+        "source_us": bridge_micros(number(src["ts_ns"]), number(src["ts_us"]), number(src["ts_ms"])),
+    }).drop("_p")
     out = out.withColumn("event_id", bridge_id(F.coalesce("connector", F.lit("")), F.col("record_id")))
     wrong = F.lit(None).cast("string") if connector is None else F.when(F.col("connector").isNotNull() & (F.col("connector") != connector), F.concat(F.lit("document of connector "), F.col("connector")))
     return out.withColumn("problem", wrong)

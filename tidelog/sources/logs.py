@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.positions import behind
 from ..functions.types_oracle import redo_json
 from ..model import COMMIT, DATA
 
@@ -102,7 +103,7 @@ def filter_gtid_set(gtids: Column, include: Sequence[str]) -> Column:
             hit = hit | source.rlike(f"(?i)^(?:{p})$")
         return hit
 
-    return F.array_join(F.transform(F.filter(F.split(gtids, ","), chosen), F.trim), ",")
+    return F.array_join(F.transform(F.filter(F.split(gtids, ","), chosen), lambda x: F.trim(x)), ",")
 
 
 # SQL Server
@@ -112,15 +113,12 @@ def poll_changes(tables: dict[str, DataFrame], after: tuple, maximum: str, limit
     """The next ``limit`` + 1 changes of all change tables behind a three-part cursor and not beyond ``maximum``, in order.
 
     Rows are packed as JSON, so tables with different columns make one ordered set.
-    The bound on the leading coordinate reaches the scan; the struct comparison decides.
     """
     parts = None
     for name, rows in sorted(tables.items()):
         packed = rows.select("commit_lsn", "change_lsn", "operation", F.lit(name).alias("capture"), F.to_json(F.struct(*[c for c in columns if c in rows.columns]), {"ignoreNullFields": "false"}).alias("row"))
         parts = packed if parts is None else parts.unionByName(packed)
-    cursor = F.struct("commit_lsn", "change_lsn", "operation")
-    behind = (F.col("commit_lsn") >= after[0]) & (cursor > F.struct(*map(F.lit, after))) & (F.col("commit_lsn") <= maximum)
-    return parts.filter(behind).orderBy("commit_lsn", "change_lsn", "operation", "capture").limit(limit + 1)
+    return parts.filter(behind(["commit_lsn", "change_lsn", "operation"], after) & (F.col("commit_lsn") <= maximum)).orderBy("commit_lsn", "change_lsn", "operation", "capture").limit(limit + 1)
 
 
 # Oracle
@@ -132,8 +130,7 @@ def decode_logminer(entries: DataFrame, after: tuple, limit: int | None = None)
     Redo text gives the after-image, undo text the before-image.
     """
     code = F.col("operation_code")
-    cursor = F.struct("scn", "rs_id", "ssn")
-    rows = entries.filter((F.col("scn") >= after[0]) & (cursor > F.struct(*map(F.lit, after))) & code.isin(1, 2, 3, 5, 7))
+    rows = entries.filter(behind(["scn", "rs_id", "ssn"], after) & code.isin(1, 2, 3, 5, 7))
     rows = rows.orderBy("scn", "rs_id", "ssn").limit(limit) if limit else rows
     return rows.withColumns({
         "op": F.when(code == 1, "c").when(code == 2, "d").when(code == 3, "u").when(code == 5, "m"),
