@@ -6,7 +6,8 @@ put together again by line position.
 
 Plan. Two scans feed the hash side: one aggregates (map-side combined, so a line that a
 third of all documents share costs one row a task), the other joins the few repeated
-hashes back to their places (a sort-merge join, which AQE splits where a hash is hot).
+hashes back to their places. That join is salted, so a line of a third of all documents
+is spread, and each side has a shuffle of its own, which AQE may split further.
 The places to drop are gathered per document, which one document's lines bound, and meet
 the texts in one shuffle on the document.
 
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import WS, ascii_lower, drop_columns, id_order, text_or_empty
 
 
+SALTS = 4
+
+
 def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int, with_place: bool) -> DataFrame:
     """A row for each line whose key is long enough: its document, and its key's hash."""
     text = text_or_empty(text_col)
@@ -50,9 +54,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         held = held.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"))
         held = held.filter(F.col("_first") != F.col("_last")) if min_docs == 2 else held
+    repeated = held.select("_h1", "_h2", "_first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
     drops = (
         _places(docs, id_col, text_col, min_chars, True)
-        .join(held.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
+        .withColumn("_salt", F.pmod(F.hash("_doc"), F.lit(SALTS)))
+        .join(repeated, ["_h1", "_h2", "_salt"])
         .filter(F.col("_doc") != F.col("_first"))
         .groupBy("_doc", "_row")
         .agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
