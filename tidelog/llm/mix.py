@@ -4,7 +4,8 @@ Each source gets a word budget; documents stand in hash-random order within thei
 and are taken from the front until the budget is met exactly, whole passes (epochs)
 first where the budget is larger than the source.
 
-Plan. Words are counted once per document; sources are summed with map-side combine.
+Plan. One pass over the texts leaves a small table of sizes in the shared folder, from
+which everything is decided; a second one gives the result. Sources are summed with map-side combine.
 The order of a source is cut into ranges of its hash key, as many as its number of
 documents asks for. Range sums give a distributed prefix sum; only the one range in
 which a source's budget ends is sorted and summed document by document. What comes out
@@ -24,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WS_RE, drop_columns, id_order, text_or_empty
+from .common import WS_RE, drop_columns, id_order, materialize, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Documents in a key range, about.
-RANGE_DOCS = 50_000
+RANGE_DOCS = 4_096
 #: Source rows that may be broadcast.
 BROADCAST_SOURCES = 100_000
 ADDED = ["size", "source_size", "target", "taken"]
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words taken from the document, repeats counted)."""
     spark = docs.sparkSession
     docs = drop_columns(docs, ADDED)
-    sized = docs.select(F.col(source_col).cast("string").alias("source"), id_order(F.col(id_col)).alias("_id"), random_key(id_col, seed).alias("_key"), n_words(text_col).alias("size"))
+    sized = materialize(docs.select(F.col(source_col).cast("string").alias("source"), id_order(F.col(id_col)).alias("_id"), random_key(id_col, seed).alias("_key"), n_words(text_col).alias("size")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     budget = F.floor(F.col("target") + 0.5)
     plan = source_targets(sources, weights, max_epochs).withColumn("_budget", budget)
