@@ -30,9 +30,17 @@ BOILERPLATE = "(?i)lorem ipsum|javascript|enable cookies|use of cookies|cookie p
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_kept_lines", "kept_share", "base_failed", "kept"]
 
 
+def window_hashes(hashes: Column, n: int) -> Column:
+    """Hashes of ``n`` neighbours from hashes of one, by doubling; places without ``n`` neighbours hold leftovers."""
+    if n == 1:
+        return hashes
+    half = n // 2 if n % 2 == 0 else n - 1
+    return let(window_hashes(hashes, half), lambda a: F.zip_with(a, F.slice(a if n % 2 == 0 else hashes, half + 1, F.size(hashes)), lambda x, y: F.xxhash64(x, y)))
+
+
 def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words that lie in a ``window``-word window found twice or more in the text."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.slice(window_hashes(h, window), 1, F.size(h) - (window - 1)))
 
     def covered(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -45,8 +53,10 @@ def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
 
 def line_passes(line: Column) -> Column:
     """The line rules; ``line`` is a line with a word."""
-    stripped = F.btrim(line, F.lit(WS))
-    n = F.size(F.split(stripped, "[\\x20\\x09-\\x0D]+", -1))
+    return let(F.btrim(line, F.lit(WS)), lambda s: let(F.size(F.split(s, "[\\x20\\x09-\\x0D]+", -1)), lambda n: _passes(s, n)))
+
+
+def _passes(stripped: Column, n: Column) -> Column:
     noise = F.char_length(F.regexp_replace(stripped, "[^#*$%&|<>!{}=~^_\\\\]+", ""))
     capitals = F.char_length(F.regexp_replace(stripped, "[^\\p{Lu}]+", ""))
     small = F.char_length(F.regexp_replace(stripped, "[^\\p{Ll}]+", ""))
