@@ -99,10 +99,19 @@ def flush_trigger(boundary: Column, encoded: Column, max_batch: int) -> Column:
     )
 
 
-def order_violations(records: DataFrame, position: str, arrival: str, partition: Sequence[str]) -> DataFrame:
-    """Records whose position lies before that of the record that arrived before them."""
-    last = F.lag(position).over(W.partitionBy(*partition).orderBy(arrival))
-    return records.withColumn("previous", last).filter(F.col(position) < F.col("previous"))
+def order_violations(records: DataFrame, position: str, arrival: str, partition: Sequence[str], width: int = 65_536) -> DataFrame:
+    """Records whose position lies before that of the record that arrived before them.
+
+    Neighbours are compared within ranges of the (integer) arrival; the first of a range
+    is compared with the last of the range before, of which there is one row each. So a
+    log of few, large partitions is still checked in parallel.
+    """
+    placed = records.withColumn("_range", F.floor(F.col(arrival) / width))
+    ends = placed.groupBy(*partition, "_range").agg(F.max_by(position, arrival).alias("_last"))
+    ends = ends.withColumn("_before", F.lag("_last").over(W.partitionBy(*partition).orderBy("_range"))).drop("_last")
+    last = F.lag(position).over(W.partitionBy(*partition, "_range").orderBy(arrival))
+    found = placed.withColumn("_lag", last).join(ends, [*partition, "_range"])
+    return found.withColumn("previous", F.coalesce("_lag", "_before")).drop("_lag", "_before", "_range").filter(F.col(position) < F.col("previous"))
 
 
 def skip_replayed(records: DataFrame, position: Column, resume: Column) -> DataFrame:

@@ -73,7 +73,7 @@ def q_replay_skip(spark, d):
 y AS (SELECT *, lag(pos) OVER (PARTITION BY tbl ORDER BY event_id) AS previous FROM x) SELECT event_id, tbl, pos, previous FROM y WHERE pos < previous""")
 def q_monotonic_guard(spark, d):
     log = raw_log(read(spark, d, "events")).withColumn("pos", F.when(F.col("event_id") % 97 == 13, F.col("lsn") - 5000).otherwise(F.col("lsn")))
-    return ordering.order_violations(log, "pos", "event_id", ["tbl"]).select("event_id", "tbl", "pos", "previous")
+    return ordering.order_violations(log, "pos", "event_id", ["tbl"], width=4096).select("event_id", "tbl", "pos", "previous")
 
 
 _STRATEGIES = [(s, c, p, t) for s in ("no_validation", "trust_offset", "trust_slot", "trust_greater_lsn") for c, p in ((100, 100), (200, 100), (100, 200)) for t in (True, False)]
