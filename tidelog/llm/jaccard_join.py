@@ -17,7 +17,7 @@ document with the smallest id that links reach.
    form a trie. Probing sets walk it level by level, add up the overlap of shared
    stretches once, and leave a subtree when the shingles left on either side can no
    longer reach the overlap needed, or when it holds nothing but documents already in
-   the same component.
+   the same component. A cluster too large for a task is dealt into blocks.
 
 Nothing is paired within a group: a group of copies is one class, and a group of near
 copies costs one probe that connects it, and one more for each member left outside.
@@ -48,6 +48,8 @@ RANGE = 4_000_000
 SLICES = 16
 #: Shingles of slices that one task joins, about.
 SLICE_GROUP = 4_000_000
+#: Shingles of a cluster, or of a block of one, that a task joins.
+CLUSTER = 4_000_000
 #: Ids that may be broadcast (16 bytes each).
 BROADCAST_IDS = 2_000_000
 ADDED = ["n_shingles", "component_id"]
@@ -293,8 +295,11 @@ class Trie:
         return at[100 * both >= pct * (n + m - both)]
 
 
-def components(nodes: list[int], sets: list[np.ndarray], pct: int = PCT) -> list[int]:
-    """For each set, the position of the first set of its component (in the order of ``nodes``)."""
+def components(nodes: list[int], sets: list[np.ndarray], pct: int = PCT, known: list[int] | None = None, probing: list[bool] | None = None) -> list[int]:
+    """For each set, the position of the first set of its component (in the order of ``nodes``).
+
+    ``known`` gives components found before; ``probing`` the sets that are to be held against all others.
+    """
     _, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(df), np.int64)
     rank[np.argsort(-df, kind="stable")] = np.arange(len(df))
@@ -302,14 +307,15 @@ def components(nodes: list[int], sets: list[np.ndarray], pct: int = PCT) -> list
     seqs = [np.sort(rank[p]) for p in np.split(ids, np.cumsum(lens)[:-1])]
     order = sorted(range(len(seqs)), key=lambda i: seqs[i].astype(">u4").tobytes())
     trie = Trie([seqs[i] for i in order])
-    comp = np.arange(len(order))
+    comp = np.arange(len(order)) if known is None else np.unique(np.array([known[i] for i in order]), return_inverse=True)[1]
+    asks = np.ones(len(order), bool) if probing is None else np.array([probing[i] for i in order])
     inside = np.zeros(len(df), bool)
-    for x in range(len(order)):
-        wanted = comp != comp[x]
-        wanted[:x] = False  # earlier sets have probed already
-        n = int(lens[order[x]])
-        m = lens[order]
-        wanted &= (100 * np.minimum(m, n) >= pct * np.maximum(m, n))
+    m = lens[order]
+    asked = np.zeros(len(order), bool)
+    for x in np.flatnonzero(asks).tolist():
+        n = int(m[x])
+        wanted = (comp != comp[x]) & ~asked & (100 * np.minimum(m, n) >= pct * np.maximum(m, n))
+        asked[x] = True  # it has been held against all others
         if not wanted.any():
             continue
         inside[seqs[order[x]]] = True
@@ -327,6 +333,41 @@ def components(nodes: list[int], sets: list[np.ndarray], pct: int = PCT) -> list
     return [least[int(c)] for c in of]
 
 
+def _large_clusters(members: DataFrame, large: DataFrame, joined) -> DataFrame:
+    """(node, component_id) for clusters too large for one task.
+
+    A cluster is dealt into blocks, and its first document goes with each of them: for near
+    copies of one text that already connects everything. What lies outside the largest
+    component then, and only that, is held against every block.
+    """
+    cuts = F.broadcast(large.select("cluster", "blocks", "pivot")) if large.limit(10_001).count() <= 10_000 else large.select("cluster", "blocks", "pivot")
+    placed = members.join(cuts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    own = placed.select("_id", "node", "cluster", "n", "block")
+    pivots = large.select("pivot.*", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    task = lambda *c: F.xxhash64("cluster", *c)
+    first = joined(own.unionByName(pivots.select("_id", "node", "cluster", "n", "block")).select("_id", "node", task("block").alias("task")))
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        found = connected(edges.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+        return materialize(own.join(found.withColumnRenamed("cluster", "g"), "node", "left").withColumn("g", F.coalesce("g", "node")), "groups")
+
+    groups = grouped(first)
+    counts = groups.groupBy("cluster", "g").agg(F.sum("n").alias("t"))
+    main = counts.groupBy("cluster").agg(F.max_by("g", F.struct("t", "g")).alias("main"), F.count("*").alias("k"))
+    loose = main.filter("k > 1")
+    if loose.limit(1).count():
+        rest = groups.join(loose.select("cluster", "main"), "cluster")
+        stray = rest.filter("g <> main")
+        parts = stray.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER).alias("parts"), F.max("block").alias("_b")).drop("_b").join(large.select("cluster", "blocks"), "cluster")
+        asking = stray.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        asked = rest.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        tasks = asking.select("_id", "node", task("to", "part").alias("task"), F.col("g").alias("known"), F.lit(True).alias("asks")).unionByName(asked.select("_id", "node", task("block", "part").alias("task"), F.col("g").alias("known"), F.lit(False).alias("asks")))
+        second = joined(tasks)
+        groups = grouped(first.select("node", "rep").unionByName(second.select("node", "rep")).unionByName(groups.select("node", F.col("g").alias("rep"))))
+    least = groups.groupBy("g").agg(F.min("_id").alias("component_id"))
+    return groups.join(least, "g").select("node", "component_id")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, pct: int = PCT) -> DataFrame:
     """``docs`` with ``n_shingles`` and ``component_id``."""
     known = membership(docs, id_col, text_col, k, pct)
@@ -346,8 +387,8 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = shared.groupBy("key", "_spread").applyInPandas(lambda key, rows: _own(key, rows), "chunk bigint, tokens binary, idx binary")
     known = materialize(shared.groupBy("chunk").applyInPandas(_settle(pct), "_id bigint, n bigint, s1 bigint, s2 bigint, open boolean"), "sets")
 
-    classes = known.filter("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("first"), F.count("*").alias("copies"), F.max("open").alias("open"))
-    nodes = materialize(classes.filter("open").select("s1", "first"), "nodes")
+    classes = known.filter("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("open").alias("open"))
+    nodes = materialize(classes.filter("open").select("s1", "first", "n"), "nodes")
 
     def picked(ids: DataFrame) -> DataFrame:
         """The texts of the documents in ``ids`` (_id, ...), which are broadcast if they are few enough."""
@@ -376,34 +417,47 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = picked(nodes.select(F.col("first").alias("_id"), F.col("s1").alias("node"))).mapInPandas(slices, "slice int, part bigint, node bigint, tokens binary")
     edges = parts.groupBy("slice", "part").applyInPandas(_slice_edges(pct), "a bigint, b bigint")
     clusters = connected(edges)
-    members = materialize(clusters.join(nodes.withColumnRenamed("s1", "node"), "node").select(F.col("first").alias("_id"), "node", "cluster"), "clusters")
+    members = materialize(clusters.join(nodes.withColumnRenamed("s1", "node"), "node").select(F.col("first").alias("_id"), "node", "cluster", "n"), "clusters")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tasks follow each other, their nodes in order: the component of each node, by its first document."""
         now, held = None, []
 
         def close() -> pd.DataFrame:
             held.sort(key=lambda h: h[0])
-            ids, sets = [h[0] for h in held], [h[2] for h in held]
-            least = components(ids, sets, pct)
-            return pd.DataFrame({"node": [h[1] for h in held], "component_id": [ids[i] for i in least]})
+            ids, own = [h[0] for h in held], [h[1] for h in held]
+            known = [h[3] for h in held]
+            least = components(ids, [h[2] for h in held], pct, None if known[0] is None else known, [h[4] for h in held])
+            return pd.DataFrame({"node": own, "rep": [own[i] for i in least], "component_id": [ids[i] for i in least]})
 
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                for i, node, cluster, s in zip(part["_id"], part["node"], part["cluster"], shingle_sets(list(part["_text"]), k), strict=True):
+                for i, node, task, known, asks, s in zip(part["_id"], part["node"], part["task"], part["known"], part["asks"], shingle_sets(list(part["_text"]), k), strict=True):
                     if signature(s)[0] != node:
                         continue
-                    if cluster != now and held:
+                    if task != now and held:
                         yield close()
                         held = []
-                    now = cluster
-                    if not held or held[-1][1] != node:
-                        held.append((i, node, s))
+                    now = task
+                    if held and held[-1][1] == node:
+                        held[-1] = (*held[-1][:4], held[-1][4] or asks)
+                    else:
+                        held.append((i, node, s, None if pd.isna(known) else int(known), bool(asks)))
         if held:
             yield close()
 
-    linked = picked(members).repartition("cluster").sortWithinPartitions("cluster", "node").mapInPandas(join, "node bigint, component_id bigint")
-    linked = materialize(linked, "linked")
+    def joined(tasks: DataFrame) -> DataFrame:
+        """``tasks``: _id, node, task, and optionally known, asks."""
+        extra = {} if "known" in tasks.columns else {"known": F.lit(None).cast("bigint"), "asks": F.lit(True)}
+        rows = picked(tasks.withColumns(extra).select("_id", "node", "task", F.col("known").cast("string").alias("known"), "asks"))
+        return materialize(rows.repartition("task").sortWithinPartitions("task", "node").mapInPandas(join, "node bigint, rep bigint, component_id bigint"), "joined")
+
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.min(F.struct("_id", "node", "n")).alias("pivot"))
+    large = materialize(sizes.filter(F.col("tokens") > CLUSTER).withColumn("blocks", F.ceil(F.col("tokens") / CLUSTER)), "large")
+    linked = joined(members.join(large, "cluster", "left_anti").withColumn("task", F.col("cluster"))).select("node", "component_id")
+    if large.limit(1).count():
+        linked = linked.unionByName(_large_clusters(members, large, joined))
     moved = classes.filter("copies > 1 or open").join(linked.select(F.col("node").alias("s1"), F.col("component_id").alias("c")), "s1", "left").select("s1", "s2", F.least("first", F.coalesce("c", "first")).alias("c"))
     # a salt spreads a large group of copies, and gives the small side a shuffle of its own, so that AQE may split what is still large
     salts = 8
