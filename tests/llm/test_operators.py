@@ -242,14 +242,15 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard_join(spark, seed, monkeypatch):
     import tidelog.llm.jaccard_join as jj
 
-    if seed == 2:  # many ranges, chunks and groups, as at scale
+    if seed > 1:  # many ranges, chunks and groups, as at scale
         monkeypatch.setattr(jj, "RANGE", 200)
         monkeypatch.setattr(jj, "CHUNK", 300)
         monkeypatch.setattr(jj, "SLICE_GROUP", 20)
+        monkeypatch.setattr(jj, "CLUSTER", 250)
     rows = near_copies(seed) + [(r[0] + 1000 if r[0] else r[0], *r[1:]) for r in ROWS]
     got = [tuple(r) for r in membership(spark.createDataFrame(rows, DOCS).repartition(5)).select(F.when(F.col("_id") < 2**63 - 1, F.col("_id")), "n_shingles", "component_id").collect()]
     assert sorted(got, key=repr) == sorted(join_by_hand(rows), key=repr)
