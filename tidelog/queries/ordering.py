@@ -26,38 +26,37 @@ def q_event_serial(spark, d):
     return ordering.event_serial(log, ["coordinate"], ["event_id"]).select("event_id", "coordinate", "event_serial")
 
 
-_FAMILIES_SQL = f"""
-WITH {LOG},
-p AS (
-  SELECT event_id, 'postgresql' AS family, row_number() OVER (ORDER BY lsn // 16, event_id % 5 <> 0, event_id % 3) AS place FROM raw WHERE event_id < 500
-  UNION ALL SELECT event_id, 'mysql', row_number() OVER (ORDER BY 'log.' || (event_id // 100), lsn // 16, event_id % 5 <> 0, event_id % 3) FROM raw WHERE event_id < 500
-  UNION ALL SELECT event_id, 'sqlserver', row_number() OVER (ORDER BY '0x' || lower(lpad(hex(lsn // 40), 20, '0')), '0x' || lower(lpad(hex(lsn), 20, '0')), event_id % 5 <> 0, event_id % 3) FROM raw WHERE event_id < 500
-  UNION ALL SELECT event_id, 'oracle', row_number() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN lsn // 16 ELSE lsn // 16 + 3 END, event_id % 5 <> 0, event_id % 3, event_id) FROM raw WHERE event_id < 500
-  UNION ALL SELECT event_id, 'mongodb', row_number() OVER (ORDER BY coalesce(CASE WHEN event_id % 11 <> 0 THEN event_id // 10 END, 0), coalesce(event_id % 10, 0), event_id % 5 <> 0, event_id % 3, event_id) FROM raw WHERE event_id < 500
-  UNION ALL SELECT event_id, 'bridge', row_number() OVER (ORDER BY event_id % 5 <> 0, event_id) FROM raw WHERE event_id < 500)
-SELECT * FROM p"""
-
-
-@query(_FAMILIES_SQL)
+_ORDER_SQL = f"""
+WITH {LOG}, x AS (SELECT event_id, lsn // 16 AS p, (event_id * 37 % 2000) // 2 AS q, (event_id % 5 <> 0)::INT AS s, (event_id % 3 <> 0)::INT AS t, event_id % 3 AS m, event_id % 2 AS n FROM raw),
+y AS (
+  SELECT event_id, 'postgresql' AS family, (p, s, m) AS a, (q, t, n) AS b FROM x UNION ALL
+  SELECT event_id, 'oracle', (CASE WHEN event_id % 4 = 0 THEN p ELSE p + 3 END, s, m), (q, t, n) FROM x UNION ALL
+  SELECT event_id, 'mongodb', (coalesce(CASE WHEN event_id % 11 <> 0 THEN p // 10 END, 0), s, m), (q // 10, t, n) FROM x)
+SELECT event_id, family, a > b AS is_after, a <= b AS is_at_or_before FROM y
+UNION ALL SELECT event_id, 'mysql', ('log.' || (p // 100), p, s, m) > ('log.' || (q // 100), q, t, n), ('log.' || (p // 100), p, s, m) <= ('log.' || (q // 100), q, t, n) FROM x
+UNION ALL SELECT event_id, 'sqlserver', (lower(lpad(hex(p), 20, '0')), lower(lpad(hex(p + 1), 20, '0')), s, m) > (lower(lpad(hex(q), 20, '0')), lower(lpad(hex(p), 20, '0')), t, n),
+  (lower(lpad(hex(p), 20, '0')), lower(lpad(hex(p + 1), 20, '0')), s, m) <= (lower(lpad(hex(q), 20, '0')), lower(lpad(hex(p), 20, '0')), t, n) FROM x
+UNION ALL SELECT event_id, 'bridge', (s, p) > (t, q), (s, p) <= (t, q) FROM x"""
+
+
+@query(_ORDER_SQL)
 def q_position_order(spark, d):
-    """The order of the first 500 events' positions in each family (a fixed excerpt: the order is the feature)."""
-    from pyspark.sql import Window as W
-
-    log = raw_log(read(spark, d, "events")).filter("event_id < 500")
-    at = {"snapshot": F.col("event_id") % 5 == 0, "serial": F.col("event_id") % 3}
-    keys = {
-        "postgresql": positions.sort_key("postgresql", lsn=F.expr("lsn div 16"), **at),
-        "mysql": positions.sort_key("mysql", file=F.concat(F.lit("log."), F.expr("event_id div 100").cast("string")), pos=F.expr("lsn div 16"), **at),
-        "sqlserver": positions.sort_key("sqlserver", database=F.lit("app"), commit_lsn=positions.lsn_hex(F.expr("lsn div 40")), change_lsn=positions.lsn_hex("lsn"), **at),
-        "oracle": positions.sort_key("oracle", scn=F.expr("lsn div 16"), commit_scn=F.when(F.col("event_id") % 4 != 0, F.expr("lsn div 16") + 3), **at),
-        "mongodb": positions.sort_key("mongodb", seconds=F.when(F.col("event_id") % 11 != 0, F.expr("event_id div 10")), increment=F.col("event_id") % 10, **at),
-        "bridge": positions.sort_key("bridge", snapshot=at["snapshot"], serial=F.col("event_id")),
+    """Two positions an event, compared in every family."""
+    p, q = F.expr("lsn div 16"), F.expr("(event_id * 37 % 2000) div 2")
+    one = {"snapshot": F.col("event_id") % 5 == 0, "serial": F.col("event_id") % 3}
+    two = {"snapshot": F.col("event_id") % 3 == 0, "serial": F.col("event_id") % 2}
+    hexed, key = positions.lsn_hex, positions.sort_key
+    file = lambda c: F.concat(F.lit("log."), F.floor(c / 100).cast("string"))
+    pairs = {
+        "postgresql": (key("postgresql", lsn=p, **one), key("postgresql", lsn=q, **two)),
+        "mysql": (key("mysql", file=file(p), pos=p, **one), key("mysql", file=file(q), pos=q, **two)),
+        "sqlserver": (key("sqlserver", database=F.lit("app"), commit_lsn=hexed(p), change_lsn=hexed(p + 1), **one), key("sqlserver", database=F.lit("app"), commit_lsn=hexed(q), change_lsn=hexed(p), **two)),
+        "oracle": (key("oracle", scn=p, commit_scn=F.when(F.col("event_id") % 4 != 0, p + 3), **one), key("oracle", scn=q, commit_scn=F.lit(None).cast("bigint"), **two)),
+        "mongodb": (key("mongodb", seconds=F.when(F.col("event_id") % 11 != 0, F.floor(p / 10)), increment=F.lit(0), **one), key("mongodb", seconds=F.floor(q / 10), increment=F.lit(0), **two)),
+        "bridge": (key("bridge", snapshot=one["snapshot"], serial=p), key("bridge", snapshot=two["snapshot"], serial=q)),
     }
-    out = None
-    for family, key in keys.items():
-        part = log.select("event_id", F.lit(family).alias("family"), key.alias("_k")).withColumn("place", F.row_number().over(W.partitionBy("family").orderBy("_k", "event_id")).cast("bigint")).drop("_k")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = [F.struct(F.lit(f).alias("family"), positions.is_after(a, b).alias("is_after"), positions.is_at_or_before(a, b).alias("is_at_or_before")) for f, (a, b) in pairs.items()]
+    return raw_log(read(spark, d, "events")).select("event_id", F.explode(F.array(*rows)).alias("r")).select("event_id", "r.*")
 
 
 @query(f"WITH {LOG} SELECT event_id, lsn, op FROM raw WHERE lsn > 4000 OR (lsn = 4000 AND event_id % 5 > 2)")
@@ -87,11 +86,11 @@ def q_resume_decision(spark, d):
     return table(spark, _S, _STRATEGIES).withColumn("decision", positions.resume_decision("strategy", "checkpoint", "slot", F.col("mid_tx")))
 
 
-@query(f"""WITH {LOG}, m AS (SELECT tbl, min(lsn) AS available FROM raw WHERE event_id >= 400 GROUP BY tbl),
+@query(f"""WITH {LOG}, m AS (SELECT tbl, min(lsn) + 3200 AS available FROM raw GROUP BY tbl),
 r AS ({literal("mode string, resume bigint", [("initial", 100), ("initial", 90000), ("when_needed", 100), ("never", 100), ("never", None)])})
 SELECT tbl, available, mode, resume, CASE WHEN resume IS NULL OR available <= resume THEN 'ok' WHEN mode = 'when_needed' THEN 'resnapshot' ELSE 'error' END AS decision FROM m, r""")
 def q_retention_check(spark, d):
-    available = raw_log(read(spark, d, "events")).filter("event_id >= 400").groupBy("tbl").agg(F.min("lsn").alias("available"))
+    available = raw_log(read(spark, d, "events")).groupBy("tbl").agg((F.min("lsn") + 3200).alias("available"))
     resume = table(spark, "mode string, resume bigint", [("initial", 100), ("initial", 90000), ("when_needed", 100), ("never", 100), ("never", None)])
     out = available.crossJoin(F.broadcast(resume))  # two tables, five cases
     return out.withColumn("decision", positions.retention_decision("available", "resume", "mode"))

@@ -72,7 +72,7 @@ SELECT c.k, c_name, 'r' AS op, 1600::BIGINT AS lsn FROM c WHERE k NOT IN (SELECT
 def q_incremental_chunk(spark, d):
     """A chunk of customers, read while events 101 to 200 pass; what the log touched is left to the log."""
     chunk = snapshot.next_chunk(read(spark, d, "customer"), ["c_custkey"], (9,), (120,), 80).select(F.col("c_custkey").alias("k"), "c_name")
-    log = raw_log(read(spark, d, "events")).filter("tbl = 'accounts'").filter("event_id > 100 AND event_id <= 200")
+    log = raw_log(read(spark, d, "events")).filter("tbl = 'accounts'")
     return snapshot.evict_touched(chunk, log, ["k"], 800, 1600).withColumns({"op": F.lit("r"), "lsn": F.lit(1600).cast("bigint")})
 
 
@@ -82,10 +82,10 @@ def q_window_dedup(spark, d):
     return snapshot.evict_touched(chunk, raw_log(read(spark, d, "events")), ["k"], 0, 4000, open_low=False)
 
 
-@query("""WITH x AS (SELECT event_id, event_id // 5 AS xid, event_id % 5 = 4 AS is_commit FROM events WHERE event_id < 1000)
+@query("""WITH x AS (SELECT event_id, event_id // 5 AS xid, event_id % 5 = 4 AS is_commit FROM events)
 SELECT *, xid >= 20 AS opens, CASE WHEN is_commit THEN xid = 60 OR xid <= 40 ELSE xid > 60 END AS closes, xid >= 20 AND NOT CASE WHEN is_commit THEN xid = 60 OR xid <= 40 ELSE xid > 60 END AS inside FROM x""")
 def q_readonly_window(spark, d):
-    log = read(spark, d, "events").filter("event_id < 1000").select("event_id", F.expr("event_id div 5").alias("xid"), (F.col("event_id") % 5 == 4).alias("is_commit"))
+    log = read(spark, d, "events").select("event_id", F.expr("event_id div 5").alias("xid"), (F.col("event_id") % 5 == 4).alias("is_commit"))
     return snapshot.readonly_window(log, 20, 45, 40, 60)
 
 
