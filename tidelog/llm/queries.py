@@ -47,7 +47,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs)
-    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(langid.is_held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
