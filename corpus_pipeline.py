@@ -34,8 +34,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
-    gone = membership(docs).filter(F.col("component_id") < F.col("_id")).select("_id").distinct()
-    return docs.join(gone, id_order(F.col("doc_id")) == F.col("_id"), "left_anti")
+    gone = membership(docs).filter(F.col("component_id") < F.col("__tl_id")).select("__tl_id").distinct()
+    return docs.join(gone, id_order(F.col("doc_id")) == F.col("__tl_id"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from tidelog.llm.jaccard_join import components, connected, jaccard_join, member
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.mix import mix
 from tidelog.llm.quality_rules import quality_rules
-from tidelog.llm.token_count import Counter as TokenCounter
+from tidelog.llm.token_count import counter as cached_counter
 from tidelog.llm.token_count import default_path, token_counts
 
 DOCS = "doc_id bigint, text string, source string, extra int"
@@ -65,8 +65,10 @@ def test_line_dedup(docs, min_docs):
 
 
 def test_line_dedup_replaces_clashing_columns(docs, empty):
-    out = line_dedup(docs.withColumns({"N_LINES": F.lit("x"), "_mine": F.lit(1)}))
-    assert out.columns == ["doc_id", "text", "source", "extra", "_mine", "n_lines", "n_dropped"]
+    clash = ["_doc", "_row", "_drop", "key", "pos"]
+    out = line_dedup(docs.withColumns({"N_LINES": F.lit("x")} | {c: F.lit(c) for c in clash}))
+    assert out.columns == ["doc_id", "text", "source", "extra", *clash, "n_lines", "n_dropped"]
+    assert {tuple(r[c] for c in clash) for r in out.collect()} == {tuple(clash)}
     assert line_dedup(empty).count() == 0
 
 
@@ -252,7 +254,7 @@ def test_jaccard_join(spark, seed, monkeypatch):
         monkeypatch.setattr(jj, "SLICE_GROUP", 20)
         monkeypatch.setattr(jj, "CLUSTER", 250)
     rows = near_copies(seed) + [(r[0] + 1000 if r[0] else r[0], *r[1:]) for r in ROWS]
-    got = [tuple(r) for r in membership(spark.createDataFrame(rows, DOCS).repartition(5)).select(F.when(F.col("_id") < 2**63 - 1, F.col("_id")), "n_shingles", "component_id").collect()]
+    got = [tuple(r) for r in membership(spark.createDataFrame(rows, DOCS).repartition(5)).select(F.when(F.col("__tl_id") < 2**63 - 1, F.col("__tl_id")), "n_shingles", "component_id").collect()]
     assert sorted(got, key=repr) == sorted(join_by_hand(rows), key=repr)
 
 
@@ -290,12 +292,12 @@ TEXTS = st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["the", " ", "
 @given(TEXTS)
 @settings(max_examples=500, deadline=None)
 def test_token_counts_are_the_librarys(text):
-    counter = test_token_counts_are_the_librarys.__dict__.setdefault("counter", TokenCounter(default_path()))
+    counter = cached_counter(default_path())
     assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def test_every_safe_character_is_split_alike():
-    counter = TokenCounter(default_path())
+    counter = cached_counter(default_path())
     for c in map(chr, (*range(0x250), *range(0x2010, 0x2028), 0x20AC)):
         for text in (f"ab{c}cd", f" {c} {c}{c}x", f"1{c}2 {c}"):
             assert counter.count(text) == counter.merged(text), repr(text)
@@ -376,6 +378,6 @@ def test_importance_resampling(spark, empty):
 @settings(max_examples=15, deadline=None)
 def test_kth_largest(spark, values, data):
     k = data.draw(st.integers(1, len(values)))
-    keys = spark.createDataFrame([(float(v) / 7, i) for i, v in enumerate(values)], "gumbel_key double, _i bigint")
+    keys = spark.createDataFrame([(float(v) / 7, i) for i, v in enumerate(values)], "gumbel_key double, __tl_i bigint")
     ranked = sorted(((float(v) / 7, i) for i, v in enumerate(values)), key=lambda x: (-x[0], x[1]))
     assert importance.kth_largest(keys, k) == ranked[k - 1]

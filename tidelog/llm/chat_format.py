@@ -87,7 +87,7 @@ def chat_format(conversations: DataFrame, path: str | None = None) -> DataFrame:
                 rows.append((np.asarray(e.ids, dtype=np.int32), at[:, 0], at[:, 1], loss_mask(at[:, 0], at[:, 1], spans)))
             yield pd.DataFrame(rows, columns=["token_ids", "token_starts", "token_ends", "loss_mask"])
 
-    return render(conversations).withColumn("_e", encode("formatted")).select("conv_id", "formatted", "_e.*")
+    return render(conversations).withColumn("__tl_e", encode("formatted")).select("conv_id", "formatted", "__tl_e.*")
 
 
 def masked_texts(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
@@ -110,4 +110,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
             yield pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.withColumn("_r", parse("formatted", "token_starts", "token_ends", "loss_mask")).select("conv_id", "_r.*")
+    return formatted.withColumn("__tl_r", parse("formatted", "token_starts", "token_ends", "loss_mask")).select("conv_id", "__tl_r.*")

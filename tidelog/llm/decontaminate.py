@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_columns, text_or_empty
+from .common import ascii_lower, text_or_empty
 
 N = 13
 #: One word in this many, at least, makes a document contaminated.
@@ -55,54 +55,53 @@ def benchmark_ngrams(benchmark: DataFrame, id_col: str = "item_id", text_col: st
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """For each document: id, ``_row`` (hash of its text), n_words, n_hit, ``items``, ``spans`` of word positions, contaminated."""
+    """For each document: id, ``__tl_row`` (hash of its text), n_words, n_hit, ``items``, ``spans`` of word positions, contaminated."""
     grams = benchmark_ngrams(benchmark, n=n)
     size = grams.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("len")).alias("lens")).first()
     lens = [int(x) for x in size["lens"]]
     blocks = max(1, -(-size["n"] // max_broadcast))
 
     text = text_or_empty(text_col)
-    words = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_row"), norm_words(text).alias("_w"))
-    words = words.withColumns({"_n": F.size("_w"), "_hashes": F.concat(*[_hashes(F.col("_w"), k) for k in lens], F.array(F.lit(END)))})
-    windows = words.select("_id", "_row", "_n", "_w", F.size("_hashes").alias("_all"), F.posexplode_outer("_hashes").alias("_p", "_h"))
+    words = docs.select(F.col(id_col).alias("__tl_id"), F.xxhash64(text).alias("__tl_row"), norm_words(text).alias("__tl_w"))
+    words = words.withColumns({"__tl_n": F.size("__tl_w"), "__tl_hashes": F.concat(*[_hashes(F.col("__tl_w"), k) for k in lens], F.array(F.lit(END)))})
+    windows = words.select("__tl_id", "__tl_row", "__tl_n", "__tl_w", F.size("__tl_hashes").alias("__tl_all"), F.posexplode_outer("__tl_hashes").alias("__tl_p", "__tl_h"))
     end = docs.sparkSession.createDataFrame([(0, "", END, [])], grams.select("len", "gram", "h", "items").schema)
 
     # windows of the first length come first in a document's hashes, then those of the next
-    start = reduce(lambda acc, k: acc.when(F.col("len") == k[0], sum((F.greatest(F.col("_n") - j + 1, F.lit(0)) for j in k[1]), F.lit(0))), [(k, lens[:i]) for i, k in enumerate(lens)], F.when(F.lit(False), 0)).otherwise(0)
+    start = reduce(lambda acc, k: acc.when(F.col("len") == k[0], sum((F.greatest(F.col("__tl_n") - j + 1, F.lit(0)) for j in k[1]), F.lit(0))), [(k, lens[:i]) for i, k in enumerate(lens)], F.when(F.lit(False), 0)).otherwise(0)
     hits = []
     for b in range(blocks):
         part = grams.select("len", "gram", "h", "items").filter(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else grams.select("len", "gram", "h", "items")
         part = part.unionByName(end) if b == 0 else part
-        hit = windows.join(F.broadcast(part), F.col("_h") == F.col("h")).withColumn("_at", F.col("_p") - start)
-        is_end = (F.col("len") == 0) & (F.col("_p") == F.col("_all") - 1)
-        true = (F.col("len") > 0) & (F.col("_at") >= 0) & (F.array_join(F.slice("_w", F.col("_at") + 1, F.col("len")), " ") == F.col("gram"))
-        hits.append(hit.filter(is_end | true).select("_id", "_row", "_n", "_at", "len", "items", is_end.alias("_end")))
+        hit = windows.join(F.broadcast(part), F.col("__tl_h") == F.col("h")).withColumn("__tl_at", F.col("__tl_p") - start)
+        is_end = (F.col("len") == 0) & (F.col("__tl_p") == F.col("__tl_all") - 1)
+        true = (F.col("len") > 0) & (F.col("__tl_at") >= 0) & (F.array_join(F.slice("__tl_w", F.col("__tl_at") + 1, F.col("len")), " ") == F.col("gram"))
+        hits.append(hit.filter(is_end | true).select("__tl_id", "__tl_row", "__tl_n", "__tl_at", "len", "items", is_end.alias("__tl_end")))
     hits = reduce(DataFrame.unionByName, hits)
-    span = F.when(~F.col("_end"), F.struct(F.col("_at").alias("at"), F.col("len").alias("len")))
-    docs_hit = hits.groupBy("_id", "_row").agg(F.max("_n").alias("_n"), F.sum(F.col("_end").cast("int")).alias("_copies"), F.sort_array(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    span = F.when(~F.col("__tl_end"), F.struct(F.col("__tl_at").alias("at"), F.col("len").alias("len")))
+    docs_hit = hits.groupBy("__tl_id", "__tl_row").agg(F.max("__tl_n").alias("__tl_n"), F.sum(F.col("__tl_end").cast("int")).alias("__tl_copies"), F.sort_array(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     union = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["at"] + s["len"] - F.greatest(a["end"], s["at"]))).alias("n"), F.greatest(a["end"], s["at"] + s["len"]).alias("end")), lambda a: a["n"])
-    out = docs_hit.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).withColumn("_hit", union)
-    return out.select(F.col("_id").alias(id_col), "_row", F.col("_n").cast("bigint").alias("n_words"), F.col("_hit").cast("bigint").alias("n_hit"), "items", "spans", ((F.col("_hit") > 0) & (F.col("_hit") * SHARE >= F.col("_n"))).alias("contaminated"))
+    out = docs_hit.withColumn("__tl_again", F.explode(F.sequence(F.lit(1), F.col("__tl_copies")))).withColumn("__tl_hit", union)
+    return out.select(F.col("__tl_id").alias(id_col), "__tl_row", F.col("__tl_n").cast("bigint").alias("n_words"), F.col("__tl_hit").cast("bigint").alias("n_hit"), "items", "spans", ((F.col("__tl_hit") > 0) & (F.col("__tl_hit") * SHARE >= F.col("__tl_n"))).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, mode: str = "document", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``docs`` without contaminated documents (``mode="document"``), or with all hit words cut out of their texts (``"span"``)."""
     if mode not in ("document", "span"):
         raise ValueError(f"mode: {mode}")
-    found = scan(docs, benchmark, id_col, text_col, n, max_broadcast).withColumnRenamed(id_col, "_id")
-    docs = drop_columns(docs, ["_id", "_row"])
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_row"))
+    found = scan(docs, benchmark, id_col, text_col, n, max_broadcast).withColumnRenamed(id_col, "__tl_id")
+    same = F.col(id_col).eqNullSafe(F.col("__tl_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__tl_row"))
     if mode == "document":
-        return docs.join(found.filter("contaminated").select("_id", "_row").distinct(), same, "left_anti")
-    spans = found.filter("n_hit > 0").select("_id", "_row", "spans").dropDuplicates(["_id", "_row"])
+        return docs.join(found.filter("contaminated").select("__tl_id", "__tl_row").distinct(), same, "left_anti")
+    spans = found.filter("n_hit > 0").select("__tl_id", "__tl_row", "spans").dropDuplicates(["__tl_id", "__tl_row"])
     joined = docs.join(spans, same, "left")
     # pieces of the text: separator, word, separator, word ...; words inside a span go with the separator after them
     word = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
     flags = F.expr("flatten(transform(spans, s -> sequence(s.at, s.at + s.len - 1)))")
     places = F.regexp_extract_all(F.col(text_col), F.lit(f"({word})([\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)"), F.lit(0))
     head = F.regexp_extract(F.col(text_col), "^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*", 0)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_p") - 1), F.col("_f"))
-    joined = joined.withColumns({"_p": F.when(F.col("spans").isNotNull(), places), "_f": F.when(F.col("spans").isNotNull(), flags)})
-    cut = F.concat(head, F.array_join(F.transform(stay, lambda i: F.get("_p", i)), ""))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__tl_p") - 1), F.col("__tl_f"))
+    joined = joined.withColumns({"__tl_p": F.when(F.col("spans").isNotNull(), places), "__tl_f": F.when(F.col("spans").isNotNull(), flags)})
+    cut = F.concat(head, F.array_join(F.transform(stay, lambda i: F.get("__tl_p", i)), ""))
     cols = [F.when(F.col("spans").isNotNull(), cut).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*cols)

@@ -92,8 +92,8 @@ def ngram_counts(docs: DataFrame, good: list[int], id_col: str, text_col: str) -
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            is_good = np.isin(batch["_id"].to_numpy(), known.value)
-            for numbers, begin, data in _pieces(list(batch["_text"])):
+            is_good = np.isin(batch["__tl_id"].to_numpy(), known.value)
+            for numbers, begin, data in _pieces(list(batch["__tl_text"])):
                 bucket, at = features(data)
                 total[0] += np.bincount(bucket, minlength=1 << BITS)
                 of = np.array(numbers)[np.searchsorted(begin, at, side="right") - 1]
@@ -101,7 +101,7 @@ def ngram_counts(docs: DataFrame, good: list[int], id_col: str, text_col: str) -
         kind, at = np.nonzero(total)
         yield pd.DataFrame({"kind": kind, "at": at, "n": total[kind, at]})
 
-    rows = docs.select(id_order(F.col(id_col)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(id_order(F.col(id_col)).alias("__tl_id"), F.col(text_col).cast("string").alias("__tl_text"))
     sums = rows.mapInPandas(count, "kind bigint, at bigint, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((2, 1 << BITS), np.float64)
     out[sums["kind"].to_numpy(np.int64), sums["at"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
@@ -134,17 +134,17 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     number = id_order(F.col(id_col))
     uniform = (F.pmod(F.xxhash64(F.lit(seed + 1), number), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = docs.withColumn("log_ratio", F.round(log_ratio(F.col(text_col).cast("string")), 6)).withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform)))
-    keys = materialize(scored.select(number.alias("_i"), "log_ratio", "gumbel_key"), "keys")
+    keys = materialize(scored.select(number.alias("__tl_i"), "log_ratio", "gumbel_key"), "keys")
     n = keys.count()
     k = (round(n * share) if usable and share is not None else n) if k is None else k
     kept = F.lit(True)
     if k < n:
         cut = kth_largest(keys, k)
-        kept = F.lit(False) if cut is None else (F.col("gumbel_key") > cut[0]) | ((F.col("gumbel_key") == cut[0]) & (F.col("_i") <= cut[1]))
+        kept = F.lit(False) if cut is None else (F.col("gumbel_key") > cut[0]) | ((F.col("gumbel_key") == cut[0]) & (F.col("__tl_i") <= cut[1]))
     if docs.columns == [id_col]:
-        return keys.select(F.col("_i").alias(id_col), "log_ratio", "gumbel_key", kept.alias("kept"))
-    decided = keys.withColumn("kept", kept).groupBy("_i").agg(F.max("log_ratio").alias("log_ratio"), F.max("gumbel_key").alias("gumbel_key"), F.max("kept").alias("kept"))
-    return docs.withColumn("_i", number).join(decided, "_i", "left").select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
+        return keys.select(F.col("__tl_i").alias(id_col), "log_ratio", "gumbel_key", kept.alias("kept"))
+    decided = keys.withColumn("kept", kept).groupBy("__tl_i").agg(F.max("log_ratio").alias("log_ratio"), F.max("gumbel_key").alias("gumbel_key"), F.max("kept").alias("kept"))
+    return docs.withColumn("__tl_i", number).join(decided, "__tl_i", "left").select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
 
 
 def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
@@ -161,5 +161,5 @@ def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
                 break
             left -= b["count"]
         rows = rows.filter(at == b["b"])
-    last = rows.orderBy(F.col("gumbel_key").desc(), "_i").limit(left).orderBy("gumbel_key", F.col("_i").desc()).first()
-    return last["gumbel_key"], last["_i"]
+    last = rows.orderBy(F.col("gumbel_key").desc(), "__tl_i").limit(left).orderBy("gumbel_key", F.col("__tl_i").desc()).first()
+    return last["gumbel_key"], last["__tl_i"]

@@ -104,7 +104,7 @@ def _pack(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                for i, s in zip(part["_id"], shingle_sets(list(part["_text"]), k), strict=True):
+                for i, s in zip(part["__tl_id"], shingle_sets(list(part["__tl_text"]), k), strict=True):
                     held.append((i, s, signature(s)))
                     size += len(s)
                     if size >= CHUNK or len(held) >= 0xFFFF:
@@ -146,7 +146,7 @@ def _settle(pct: int):
         for t, i in zip(rows["tokens"], rows["idx"], strict=True):
             if len(i):
                 shared[np.frombuffer(i, np.uint16)] += np.frombuffer(t, np.uint32)
-        return pd.DataFrame({"_id": ids, "n": n, "s1": s1, "s2": s2, "open": (n > 0) & (100 * shared >= pct * n)})
+        return pd.DataFrame({"__tl_id": ids, "n": n, "s1": s1, "s2": s2, "open": (n > 0) & (100 * shared >= pct * n)})
 
     return settle
 
@@ -342,10 +342,10 @@ def _large_clusters(members: DataFrame, large: DataFrame, joined) -> DataFrame:
     """
     cuts = F.broadcast(large.select("cluster", "blocks", "pivot")) if large.limit(10_001).count() <= 10_000 else large.select("cluster", "blocks", "pivot")
     placed = members.join(cuts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    own = placed.select("_id", "node", "cluster", "n", "block")
+    own = placed.select("__tl_id", "node", "cluster", "n", "block")
     pivots = large.select("pivot.*", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     task = lambda *c: F.xxhash64("cluster", *c)
-    first = joined(own.unionByName(pivots.select("_id", "node", "cluster", "n", "block")).select("_id", "node", task("block").alias("task")))
+    first = joined(own.unionByName(pivots.select("__tl_id", "node", "cluster", "n", "block")).select("__tl_id", "node", task("block").alias("task")))
 
     def grouped(edges: DataFrame) -> DataFrame:
         found = connected(edges.select(F.col("node").alias("a"), F.col("rep").alias("b")))
@@ -358,42 +358,42 @@ def _large_clusters(members: DataFrame, large: DataFrame, joined) -> DataFrame:
     if loose.limit(1).count():
         rest = groups.join(loose.select("cluster", "main"), "cluster")
         stray = rest.filter("g <> main")
-        parts = stray.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER).alias("parts"), F.max("block").alias("_b")).drop("_b").join(large.select("cluster", "blocks"), "cluster")
+        parts = stray.groupBy("cluster").agg(F.ceil(F.sum("n") / CLUSTER).alias("parts"), F.max("block").alias("__tl_b")).drop("__tl_b").join(large.select("cluster", "blocks"), "cluster")
         asking = stray.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         asked = rest.join(parts, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        tasks = asking.select("_id", "node", task("to", "part").alias("task"), F.col("g").alias("known"), F.lit(True).alias("asks")).unionByName(asked.select("_id", "node", task("block", "part").alias("task"), F.col("g").alias("known"), F.lit(False).alias("asks")))
+        tasks = asking.select("__tl_id", "node", task("to", "part").alias("task"), F.col("g").alias("known"), F.lit(True).alias("asks")).unionByName(asked.select("__tl_id", "node", task("block", "part").alias("task"), F.col("g").alias("known"), F.lit(False).alias("asks")))
         second = joined(tasks)
         groups = grouped(first.select("node", "rep").unionByName(second.select("node", "rep")).unionByName(groups.select("node", F.col("g").alias("rep"))))
-    least = groups.groupBy("g").agg(F.min("_id").alias("component_id"))
+    least = groups.groupBy("g").agg(F.min("__tl_id").alias("component_id"))
     return groups.join(least, "g").select("node", "component_id")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, pct: int = PCT) -> DataFrame:
     """``docs`` with ``n_shingles`` and ``component_id``."""
     known = membership(docs, id_col, text_col, k, pct)
-    docs = drop_columns(docs, [*ADDED, "_i"])
+    docs = drop_columns(docs, [*ADDED, "__tl_i"])
     # rows that share an id share nothing else: the set's hash tells them apart
-    one = known.groupBy("_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    out = docs.withColumn("_i", id_order(F.col(id_col))).join(one.withColumnRenamed("_id", "_i"), "_i", "left")
+    one = known.groupBy("__tl_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = docs.withColumn("__tl_i", id_order(F.col(id_col))).join(one.withColumnRenamed("__tl_id", "__tl_i"), "__tl_i", "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, pct: int = PCT) -> DataFrame:
-    """(_id, n_shingles, component_id), a row for each row of ``docs``; no text is shuffled but those of cluster members."""
-    texts = docs.select(id_order(F.col(id_col)).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n_ranges = max(1, min(65_536, round(size / 6 / RANGE)))
-    shared = _pack(texts, k, n_ranges).withColumn("_spread", F.when(F.col("key") < 0, F.col("chunk")).otherwise(F.col("key")))
-    shared = shared.groupBy("key", "_spread").applyInPandas(lambda key, rows: _own(key, rows), "chunk bigint, tokens binary, idx binary")
-    known = materialize(shared.groupBy("chunk").applyInPandas(_settle(pct), "_id bigint, n bigint, s1 bigint, s2 bigint, open boolean"), "sets")
-
-    classes = known.filter("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("open").alias("open"))
+    """(__tl_id, n_shingles, component_id), a row for each row of ``docs``; no text is shuffled but those of cluster members."""
+    texts = docs.select(id_order(F.col(id_col)).alias("__tl_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__tl_text"))
+    size = texts.agg(F.sum(F.octet_length("__tl_text"))).first()[0] or 0
+    n_ranges = max(1, min(CHUNK // 16, round(size / 6 / RANGE)))
+    shared = _pack(texts, k, n_ranges).withColumn("__tl_spread", F.when(F.col("key") < 0, F.col("chunk")).otherwise(F.col("key")))
+    shared = shared.groupBy("key", "__tl_spread").applyInPandas(lambda key, rows: _own(key, rows), "chunk bigint, tokens binary, idx binary")
+    known = materialize(shared.groupBy("chunk").applyInPandas(_settle(pct), "__tl_id bigint, n bigint, s1 bigint, s2 bigint, open boolean"), "sets")
+
+    classes = known.filter("n > 0").groupBy("s1", "s2").agg(F.min("__tl_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("open").alias("open"))
     nodes = materialize(classes.filter("open").select("s1", "first", "n"), "nodes")
 
     def picked(ids: DataFrame) -> DataFrame:
-        """The texts of the documents in ``ids`` (_id, ...), which are broadcast if they are few enough."""
+        """The texts of the documents in ``ids`` (__tl_id, ...), which are broadcast if they are few enough."""
         few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        return texts.join(F.broadcast(ids) if few else ids, "_id")
+        return texts.join(F.broadcast(ids) if few else ids, "__tl_id")
 
     total = known.filter("open").agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // (SLICES * SLICE_GROUP)))
@@ -403,7 +403,7 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part, out = batch.iloc[at : at + 256], []
-                for node, s in zip(part["node"], shingle_sets(list(part["_text"]), k), strict=True):
+                for node, s in zip(part["node"], shingle_sets(list(part["__tl_text"]), k), strict=True):
                     if signature(s)[0] != node:
                         continue
                     cuts = np.searchsorted(s >> np.uint64(64 - bits), np.arange(SLICES + 1, dtype=np.uint64))
@@ -414,10 +414,10 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             out += [(i, int(g), node, own.tobytes()) for g in np.unique(low % np.uint64(groups))]
                 yield pd.DataFrame(out, columns=["slice", "part", "node", "tokens"])
 
-    parts = picked(nodes.select(F.col("first").alias("_id"), F.col("s1").alias("node"))).mapInPandas(slices, "slice int, part bigint, node bigint, tokens binary")
+    parts = picked(nodes.select(F.col("first").alias("__tl_id"), F.col("s1").alias("node"))).mapInPandas(slices, "slice int, part bigint, node bigint, tokens binary")
     edges = parts.groupBy("slice", "part").applyInPandas(_slice_edges(pct), "a bigint, b bigint")
     clusters = connected(edges)
-    members = materialize(clusters.join(nodes.withColumnRenamed("s1", "node"), "node").select(F.col("first").alias("_id"), "node", "cluster", "n"), "clusters")
+    members = materialize(clusters.join(nodes.withColumnRenamed("s1", "node"), "node").select(F.col("first").alias("__tl_id"), "node", "cluster", "n"), "clusters")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Tasks follow each other, their nodes in order: the component of each node, by its first document."""
@@ -433,7 +433,7 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                for i, node, task, known, asks, s in zip(part["_id"], part["node"], part["task"], part["known"], part["asks"], shingle_sets(list(part["_text"]), k), strict=True):
+                for i, node, task, known, asks, s in zip(part["__tl_id"], part["node"], part["task"], part["known"], part["asks"], shingle_sets(list(part["__tl_text"]), k), strict=True):
                     if signature(s)[0] != node:
                         continue
                     if task != now and held:
@@ -448,12 +448,12 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield close()
 
     def joined(tasks: DataFrame) -> DataFrame:
-        """``tasks``: _id, node, task, and optionally known, asks."""
+        """``tasks``: __tl_id, node, task, and optionally known, asks."""
         extra = {} if "known" in tasks.columns else {"known": F.lit(None).cast("bigint"), "asks": F.lit(True)}
-        rows = picked(tasks.withColumns(extra).select("_id", "node", "task", F.col("known").cast("string").alias("known"), "asks"))
+        rows = picked(tasks.withColumns(extra).select("__tl_id", "node", "task", F.col("known").cast("string").alias("known"), "asks"))
         return materialize(rows.repartition("task").sortWithinPartitions("task", "node").mapInPandas(join, "node bigint, rep bigint, component_id bigint"), "joined")
 
-    sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.min(F.struct("_id", "node", "n")).alias("pivot"))
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.min(F.struct("__tl_id", "node", "n")).alias("pivot"))
     large = materialize(sizes.filter(F.col("tokens") > CLUSTER).withColumn("blocks", F.ceil(F.col("tokens") / CLUSTER)), "large")
     linked = joined(members.join(large, "cluster", "left_anti").withColumn("task", F.col("cluster"))).select("node", "component_id")
     if large.limit(1).count():
@@ -462,6 +462,6 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a salt spreads a large group of copies, and gives the small side a shuffle of its own, so that AQE may split what is still large
     salts = 8
     moved = moved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = known.withColumn("salt", F.pmod(F.hash("_id"), F.lit(salts))).join(moved, ["s1", "s2", "salt"], "left")
-    component = F.coalesce("c", "_id")
-    return out.select("_id", F.col("n").alias("n_shingles"), F.when(component == LONG_MAX, None).otherwise(component).alias("component_id"))
+    out = known.withColumn("salt", F.pmod(F.hash("__tl_id"), F.lit(salts))).join(moved, ["s1", "s2", "salt"], "left")
+    component = F.coalesce("c", "__tl_id")
+    return out.select("__tl_id", F.col("n").alias("n_shingles"), F.when(component == LONG_MAX, None).otherwise(component).alias("component_id"))

@@ -253,5 +253,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
             out += label(group, known, switch)
             yield pd.DataFrame(out, columns=["lang_pred", "score", "span_ends", "span_langs"])
 
-    docs = drop_columns(docs, ["lang_pred", "score", "span_ends", "span_langs", "_l"])
-    return docs.withColumn("_l", predict(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_l.*")
+    docs = drop_columns(docs, ["lang_pred", "score", "span_ends", "span_langs", "__tl_l"])
+    return docs.withColumn("__tl_l", predict(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "__tl_l.*")

@@ -196,8 +196,8 @@ def license_scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
             out += _scan(known, templates, group) if group else []
             yield pd.DataFrame(out, columns=["n_paragraphs", "licenses", "license_at", "license_score"])
 
-    docs = drop_columns(docs, ["n_paragraphs", "licenses", "license_at", "license_score", "_l"])
-    return docs.withColumn("_l", scan(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_l.*")
+    docs = drop_columns(docs, ["n_paragraphs", "licenses", "license_at", "license_score", "__tl_l"])
+    return docs.withColumn("__tl_l", scan(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "__tl_l.*")
 
 
 def _scan(model: Model, templates: dict[str, list[set]], group: list[bytes]) -> list[tuple]:

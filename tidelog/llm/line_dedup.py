@@ -31,13 +31,13 @@ SALTS = 4
 def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int, with_place: bool) -> DataFrame:
     """A row for each line whose key is long enough: its document, and its key's hash."""
     text = text_or_empty(text_col)
-    place = [F.xxhash64(text).alias("_row"), F.posexplode_outer(F.split(text, "\n", -1)).alias("_pos", "_line")] if with_place else [F.explode_outer(F.split(text, "\n", -1)).alias("_line")]
-    lines = docs.select(id_order(F.col(id_col)).alias("_doc"), *place)
-    key = ascii_lower(F.btrim("_line", F.lit(WS)))
+    place = [F.xxhash64(text).alias("__tl_row"), F.posexplode_outer(F.split(text, "\n", -1)).alias("__tl_pos", "__tl_line")] if with_place else [F.explode_outer(F.split(text, "\n", -1)).alias("__tl_line")]
+    lines = docs.select(id_order(F.col(id_col)).alias("__tl_doc"), *place)
+    key = ascii_lower(F.btrim("__tl_line", F.lit(WS)))
     return (
-        lines.filter(F.char_length(F.btrim("_line", F.lit(WS))) >= min_chars)
-        .withColumn("_key", key)
-        .select("_doc", *(["_row", "_pos"] if with_place else []), F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
+        lines.filter(F.char_length(F.btrim("__tl_line", F.lit(WS))) >= min_chars)
+        .withColumn("__tl_key", key)
+        .select("__tl_doc", *(["__tl_row", "__tl_pos"] if with_place else []), F.xxhash64("__tl_key").alias("__tl_h1"), F.xxhash64(F.lit(7), "__tl_key").alias("__tl_h2"))
     )
 
 
@@ -50,30 +50,30 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     held = _places(docs, id_col, text_col, min_chars, False)
     if min_docs > 2:
-        held = held.groupBy("_h1", "_h2", "_doc").agg(F.lit(1).alias("_n")).groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") >= min_docs)
+        held = held.groupBy("__tl_h1", "__tl_h2", "__tl_doc").agg(F.lit(1).alias("__tl_n")).groupBy("__tl_h1", "__tl_h2").agg(F.min("__tl_doc").alias("__tl_first"), F.count("*").alias("__tl_n")).filter(F.col("__tl_n") >= min_docs)
     else:
-        held = held.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"))
-        held = held.filter(F.col("_first") != F.col("_last")) if min_docs == 2 else held
-    repeated = held.select("_h1", "_h2", "_first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+        held = held.groupBy("__tl_h1", "__tl_h2").agg(F.min("__tl_doc").alias("__tl_first"), F.max("__tl_doc").alias("__tl_last"))
+        held = held.filter(F.col("__tl_first") != F.col("__tl_last")) if min_docs == 2 else held
+    repeated = held.select("__tl_h1", "__tl_h2", "__tl_first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__tl_salt"))
     drops = (
         _places(docs, id_col, text_col, min_chars, True)
-        .withColumn("_salt", F.pmod(F.hash("_doc"), F.lit(SALTS)))
-        .join(repeated, ["_h1", "_h2", "_salt"])
-        .filter(F.col("_doc") != F.col("_first"))
-        .groupBy("_doc", "_row")
-        .agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
+        .withColumn("__tl_salt", F.pmod(F.hash("__tl_doc"), F.lit(SALTS)))
+        .join(repeated, ["__tl_h1", "__tl_h2", "__tl_salt"])
+        .filter(F.col("__tl_doc") != F.col("__tl_first"))
+        .groupBy("__tl_doc", "__tl_row")
+        .agg(F.sort_array(F.collect_set("__tl_pos")).alias("__tl_drop"))
     )
     docs = drop_columns(docs, ["n_lines", "n_dropped"])
     text = text_or_empty(text_col)
-    joined = docs.withColumns({"_doc": id_order(F.col(id_col)), "_row": F.xxhash64(text)}).join(drops, ["_doc", "_row"], "left")
+    joined = docs.withColumns({"__tl_doc": id_order(F.col(id_col)), "__tl_row": F.xxhash64(text)}).join(drops, ["__tl_doc", "__tl_row"], "left")
     lines = F.split(text, "\n", -1)
     # one flag a line, made from the gaps between dropped positions: linear in the number of lines
-    gaps = F.expr("zip_with(_drop, concat(array(-1), slice(_drop, 1, size(_drop) - 1)), (d, p) -> concat(array_repeat(false, d - p - 1), array(true)))")
+    gaps = F.expr("zip_with(__tl_drop, concat(array(-1), slice(__tl_drop, 1, size(__tl_drop) - 1)), (d, p) -> concat(array_repeat(false, d - p - 1), array(true)))")
     kept = F.filter(F.zip_with(lines, F.flatten(gaps), lambda line, gone: F.when(F.coalesce(gone, F.lit(False)), None).otherwise(line)), lambda x: x.isNotNull())
     out = {
         "n_lines": F.size(lines).cast("bigint"),
-        "n_dropped": F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("bigint"),
-        "_kept": F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n")),
+        "n_dropped": F.when(F.col("__tl_drop").isNull(), F.lit(0)).otherwise(F.size("__tl_drop")).cast("bigint"),
+        "__tl_kept": F.when(F.col("__tl_drop").isNull(), text).otherwise(F.array_join(kept, "\n")),
     }
-    cols = [F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    cols = [F.col("__tl_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return joined.withColumns(out).select(*cols, "n_lines", "n_dropped")

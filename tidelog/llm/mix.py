@@ -52,19 +52,19 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     times its size) stops there and the rest goes to the others by weight. In the order
     of cap over weight the capped sources come first, so running sums find the split.
     """
-    by_name, by_ratio, every = W.orderBy(F.col("source").asc_nulls_last()), W.orderBy("_ratio", F.col("source").asc_nulls_last()), W.partitionBy()
+    by_name, by_ratio, every = W.orderBy(F.col("source").asc_nulls_last()), W.orderBy("__tl_ratio", F.col("source").asc_nulls_last()), W.partitionBy()
     before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
     weight = F.element_at(F.array(*[F.lit(int(w)).cast("bigint") for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    s = sources.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * max_epochs)
-    s = s.withColumn("_ratio", F.col("_cap").cast("double") / F.col("_w"))
+    s = sources.withColumn("__tl_w", weight).withColumn("__tl_cap", F.col("source_size") * max_epochs)
+    s = s.withColumn("__tl_ratio", F.col("__tl_cap").cast("double") / F.col("__tl_w"))
     s = s.withColumns({
-        "_rank": F.row_number().over(by_ratio),
-        "_num": F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0)),
-        "_den": F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)),
+        "__tl_rank": F.row_number().over(by_ratio),
+        "__tl_num": F.sum("source_size").over(every) - F.coalesce(F.sum("__tl_cap").over(before), F.lit(0)),
+        "__tl_den": F.sum("__tl_w").over(every) - F.coalesce(F.sum("__tl_w").over(before), F.lit(0)),
     })
-    fits = F.col("_num") * F.col("_w") <= F.col("_cap") * F.col("_den")
-    s = s.withColumn("_first", F.min(F.when(fits, F.struct("_rank", "_num", "_den"))).over(every))
-    target = F.when(F.col("_rank") < F.col("_first._rank"), F.col("_cap").cast("double")).otherwise((F.col("_first._num") * F.col("_w")).cast("double") / F.col("_first._den"))
+    fits = F.col("__tl_num") * F.col("__tl_w") <= F.col("__tl_cap") * F.col("__tl_den")
+    s = s.withColumn("__tl_first", F.min(F.when(fits, F.struct("__tl_rank", "__tl_num", "__tl_den"))).over(every))
+    target = F.when(F.col("__tl_rank") < F.col("__tl_first.__tl_rank"), F.col("__tl_cap").cast("double")).otherwise((F.col("__tl_first.__tl_num") * F.col("__tl_w")).cast("double") / F.col("__tl_first.__tl_den"))
     return s.select("source", "source_size", "n_docs", target.alias("target"))
 
 
@@ -72,39 +72,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` (words taken from the document, repeats counted)."""
     spark = docs.sparkSession
     docs = drop_columns(docs, ADDED)
-    sized = materialize(docs.select(F.col(source_col).cast("string").alias("source"), id_order(F.col(id_col)).alias("_id"), random_key(id_col, seed).alias("_key"), n_words(text_col).alias("size")), "sizes")
+    sized = materialize(docs.select(F.col(source_col).cast("string").alias("source"), id_order(F.col(id_col)).alias("__tl_id"), random_key(id_col, seed).alias("__tl_key"), n_words(text_col).alias("size")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     budget = F.floor(F.col("target") + 0.5)
-    plan = source_targets(sources, weights, max_epochs).withColumn("_budget", budget)
-    full = F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0).cast("bigint"))
-    plan = plan.withColumn("_epochs", full).withColumn("_rest", F.col("_budget") - F.col("_epochs") * F.col("source_size"))
-    plan = plan.withColumn("_ranges", F.ceil(F.col("n_docs") / RANGE_DOCS))
+    plan = source_targets(sources, weights, max_epochs).withColumn("__tl_budget", budget)
+    full = F.when(F.col("source_size") > 0, F.expr("__tl_budget div source_size")).otherwise(F.lit(0).cast("bigint"))
+    plan = plan.withColumn("__tl_epochs", full).withColumn("__tl_rest", F.col("__tl_budget") - F.col("__tl_epochs") * F.col("source_size"))
+    plan = plan.withColumn("__tl_ranges", F.ceil(F.col("n_docs") / RANGE_DOCS))
     plan, small = _local(plan)
 
     # prefix sums over key ranges, then within the range where the budget ends
     hint = F.broadcast if small else (lambda df: df)
-    at = F.expr("shiftright(cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * _ranges, 32)")
-    placed = sized.join(hint(plan.select(F.col("source").alias("_s"), "_ranges", "_rest")), F.col("source").eqNullSafe(F.col("_s")))
-    placed = placed.filter((F.col("_rest") > 0) & (F.col("size") > 0)).select("source", "_id", "_key", "size", "_rest", at.alias("_range"))
-    ranges = placed.groupBy("source", "_range", "_rest").agg(F.sum("size").alias("_sum"))
-    upto = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
-    ranges = ranges.withColumn("_upto", F.sum("_sum").over(upto)).filter((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_sum") < F.col("_rest")))
-    ranges, few = _local(ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), (F.col("_upto") - F.col("_sum")).alias("_base")))
-    inside = placed.join(F.broadcast(ranges) if few else ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    order = W.partitionBy("source", "_range").orderBy("_key", "_id", "size")
-    alike = W.partitionBy("source", "_range", "_key", "_id", "size")
-    inside = inside.withColumns({"_upto": F.col("_base") + F.sum("size").over(order), "_alike": F.count("*").over(alike)})
-    inside = inside.withColumn("_before", F.col("_upto") - F.col("_alike") * F.col("size"))
-    cut = inside.filter((F.col("_upto") >= F.col("_rest")) & (F.col("_before") < F.col("_rest")))
-    cut = cut.groupBy("source").agg(F.min(F.struct("_key", "_id", "size")).alias("_cut"), F.min("_before").alias("_before"), F.min("_alike").alias("_alike"))
-    cut = cut.select(F.col("source").alias("_s"), "_cut", "_before", "_alike")
-    decided, small = _local(plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_source"))
-
-    mine = F.struct(F.col("_key"), F.col("_id"), F.col("size"))
-    part = F.when(F.col("_cut").isNull(), 0).when(mine < F.col("_cut"), F.col("size")).when(mine == F.col("_cut"), F.expr("(_rest - _before) div _alike")).otherwise(0)
-    out = docs.withColumns({"_id": id_order(F.col(id_col)), "_key": random_key(id_col, seed), "size": n_words(text_col)})
-    out = out.join(F.broadcast(decided) if small else decided, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    return out.withColumn("taken", (F.col("_epochs") * F.col("size") + part).cast("bigint")).select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
+    at = F.expr("shiftright(cast(conv(substr(__tl_key, 1, 8), 16, 10) as bigint) * __tl_ranges, 32)")
+    placed = sized.join(hint(plan.select(F.col("source").alias("__tl_s"), "__tl_ranges", "__tl_rest")), F.col("source").eqNullSafe(F.col("__tl_s")))
+    placed = placed.filter((F.col("__tl_rest") > 0) & (F.col("size") > 0)).select("source", "__tl_id", "__tl_key", "size", "__tl_rest", at.alias("__tl_range"))
+    ranges = placed.groupBy("source", "__tl_range", "__tl_rest").agg(F.sum("size").alias("__tl_sum"))
+    upto = W.partitionBy("source").orderBy("__tl_range").rowsBetween(W.unboundedPreceding, 0)
+    ranges = ranges.withColumn("__tl_upto", F.sum("__tl_sum").over(upto)).filter((F.col("__tl_upto") >= F.col("__tl_rest")) & (F.col("__tl_upto") - F.col("__tl_sum") < F.col("__tl_rest")))
+    ranges, few = _local(ranges.select(F.col("source").alias("__tl_s"), F.col("__tl_range").alias("__tl_r"), (F.col("__tl_upto") - F.col("__tl_sum")).alias("__tl_base")))
+    inside = placed.join(F.broadcast(ranges) if few else ranges, F.col("source").eqNullSafe(F.col("__tl_s")) & (F.col("__tl_range") == F.col("__tl_r")))
+    order = W.partitionBy("source", "__tl_range").orderBy("__tl_key", "__tl_id", "size")
+    alike = W.partitionBy("source", "__tl_range", "__tl_key", "__tl_id", "size")
+    inside = inside.withColumns({"__tl_upto": F.col("__tl_base") + F.sum("size").over(order), "__tl_alike": F.count("*").over(alike)})
+    inside = inside.withColumn("__tl_before", F.col("__tl_upto") - F.col("__tl_alike") * F.col("size"))
+    cut = inside.filter((F.col("__tl_upto") >= F.col("__tl_rest")) & (F.col("__tl_before") < F.col("__tl_rest")))
+    cut = cut.groupBy("source").agg(F.min(F.struct("__tl_key", "__tl_id", "size")).alias("__tl_cut"), F.min("__tl_before").alias("__tl_before"), F.min("__tl_alike").alias("__tl_alike"))
+    cut = cut.select(F.col("source").alias("__tl_s"), "__tl_cut", "__tl_before", "__tl_alike")
+    decided, small = _local(plan.join(cut, F.col("source").eqNullSafe(F.col("__tl_s")), "left").drop("__tl_s").withColumnRenamed("source", "__tl_source"))
+
+    mine = F.struct(F.col("__tl_key"), F.col("__tl_id"), F.col("size"))
+    part = F.when(F.col("__tl_cut").isNull(), 0).when(mine < F.col("__tl_cut"), F.col("size")).when(mine == F.col("__tl_cut"), F.expr("(__tl_rest - __tl_before) div __tl_alike")).otherwise(0)
+    out = docs.withColumns({"__tl_id": id_order(F.col(id_col)), "__tl_key": random_key(id_col, seed), "size": n_words(text_col)})
+    out = out.join(F.broadcast(decided) if small else decided, F.col(source_col).cast("string").eqNullSafe(F.col("__tl_source")))
+    return out.withColumn("taken", (F.col("__tl_epochs") * F.col("size") + part).cast("bigint")).select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
 
 
 def _local(df: DataFrame) -> tuple[DataFrame, bool]:

@@ -69,18 +69,18 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = MIN_
     docs = drop_columns(docs, [*ADDED, "cleaned_text"])
     text = text_or_empty(text_col)
     with_word = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WS)) != "")
-    out = docs.withColumns({"_words": ws_words(text), "_lines": with_word})
-    out = out.withColumns({"_good": F.filter("_lines", line_passes), "n_words": F.size("_words").cast("bigint"), "n_lines": F.size("_lines").cast("bigint")})
+    out = docs.withColumns({"__tl_words": ws_words(text), "__tl_lines": with_word})
+    out = out.withColumns({"__tl_good": F.filter("__tl_lines", line_passes), "n_words": F.size("__tl_words").cast("bigint"), "n_lines": F.size("__tl_lines").cast("bigint")})
     out = out.withColumns({
-        "word_chars": F.char_length(F.array_join("_words", "")).cast("bigint"),
+        "word_chars": F.char_length(F.array_join("__tl_words", "")).cast("bigint"),
         "n_symbols": F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("bigint"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-        "n_repeat_words": n_repeat_words(F.col("_words")).cast("bigint"),
-        "n_kept_lines": F.size("_good").cast("bigint"),
-        "cleaned_text": F.array_join("_good", "\n"),
-        "_all_chars": F.char_length(F.array_join("_lines", "")),
+        "n_dup_lines": (F.size("__tl_lines") - F.size(F.array_distinct("__tl_lines"))).cast("bigint"),
+        "n_repeat_words": n_repeat_words(F.col("__tl_words")).cast("bigint"),
+        "n_kept_lines": F.size("__tl_good").cast("bigint"),
+        "cleaned_text": F.array_join("__tl_good", "\n"),
+        "__tl_all_chars": F.char_length(F.array_join("__tl_lines", "")),
     })
-    out = out.withColumn("kept_share", F.when(F.col("_all_chars") > 0, F.char_length(F.array_join("_good", "")) / F.col("_all_chars")).otherwise(F.lit(0.0)))
+    out = out.withColumn("kept_share", F.when(F.col("__tl_all_chars") > 0, F.char_length(F.array_join("__tl_good", "")) / F.col("__tl_all_chars")).otherwise(F.lit(0.0)))
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= min_kept_share))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED, "cleaned_text")

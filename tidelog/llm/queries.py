@@ -51,7 +51,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return membership(read(spark, sf_dir, "documents")).select(F.when(F.col("_id") < LONG_MAX, F.col("_id")).alias("doc_id"), "n_shingles", "component_id")
+    return membership(read(spark, sf_dir, "documents")).select(F.when(F.col("__tl_id") < LONG_MAX, F.col("__tl_id")).alias("doc_id"), "n_shingles", "component_id")
 
 
 def op8_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
