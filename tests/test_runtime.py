@@ -174,3 +174,60 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["state", "reset", "--config", str(path), "--confirm"]) == 0
     path.write_text("name: x")
     assert cli.main(["validate", "--config", str(path)]) == 2
+
+
+LOG = """
+name: shop
+source: {family: postgresql, database: app, path: "${LANDING}", include: ["public\\\\..*"], messages: true, message_include: ["app\\\\..*"]}
+sink: {kind: files, path: out, prefix: p}
+"""
+
+
+def test_landed_log_as_batch_and_stream(spark, tmp_path, sf_dir):
+    from tidelog.plans.delivery import log_records
+    from tidelog.sources import tables
+
+    landing = str(tmp_path / "log")
+    c = config.load(LOG, {"LANDING": landing})
+    customers = tables.read_table(spark, f"{sf_dir}/customer.parquet", columns=["c_custkey", "c_name"]).filter("c_custkey < 3")
+    names = [f.name for f in tables.LOG_ENTRY.fields]
+    row = lambda **k: tuple(k.get(n) for n in names)
+    log = spark.createDataFrame([
+        row(kind="begin", lsn=10, txid=1), row(kind="insert", lsn=11, commit_lsn=20, txid=1, total_order=1, collection_order=1, schema="public", table="t", key='{"id":1}', after='{"id":1}', ts_us=5000),
+        row(kind="insert", lsn=12, txid=1, schema="audit", table="t", key='{"id":1}', after="{}"), row(kind="delete", lsn=13, txid=1, schema="public", table="t", key='{"id":1}', before='{"id":1}', ts_us=6000), row(kind="commit", lsn=20, txid=1),
+        row(kind="message", lsn=30, prefix="app.x", content=b"hi", transactional=False, ts_us=7000), row(kind="message", lsn=31, prefix="other", content=b"no", transactional=False),
+    ], tables.LOG_ENTRY)
+    entries = tables.table_entries(customers, "customer", "public", ["c_custkey"], 5).unionByName(log)
+    entries.coalesce(1).write.parquet(landing)
+    batch = log_records(spark.read.parquet(landing), c).collect()
+    topics = sorted(str(r["topic"]) for r in batch)
+    assert topics == ["None", "None", "p.app.public.customer", "p.app.public.customer", "p.app.public.customer", "p.app.public.t", "p.app.public.t", "p.app.public.t", "p.message"]
+    assert len({r["headers"]["tidelog.event.id"] for r in batch if r["topic"]}) == 7
+    assert sum(r["value"] is None for r in batch if r["topic"]) == 1 and any(r["value"] and json.loads(r["value"]).get("message") == {"prefix": "app.x", "content": "aGk="} for r in batch)
+    path = tmp_path / "c.yaml"
+    path.write_text(LOG.replace("${LANDING}", landing).replace("path: out", f"path: {tmp_path}/out") + f"runtime: {{state_dir: {tmp_path}/s}}\n")
+    assert cli.main(["run", "--available-now", "--config", str(path)]) == 0
+    assert sorted(map(repr, spark.read.parquet(f"{tmp_path}/out").select("topic", "key", "value").collect())) == sorted(repr(r) for r in log_records(spark.read.parquet(landing), c).filter("topic is not null").select("topic", "key", "value").collect())
+    assert runtime.CheckpointStore(f"{tmp_path}/s").load("shop").position["lsn"] == 31
+
+
+def test_file_sources(spark, tmp_path):
+    from tidelog.sources import tables
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, name string")
+    for fmt in tables.FILE_FORMATS:
+        df.write.format(fmt).save(str(tmp_path / fmt))
+        assert sorted(map(tuple, tables.read_table(spark, str(tmp_path / fmt), fmt, schema=df.schema).collect())) == [(1, "a"), (2, None)]
+    with pytest.raises(ValueError):
+        tables.read_table(spark, "x", "csv")
+    with pytest.raises(ValueError):
+        tables.read_table(spark, "x", "odd")
+
+
+def test_keyset_bounds_reach_the_scan(spark, sf_dir):
+    from tidelog.queries import QUERIES
+
+    plan = QUERIES["q_keyset_chunk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "(o_custkey" in plan and "TakeOrderedAndProject" in plan
+    scan = [str(x) for x in QUERIES["q_keyset_chunk"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert any("o_custkey" in x and ">= 40" in x and "Filter" in x for x in scan)

@@ -11,7 +11,7 @@ from . import config as cf
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidelog")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, what in (("validate", "check a configuration"), ("run", "deliver a bridge source's documents until stopped")):
+    for name, what in (("validate", "check a configuration"), ("run", "deliver a landed source until stopped")):
         c = commands.add_parser(name, help=what)
         c.add_argument("--config", required=True)
         if name == "run":
@@ -48,17 +48,19 @@ def main(argv: list[str] | None = None) -> int:
 def run(config: cf.Config, store, available_now: bool) -> int:
     from pyspark.sql import SparkSession
 
-    from .plans.delivery import bridge_records
+    from .plans.delivery import source_records
     from .streaming import runtime
 
-    if config.source.family != "bridge":
-        print("error: a native source's log has to be landed as envelopes first; use the bridge family", file=sys.stderr)
-        return 2
     sink = {"stdout": lambda: runtime.StdoutSink(), "files": lambda: runtime.FileSink(config.sink.path), "kafka": lambda: runtime.KafkaSink(config.sink.servers, **config.sink.options)}[config.sink.kind]()
     spark = SparkSession.builder.appName(config.name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     r = config.runtime
     connector = runtime.Connector(config.name, sink, store, config.identity(), retries=r.max_retries, retry_initial_ms=r.retry_initial_ms, retry_max_ms=r.retry_max_ms)
-    query = connector.start(bridge_records(spark, config), r.checkpoint_dir or f"{r.state_dir}/stream", available_now)
+    try:
+        stream = source_records(spark, config)
+    except ValueError as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
+    query = connector.start(stream, r.checkpoint_dir or f"{r.state_dir}/stream", available_now)
     try:
         query.awaitTermination()
     except KeyboardInterrupt:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..encode import json as ej
+from ..functions import ids
 from ..functions.positions import sort_key
-from ..model import HEARTBEAT
+from ..model import COMMIT, DATA, HEARTBEAT
 from ..operators.snapshot import includes
-from ..sources import bridge
+from ..sources import bridge, tables
 
 
 def records(docs: DataFrame, config: Config) -> DataFrame:
@@ -38,3 +39,50 @@ def records(docs: DataFrame, config: Config) -> DataFrame:
 
 def bridge_records(spark: SparkSession, config: Config) -> DataFrame:
     return records(bridge.read_stream(spark, config.source.path), config)
+
+
+def log_records(entries: DataFrame, config: Config) -> DataFrame:
+    """Landed PostgreSQL log entries (and snapshot rows as ``read``) to sink records.
+
+    Row-wise, so the same for a batch and a stream; ordinals come with the entries.
+    Commits and filtered messages have no topic: they only move the position on.
+    """
+    kind, none = F.col("kind"), F.lit(None).cast("bigint")
+    codes = {"read": "r", "insert": "c", "update": "u", "delete": "d", "truncate": "t", "message": "m"}
+    op = F.coalesce(*[F.when(kind == k, c) for k, c in codes.items()])
+    commit = kind.isin("commit", "stream_commit") | ((kind == "message") & ~F.coalesce("transactional", F.lit(True)))
+    prefix_ok = includes(F.col("prefix"), config.source.message_include, config.source.message_exclude)
+    chosen = F.when(kind == "message", F.lit(config.source.messages) & prefix_ok).otherwise(includes(F.concat_ws(".", "schema", "table"), config.source.include, config.source.exclude) & op.isNotNull())
+    rows = entries.filter(op.isNotNull() | commit).withColumns({"op": op, "boundary": F.when(commit, COMMIT).otherwise(DATA), "chosen": F.coalesce(chosen, F.lit(False))})
+    rows = rows.filter(F.col("chosen") | (F.col("boundary") == COMMIT))
+    db, snapshot = F.lit(config.source.database), F.col("op") == "r"
+    serial = F.coalesce("serial", F.lit(1))
+    position = ids.position_json("postgresql", lsn=F.col("lsn"), commit_lsn=F.col("commit_lsn"), txid=F.col("txid"), xmin=F.col("xmin"), serial=serial, snapshot=snapshot)
+    observed = F.floor(F.col("ts_us") / 1000)
+    source = ej.source_block(
+        "postgresql", "postgresql", config.name, db, F.col("schema"), F.col("table"), observed, F.when(snapshot, "initial"), commit_lsn=F.col("commit_lsn"), lsn=F.col("lsn"), txid=F.col("txid"), xmin=F.coalesce("xmin", none)
+    )
+    tx = ej.transaction_block(F.when(~snapshot, F.col("txid").cast("string")), F.col("total_order"), F.col("collection_order"))
+    value = F.when(F.col("op") == "m", ej.message_envelope(source, F.col("prefix"), F.col("content"), observed, tx)).otherwise(ej.envelope(F.col("before"), F.col("after"), source, F.col("op"), observed, tx))
+    prefix = config.sink.prefix or config.name
+    # rows of one snapshot share a position: their key tells them apart
+    ordinal = F.when(snapshot, F.xxhash64("key")).otherwise(serial)
+    out = rows.withColumns({
+        "event_id": ids.event_id(F.lit("postgresql"), F.lit(config.name), position, F.concat_ws(".", "schema", "table"), ordinal),
+        "topic": F.when(F.col("chosen"), F.when(F.col("op") == "m", ej.message_route(prefix)).otherwise(ej.route(prefix, db, F.col("schema"), F.col("table")))),
+        "value": value,
+        "pos": sort_key("postgresql", lsn=F.col("lsn"), serial=serial, snapshot=snapshot),
+        "source_us": F.col("ts_us"),
+    })
+    out = ej.with_tombstones(out, config.format.tombstones)
+    headers = F.create_map(F.lit("tidelog.event.id"), F.col("event_id"), F.lit("tidelog.tombstone"), F.col("is_tombstone").cast("string"))
+    return out.select("topic", "key", "value", headers.alias("headers"), "boundary", "pos", "source_us")
+
+
+def source_records(spark: SparkSession, config: Config) -> DataFrame:
+    """The stream of a configured source."""
+    if config.source.family == "bridge":
+        return bridge_records(spark, config)
+    if config.source.family == "postgresql":
+        return log_records(tables.read_log(spark, config.source.path), config)
+    raise ValueError(f"{config.source.family}: land its log as envelopes and use the bridge family")
