@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate as dc
 from tidelog.llm import importance, langid, license_scan
-from tidelog.llm.chat_format import chat_format, loss_mask, read_back, unescape
+from tidelog.llm.chat_format import chat_format, encoder, loss_mask, read_back, unescape
 from tidelog.llm.jaccard_join import components, connected, jaccard_join, membership
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.mix import mix
@@ -296,6 +296,16 @@ def test_token_counts_are_the_librarys(text):
     assert counter.count(text) == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+@given(TEXTS)
+@settings(max_examples=300, deadline=None)
+def test_chat_encoding_is_the_librarys(text):
+    e = encoder(default_path())
+    text = f"<|im_start|>user<|im_sep|>{text}<|im_end|>\n"
+    whole = e.tokenizer.encode(text, add_special_tokens=False)
+    ids, starts, ends = e.encode(text)
+    assert ids.tolist() == whole.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == whole.offsets
+
+
 def test_every_safe_character_is_split_alike():
     counter = cached_counter(default_path())
     for c in map(chr, (*range(0x250), *range(0x2010, 0x2028), 0x20AC)):

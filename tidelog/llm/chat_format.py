@@ -23,18 +23,21 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .token_count import default_path
+from .token_count import LONGEST_CACHED, SAFE, default_path, splitter
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.DOTALL)
 ESCAPED = re.compile(r"<(\\*)\\\|")
 LEARNED_ROLE = "assistant"
+#: Pre-tokens that a worker remembers the encoding of.
+REMEMBERED = 150_000
 
 
 def escape(c: Column) -> Column:
@@ -53,13 +56,54 @@ def render(conversations: DataFrame) -> DataFrame:
     return turns.select("conv_id", F.array_join(shown, "").alias("formatted"))
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder(dict):
+    """pre-token -> (ids, starts, ends) as the library gives them; a bounded cache.
+
+    Pre-tokens are merged on their own, so a text's encoding is put together from those of
+    its pre-tokens. Texts outside the splitter's alphabet go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.add_special_tokens([START, SEP, END])
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+        self.marks = {t: self.library(t) for t in special}
+
+    def library(self, text: str) -> tuple:
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return tuple(e.ids), tuple(a for a, _ in e.offsets), tuple(b for _, b in e.offsets)
+
+    def __missing__(self, token: str) -> tuple:
+        found = self.library(token)
+        if len(token) <= LONGEST_CACHED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = found
+        return found
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids, and where tokens start and end."""
+        if SAFE.fullmatch(text):
+            find, tokens, found = splitter().findall, [], []
+            for i, part in enumerate(self.special.split(text)):
+                own = [part] if i % 2 else find(part)
+                tokens += own
+                found += [self.marks[part]] if i % 2 else map(self.__getitem__, own)
+            sizes = np.fromiter(map(len, tokens), np.int32, len(tokens))
+            base = np.repeat(np.cumsum(sizes) - sizes, np.fromiter((len(f[0]) for f in found), np.int32, len(found)))
+        else:
+            found, base = [self.library(text)], 0
+        ids, starts, ends = (np.fromiter(chain.from_iterable(f[k] for f in found), np.int32) for k in range(3))
+        return ids, (starts + base).astype(np.int32), (ends + base).astype(np.int32)
+
 
-    t = Tokenizer.from_file(path)
-    t.add_special_tokens([START, SEP, END])
-    return t
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -77,14 +121,13 @@ def chat_format(conversations: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.pandas_udf("token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<tinyint>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(path or default_path())
+        tokens = encoder(path or default_path())
         for texts in batches:
             rows = []
             for text in texts:
-                e = tokenizer.encode(text, add_special_tokens=False)
-                at = np.asarray(e.offsets, dtype=np.int32).reshape(-1, 2)
+                ids, starts, ends = tokens.encode(text)
                 spans = [m.span(2) for m in TURN.finditer(text) if unescape(m[1]) == LEARNED_ROLE]
-                rows.append((np.asarray(e.ids, dtype=np.int32), at[:, 0], at[:, 1], loss_mask(at[:, 0], at[:, 1], spans)))
+                rows.append((ids, starts, ends, loss_mask(starts, ends, spans)))
             yield pd.DataFrame(rows, columns=["token_ids", "token_starts", "token_ends", "loss_mask"])
 
     return render(conversations).withColumn("__tl_e", encode("formatted")).select("conv_id", "formatted", "__tl_e.*")
