@@ -63,8 +63,7 @@ def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     set_already = spark.sparkContext.getCheckpointDir()
