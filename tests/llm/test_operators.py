@@ -367,6 +367,40 @@ def test_license_scan(spark, empty):
     assert license_scan.license_scan(empty, license_scan.train(empty)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_license_scan_finds_wrapped_notices(spark):
+    wrapped = [MIT, f"{PROSE}\n{MIT}\n{EN}", f"{EN}\n\n{MIT.replace(chr(10), chr(13) + chr(10))}\n\n{EN}", APACHE, f"{PROSE}\n{GPL}", MIT.replace(" ", "\n")]
+    titles = ["MIT License", "The MIT License (MIT)", f"{PROSE}\n\nMIT License\n\nCopyright (c) 2020", "GNU GENERAL PUBLIC LICENSE"]
+    clean = [MIT[: MIT.index("(the")].split("\n")[0], "\n".join([EN, *(f"{EN}\n{w}" for w in MIT.split("\n"))]), f"the MIT licence was lost\n{EN}", "permission is hereby granted\nto leave the room"]
+    rows = list(enumerate(wrapped + titles + clean)) + [(i, f"{DE}\n{EN} {i}") for i in range(20, 60)] + [(60, f"{MIT}\n\n{EN}"), (61, MIT.split("\n", 1)[1]), (62, "\n".join(MIT.split("\n")[:1])), (63, "\n".join(MIT.split("\n")[1:]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs, license_scan.train(docs)).collect()}
+    assert [got[i]["licenses"] for i in range(10)] == [["MIT"]] * 3 + [["Apache-2.0"], ["GPL"], ["MIT"]] + [["MIT"]] * 3 + [["GPL"]]
+    # the template ends with "copies of the Software", in the fifth line
+    assert [got[i]["license_at"] for i in (0, 1, 2)] == [[0, 1, 2, 3, 4], [1, 2, 3, 4, 5], [2, 3, 4, 5, 6]] and got[8]["license_at"] == [2]
+    assert all(got[i]["licenses"] == [] for i in [*range(10, 14), *range(20, 60), 62])
+    assert got[60]["licenses"] == got[61]["licenses"] == got[63]["licenses"] == ["MIT"]
+
+
 # importance resampling
 
 

@@ -7,6 +7,12 @@ paragraphs; its temperature is set on variants that training did not see, so tha
 probability of ``unknown`` is calibrated. A predicted family counts only where the
 paragraph shares enough three-word shingles with one of the family's templates.
 
+A notice may be wrapped over many lines, none of which is enough by itself. So the shingles
+of a text are also looked up across its line ends; where those of one template lie close
+together over more than one line, these lines are joined, then classified and confirmed like
+a paragraph, and each of them is reported. Where two families claim a line, that with more of
+a template found prevails over mere pieces. A line that is a licence's title counts as it stands.
+
 Prediction is one scan without a shuffle, vectorised over all words of a piece of text.
 
 Defined cases. A null text, or one without a word, has no paragraph. Repeated rows are
@@ -15,6 +21,7 @@ scanned alike. Columns named like an added one are replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,6 +85,19 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ],
 }
+#: Titles, which count only where they are a whole line.
+TITLES = {
+    "Apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0"],
+    "BSD": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "The BSD License", "New BSD License", "Simplified BSD License"],
+    "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0": ["CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"],
+    "GPL": ["GNU General Public License", "GNU General Public License, version 3", "The GNU General Public License"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 3", "The GNU Lesser General Public License"],
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "Mozilla Public License Version 2.0"],
+}
 #: Everything but letters, digits, line ends and bytes of longer characters separates words.
 PLAIN = bytes(c if c == 10 or c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -134,7 +154,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     drawn = docs.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(text_col)), F.lit(1_000_003)) < (min(1.0, sample_docs / max(n, 1)) * 1_000_003))
     lines = drawn.select(F.explode_outer(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("p")).filter("length(p) between 3 and 2000").orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS)
     shingled = {f: [_shingles(t) for t in TEMPLATES[f]] for f in families[:-1]}
-    other = [r[0] for r in lines.collect() if not any(_confirmed(r[0], shingled[f]) for f in shingled)]
+    other = [r[0] for r in lines.collect() if _title(r[0]) is None and not any(_confirmed(r[0], shingled[f], piece=True) for f in shingled)]
     other += ["the use of this work is described in the text of the agreement", "this file is part of the program", "version 3 of the software was released", "free to use", "terms and conditions of the service"]
     samples = [(v, k) for k, f in enumerate(families[:-1]) for t in TEMPLATES[f] for v in _variants(t, rng, 40)] + [(p, len(families) - 1) for p in other]
     order = rng.permutation(len(samples))
@@ -170,10 +190,58 @@ def _shingles(text: str) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
 
 
-def _confirmed(paragraph: str, templates: list[set]) -> bool:
-    """Whether the paragraph holds enough of a template, or is itself mostly a piece of one."""
+def _confirmed(paragraph: str, templates: list[set], piece: bool = False) -> bool:
+    """Whether the paragraph holds enough of a template, or is itself mostly a piece of one (of any length with ``piece``)."""
     own = _shingles(paragraph)
-    return any(len(own & t) >= MIN_SHARED * min(len(own), len(t)) for t in templates if own and t and len(own) * 4 >= len(t))
+    return any(len(own & t) >= MIN_SHARED * min(len(own), len(t)) for t in templates if own and t and (piece or len(own) * 4 >= len(t)))
+
+
+def _title(line: str) -> str | None:
+    """The family whose title the line is."""
+    return _titles().get(tuple(line.lower().encode().translate(PLAIN).split()))
+
+
+@functools.cache
+def _titles() -> dict[tuple[bytes, ...], str]:
+    return {tuple(t.lower().encode().translate(PLAIN).split()): f for f, titles in TITLES.items() for t in titles}
+
+
+def _triples(h: np.ndarray) -> np.ndarray:
+    """Hashes of three neighbouring words each."""
+    return mix((h[:-2] * np.uint64(0xD6E8FEB86659FD93) + h[1:-1]) * np.uint64(0xD6E8FEB86659FD93) + h[2:])
+
+
+@functools.cache
+def _template_triples() -> list[tuple[str, int, np.ndarray]]:
+    """By template of at least three words: its family, its number among the family's, the sorted hashes of its shingles."""
+    hashed = [(f, k, word_hashes(t.encode().translate(PLAIN))[0]) for f, texts in TEMPLATES.items() for k, t in enumerate(texts)]
+    return [(f, k, np.unique(_triples(h))) for f, k, h in hashed if len(h) > 2]
+
+
+def _runs(data: bytes, begin: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, str, int, int, int, int, int]]:
+    """Stretches over more than one line of a document that hold enough of a template.
+
+    Gives the number of shingles found, the family, the template's number, the first and last line, and the first and last byte of what was found.
+    Shingles that are further apart than a third of the template do not belong together.
+    """
+    h, at = word_hashes(data.translate(PLAIN))
+    if len(h) < 3:
+        return
+    line = np.searchsorted(begin, at, side="right") - 1
+    triple = _triples(h)
+    every = np.unique(np.concatenate([t for _, _, t in _template_triples()]))
+    hit = np.flatnonzero((every[np.minimum(np.searchsorted(every, triple), len(every) - 1)] == triple) & (doc[line[:-2]] == doc[line[2:]]))
+    ends = np.append(at[1:], len(data))
+    for family, k, own in _template_triples():
+        places = hit[np.isin(triple[hit], own)]
+        if not len(places):
+            continue
+        apart = (np.diff(places) > max(3, len(own) // 3)) | np.diff(doc[line[places]]).astype(bool)
+        for run in np.split(places, np.flatnonzero(apart) + 1):
+            first, last = run[0], run[-1] + 2
+            n = len(np.unique(triple[run]))
+            if line[first] < line[last] and n * 4 >= MIN_SHARED * len(own):
+                yield n, family, k, int(line[first]), int(line[last]), int(at[first]), int(ends[last])
 
 
 def license_scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -204,13 +272,40 @@ def _scan(model: Model, templates: dict[str, list[set]], group: list[bytes]) ->
     data = b"\n".join(group)
     p, n, begin = probabilities(model, data)
     first = np.searchsorted(begin, np.cumsum([0, *(len(g) + 1 for g in group)]))
-    found: dict[int, list[tuple]] = {}
+    doc = np.searchsorted(first, np.arange(len(begin)), side="right") - 1
+    ends = np.append(begin[1:] - 1, len(data))
+    found: dict[tuple[int, str], float] = {}
+    pieces: set[tuple[int, str]] = set()
+    joined: dict[int, str] = {}
+
+    def text(a: int, b: int) -> str:
+        return data[a:b].decode("utf-8", "replace")
+
     guess = p.argmax(axis=1)
     for line in np.flatnonzero((guess < len(model.families) - 1) & (p.max(axis=1) >= MIN_PROBABILITY) & (n > 0)).tolist():
         family = model.families[guess[line]]
-        end = int(begin[line + 1]) - 1 if line + 1 < len(begin) else len(data)
-        if _confirmed(data[begin[line] : end].decode("utf-8", "replace"), templates[family]):
-            of = int(np.searchsorted(first, line, side="right")) - 1
-            found.setdefault(of, []).append((family, line - int(first[of]), float(p[line, guess[line]])))
+        paragraph = text(begin[line], ends[line])
+        if _confirmed(paragraph, templates[family]):
+            found[line, family] = float(p[line, guess[line]])
+            if not any(len(_shingles(paragraph) & t) >= MIN_SHARED * len(t) for t in templates[family]):
+                pieces.add((line, family))
+    for line in np.flatnonzero((n > 0) & (n <= max(map(len, _titles())))).tolist():
+        family = _title(text(begin[line], ends[line]))
+        if family is not None:
+            found.setdefault((line, family), float(p[line, model.families.index(family)]))
+    for _, family, k, a, b, start, end in sorted(_runs(data, begin, doc), key=lambda r: (-r[0], *r[1:])):
+        if any(joined.get(line, family) != family for line in range(a, b + 1)):
+            continue
+        share = probabilities(model, data[start:end].replace(b"\n", b" "))[0][0]
+        if model.families[share.argmax()] != family or share.max() < MIN_PROBABILITY:
+            continue
+        if _confirmed(text(begin[a], ends[b]), templates[family][k : k + 1]):
+            for line in (np.flatnonzero(n[a : b + 1] > 0) + a).tolist():
+                joined[line] = family
+                found[line, family] = max(found.get((line, family), 0.0), float(share.max()))
+    found = {(line, f): x for (line, f), x in found.items() if (line, f) not in pieces or joined.get(line, f) == f}
     words = np.concatenate(([0], np.cumsum(n > 0)))
-    return [(int(words[b] - words[a]), sorted({f[0] for f in found.get(i, [])}), [f[1] for f in found.get(i, [])], max((round(f[2], 6) for f in found.get(i, [])), default=0.0)) for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))]
+    by_doc: list[list[tuple]] = [[] for _ in group]
+    for (line, family), score in sorted(found.items()):
+        by_doc[doc[line]].append((family, line - int(first[doc[line]]), score))
+    return [(int(words[b] - words[a]), sorted({f[0] for f in own}), sorted({f[1] for f in own}), max((round(f[2], 6) for f in own), default=0.0)) for own, a, b in zip(by_doc, first[:-1], first[1:], strict=True)]
