@@ -418,6 +418,21 @@ def test_importance_resampling(spark, empty):
     assert importance.importance_resample(empty, labels).count() == 0
 
 
+def test_importance_pairs_stay_inside_a_document(spark):
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(60)] + [(60, "w1"), (61, "w1"), (62, None), (63, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(0, 60, 2)], "doc_id bigint, quality int, toxic int")
+    together, alone = ({r["doc_id"]: r["log_ratio"] for r in importance.importance_resample(docs.repartition(n, "doc_id"), labels).collect()} for n in (1, 64))
+    assert together == alone and together[60] == together[61] == together[63]
+    texts = [t or "" for _, t in rows]
+    ((_, begin, data),) = importance._pieces(texts)
+    each = [importance.features(t.encode(), np.array([0, len(t) + 1]))[0].tolist() for t in texts]
+    bucket, at = importance.features(data, begin)
+    of = np.searchsorted(begin, at, side="right") - 1
+    assert [bucket[of == i].tolist() for i in range(len(texts))] == each
+    assert importance.ngram_counts(docs.repartition(1), [60], "doc_id", "text").sum(axis=1).tolist() == [sum(map(len, each)), 1]
+
+
 @given(st.lists(st.integers(-3, 3), min_size=1, max_size=30), st.data())
 @settings(max_examples=15, deadline=None)
 def test_kth_largest(spark, values, data):

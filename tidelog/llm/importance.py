@@ -7,6 +7,7 @@ replacement in proportion to the weights, the same on every run.
 
 Tokens are runs of letters and digits, and runs of other visible characters, case kept;
 features are tokens and pairs of neighbours (a token repeated at once is one feature of its own).
+Documents are joined for speed only: no pair reaches over the end of a document.
 
 The target model reads a bounded sample of labelled documents (``sample``); the raw model
 counts all documents, as sums by bucket that are combined on the map side. ``k`` follows
@@ -46,8 +47,8 @@ def _kinds() -> np.ndarray:
     return kind
 
 
-def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of tokens and pairs, and the first byte of each."""
+def features(data: bytes, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of tokens and pairs, and the first byte of each; ``begin`` has the first byte of each document."""
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -64,8 +65,10 @@ def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = mix((sums[ends] - sums[starts]) * inverse[starts])
     pair = mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
     pair[h[:-1] == h[1:]] = np.uint64(1) << np.uint64(63)
-    at = np.concatenate((starts, starts[1:]))
-    return (np.concatenate((h, pair)) >> np.uint64(64 - BITS)).astype(np.int64), at
+    of = np.searchsorted(begin, starts, side="right")
+    inside = of[1:] == of[:-1]
+    at = np.concatenate((starts, starts[1:][inside]))
+    return (np.concatenate((h, pair[inside])) >> np.uint64(64 - BITS)).astype(np.int64), at
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, bytes]]:
@@ -94,7 +97,7 @@ def ngram_counts(docs: DataFrame, good: list[int], id_col: str, text_col: str) -
         for batch in batches:
             is_good = np.isin(batch["__tl_id"].to_numpy(), known.value)
             for numbers, begin, data in _pieces(list(batch["__tl_text"])):
-                bucket, at = features(data)
+                bucket, at = features(data, begin)
                 total[0] += np.bincount(bucket, minlength=1 << BITS)
                 of = np.array(numbers)[np.searchsorted(begin, at, side="right") - 1]
                 total[1] += np.bincount(bucket[is_good[of]], minlength=1 << BITS)
@@ -126,7 +129,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
         for texts in batches:
             out = np.zeros(len(texts))
             for numbers, begin, data in _pieces(list(texts)):
-                bucket, at = features(data)
+                bucket, at = features(data, begin)
                 np.add.at(out, numbers, np.bincount(np.searchsorted(begin, at, side="right") - 1, weights=shared.value[bucket], minlength=len(numbers))[: len(numbers)])
             yield pd.Series(out)
 
