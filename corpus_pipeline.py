@@ -18,6 +18,8 @@ from tidelog.llm.mix import mix
 
 #: A document whose main language has a smaller share of its letters is rejected.
 MIN_LANG_SHARE = 0.5
+#: Near duplicates share this much (%) of their shingles of so many words; op7's contract (4 words, 85 %) binds its query only.
+NEAR_SHINGLE, NEAR_PCT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
-    gone = membership(docs).filter(F.col("component_id") < F.col("__tl_id")).select("__tl_id").distinct()
+    gone = membership(docs, k=NEAR_SHINGLE, pct=NEAR_PCT).filter(F.col("component_id") < F.col("__tl_id")).select("__tl_id").distinct()
     return docs.join(gone, id_order(F.col("doc_id")) == F.col("__tl_id"), "left_anti")
 
 

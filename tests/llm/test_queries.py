@@ -47,3 +47,17 @@ def test_pipeline(spark, sf_dir, connection):
     assert {r["doc_id"] for r in kept["jaccard_join"].collect()} == want
     run = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(repr, run.collect())) == sorted(map(repr, docs.select(run.columns).collect()))
+
+
+def staged(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.char_length("text").cast("bigint").alias("n_chars"))
+    return sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_documents(spark, docs.repartition(3), "").collect()), key=repr)
+
+
+def words(a, b):
+    return " ".join(f"w{i}" for i in range(a, b))
+
+
+def test_pipeline_near_duplicates_have_five_words_and_80_percent(spark):
+    rows = [(1, words(0, 500)), (2, words(0, 610)), (3, words(1000, 1500)), (4, words(1000, 1640))]
+    assert staged(spark, rows) == [rows[i] for i in (0, 2, 3)]  # 496 of 606 shingles; 496 of 636
