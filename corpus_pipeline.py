@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import langid
-from tidelog.llm.common import id_order, materialize, read
+from tidelog.llm.common import materialize, read
 from tidelog.llm.decontaminate import decontaminate
-from tidelog.llm.jaccard_join import membership
+from tidelog.llm.jaccard_join import keep_first
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.mix import mix
 
@@ -35,9 +35,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays."""
-    gone = membership(docs, k=NEAR_SHINGLE, pct=NEAR_PCT).filter(F.col("component_id") < F.col("__tl_id")).select("__tl_id").distinct()
-    return docs.join(gone, id_order(F.col("doc_id")) == F.col("__tl_id"), "left_anti")
+    """Of each component of near duplicates the row with the smallest id stays (a null one is the largest; then a hash of the text decides)."""
+    return keep_first(docs, k=NEAR_SHINGLE, pct=NEAR_PCT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.oracle import compare, duck
 from tidelog.llm.common import materialize
+from tidelog.llm.jaccard_join import jaccard_join
 from tidelog.llm.queries import QUERIES
 from tidelog.llm.sql import ORACLE_SQL
 
@@ -61,3 +62,20 @@ def words(a, b):
 def test_pipeline_near_duplicates_have_five_words_and_80_percent(spark):
     rows = [(1, words(0, 500)), (2, words(0, 610)), (3, words(1000, 1500)), (4, words(1000, 1640))]
     assert staged(spark, rows) == [rows[i] for i in (0, 2, 3)]  # 496 of 606 shingles; 496 of 636
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    a, b, c, d, e = (words(i * 1000, i * 1000 + 40) for i in range(5))
+    near = d + " more"
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, d), (3, near), (4, e), (4, e), (None, words(9000, 9040)), (None, words(9000, 9041)), (None, b), (5, c)]
+    got = staged(spark, rows)
+    assert sorted(r for r in got if r[0] is not None) == sorted([(1, a), (2, c), (2, d), (4, e)])
+    null = [t for i, t in got if i is None]
+    assert len(null) == 2 and b in null and set(null) - {b} < {words(9000, 9040), words(9000, 9041)}
+
+
+def test_jaccard_join_tells_rows_with_one_id_apart(spark):
+    rows = [(1, words(0, 40)), (None, words(0, 40)), (None, words(100, 150)), (7, words(200, 230)), (7, words(0, 40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join(docs).collect()), key=repr)
+    assert got == sorted([(1, 37, 1), (None, 37, 1), (None, 47, None), (7, 27, 7), (7, 37, 1)], key=repr)

@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_MAX, drop_columns, id_order, materialize
+from .common import LONG_MAX, drop_columns, id_order, materialize, text_or_empty
 from .hashing import mix, shingle_sets
 
 PCT = 85
@@ -82,6 +82,7 @@ def _pack(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
         def ship() -> pd.DataFrame:
             nonlocal held, size, chunk
             ids, sets = np.array([h[0] for h in held], np.int64), [h[1] for h in held]
+            texts = np.array([h[3] for h in held], np.int64)
             lens = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets), dtype=np.uint16), lens)
@@ -96,7 +97,7 @@ def _pack(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
             small = ((every * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.uint32) if n_ranges > 1 else (every >> np.uint64(32)).astype(np.uint32)
             cuts = np.searchsorted(of, np.arange(n_ranges + 1, dtype=np.uint64))
             sig = np.array([h[2] for h in held], np.int64).reshape(-1, 2)
-            rows = [(-1, chunk, np.concatenate((ids, lens, sig[:, 0], sig[:, 1], local)).tobytes(), b"")]
+            rows = [(-1, chunk, np.concatenate((ids, texts, lens, sig[:, 0], sig[:, 1], local)).tobytes(), b"")]
             rows += [(r, chunk, small[a:b].tobytes(), owner[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             held, size, chunk = [], 0, chunk + 1
             return pd.DataFrame(rows, columns=["key", "chunk", "tokens", "idx"])
@@ -104,8 +105,8 @@ def _pack(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                for i, s in zip(part["__tl_id"], shingle_sets(list(part["__tl_text"]), k), strict=True):
-                    held.append((i, s, signature(s)))
+                for i, row, s in zip(part["__tl_id"], part["__tl_row"], shingle_sets(list(part["__tl_text"]), k), strict=True):
+                    held.append((i, s, signature(s), row))
                     size += len(s)
                     if size >= CHUNK or len(held) >= 0xFFFF:
                         yield ship()
@@ -141,12 +142,12 @@ def _settle(pct: int):
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         """The documents of a chunk, and whether enough of their shingles are shared."""
         table = rows.loc[rows["idx"].map(len) == 0, "tokens"].iloc[0]
-        ids, n, s1, s2, shared = np.frombuffer(table, np.int64).reshape(5, -1)
+        ids, texts, n, s1, s2, shared = np.frombuffer(table, np.int64).reshape(6, -1)
         shared = shared.copy()
         for t, i in zip(rows["tokens"], rows["idx"], strict=True):
             if len(i):
                 shared[np.frombuffer(i, np.uint16)] += np.frombuffer(t, np.uint32)
-        return pd.DataFrame({"__tl_id": ids, "n": n, "s1": s1, "s2": s2, "open": (n > 0) & (100 * shared >= pct * n)})
+        return pd.DataFrame({"__tl_id": ids, "__tl_row": texts, "n": n, "s1": s1, "s2": s2, "open": (n > 0) & (100 * shared >= pct * n)})
 
     return settle
 
@@ -334,7 +335,7 @@ def components(nodes: list[int], sets: list[np.ndarray], pct: int = PCT, known:
 
 
 def _large_clusters(members: DataFrame, large: DataFrame, joined) -> DataFrame:
-    """(node, component_id) for clusters too large for one task.
+    """(node, rep), rep being a node of its component, for clusters too large for one task.
 
     A cluster is dealt into blocks, and its first document goes with each of them: for near
     copies of one text that already connects everything. What lies outside the largest
@@ -364,36 +365,65 @@ def _large_clusters(members: DataFrame, large: DataFrame, joined) -> DataFrame:
         tasks = asking.select("__tl_id", "node", task("to", "part").alias("task"), F.col("g").alias("known"), F.lit(True).alias("asks")).unionByName(asked.select("__tl_id", "node", task("block", "part").alias("task"), F.col("g").alias("known"), F.lit(False).alias("asks")))
         second = joined(tasks)
         groups = grouped(first.select("node", "rep").unionByName(second.select("node", "rep")).unionByName(groups.select("node", F.col("g").alias("rep"))))
-    least = groups.groupBy("g").agg(F.min("__tl_id").alias("component_id"))
-    return groups.join(least, "g").select("node", "component_id")
+    return groups.select("node", F.col("g").alias("rep"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, pct: int = PCT) -> DataFrame:
     """``docs`` with ``n_shingles`` and ``component_id``."""
-    known = membership(docs, id_col, text_col, k, pct)
-    docs = drop_columns(docs, [*ADDED, "__tl_i"])
-    # rows that share an id share nothing else: the set's hash tells them apart
-    one = known.groupBy("__tl_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    out = docs.withColumn("__tl_i", id_order(F.col(id_col))).join(one.withColumnRenamed("__tl_id", "__tl_i"), "__tl_i", "left")
+    known = row_membership(docs, id_col, text_col, k, pct)
+    docs = drop_columns(docs, [*ADDED, "__tl_id", "__tl_row"])
+    # the hash of the text tells rows that share an id apart; rows alike in both are in one component
+    one = known.groupBy("__tl_id", "__tl_row").agg(F.min("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = docs.withColumns(row_key(id_col, text_col)).join(one, ["__tl_id", "__tl_row"], "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> dict[str, Column]:
+    """What tells rows apart: the id in order, and a hash of the text."""
+    return {"__tl_id": id_order(F.col(id_col)), "__tl_row": F.xxhash64(text_or_empty(text_col))}
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, pct: int = PCT) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id, of these with the smallest hash of its text.
+
+    Rows alike in id and text (null being an id here) are one document, of which the row with the smallest other columns stays.
+    """
+    known = row_membership(docs, id_col, text_col, k, pct)
+    names, key = docs.columns, ["__tl_id", "__tl_row"]
+    stay = (F.col("__tl_id") == F.col("__tl_first.__tl_id")) & (F.col("__tl_row") == F.col("__tl_first.__tl_row"))
+    keyed = docs.withColumns(row_key(id_col, text_col))
+    kept = keyed.join(known.filter(~stay).select(*key).distinct(), key, "left_anti")
+    again = materialize(known.filter(stay).groupBy(*key).count().filter("count > 1").select(*key), "again")
+    if again.limit(1).count() == 0:
+        return kept.select(*[F.col(f"`{c}`") for c in names])
+    one = kept.join(again, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__tl_one"))
+    return kept.join(again, key, "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(one.select("__tl_one.*"))
+
+
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, pct: int = PCT) -> DataFrame:
-    """(__tl_id, n_shingles, component_id), a row for each row of ``docs``; no text is shuffled but those of cluster members."""
-    texts = docs.select(id_order(F.col(id_col)).alias("__tl_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__tl_text"))
+    """(__tl_id, n_shingles, component_id), a row for each row of ``docs``."""
+    return row_membership(docs, id_col, text_col, k, pct).select("__tl_id", "n_shingles", "component_id")
+
+
+def row_membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, pct: int = PCT) -> DataFrame:
+    """(__tl_id, __tl_row, n_shingles, component_id, __tl_first), a row for each row of ``docs``; ``__tl_first`` is the key of the component's first row.
+
+    No text is shuffled but those of cluster members.
+    """
+    texts = docs.select(*[c.alias(n) for n, c in row_key(id_col, text_col).items()], text_or_empty(text_col).alias("__tl_text"))
     size = texts.agg(F.sum(F.octet_length("__tl_text"))).first()[0] or 0
     n_ranges = max(1, min(CHUNK // 16, round(size / 6 / RANGE)))
     shared = _pack(texts, k, n_ranges).withColumn("__tl_spread", F.when(F.col("key") < 0, F.col("chunk")).otherwise(F.col("key")))
     shared = shared.groupBy("key", "__tl_spread").applyInPandas(lambda key, rows: _own(key, rows), "chunk bigint, tokens binary, idx binary")
-    known = materialize(shared.groupBy("chunk").applyInPandas(_settle(pct), "__tl_id bigint, n bigint, s1 bigint, s2 bigint, open boolean"), "sets")
+    known = materialize(shared.groupBy("chunk").applyInPandas(_settle(pct), "__tl_id bigint, __tl_row bigint, n bigint, s1 bigint, s2 bigint, open boolean"), "sets")
 
-    classes = known.filter("n > 0").groupBy("s1", "s2").agg(F.min("__tl_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("open").alias("open"))
-    nodes = materialize(classes.filter("open").select("s1", "first", "n"), "nodes")
+    classes = known.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("__tl_id", "__tl_row")).alias("key"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("open").alias("open")).withColumn("first", F.col("key.__tl_id"))
+    nodes = materialize(classes.filter("open").select("s1", "first", "n", "key"), "nodes")
 
     def picked(ids: DataFrame) -> DataFrame:
         """The texts of the documents in ``ids`` (__tl_id, ...), which are broadcast if they are few enough."""
         few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        return texts.join(F.broadcast(ids) if few else ids, "__tl_id")
+        return texts.drop("__tl_row").join(F.broadcast(ids) if few else ids, "__tl_id")
 
     total = known.filter("open").agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // (SLICES * SLICE_GROUP)))
@@ -417,7 +447,7 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = picked(nodes.select(F.col("first").alias("__tl_id"), F.col("s1").alias("node"))).mapInPandas(slices, "slice int, part bigint, node bigint, tokens binary")
     edges = parts.groupBy("slice", "part").applyInPandas(_slice_edges(pct), "a bigint, b bigint")
     clusters = connected(edges)
-    members = materialize(clusters.join(nodes.withColumnRenamed("s1", "node"), "node").select(F.col("first").alias("__tl_id"), "node", "cluster", "n"), "clusters")
+    members = materialize(clusters.join(nodes.withColumnRenamed("s1", "node"), "node").select(F.col("first").alias("__tl_id"), "node", "cluster", "n", "key"), "clusters")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Tasks follow each other, their nodes in order: the component of each node, by its first document."""
@@ -455,13 +485,20 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sizes = members.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.min(F.struct("__tl_id", "node", "n")).alias("pivot"))
     large = materialize(sizes.filter(F.col("tokens") > CLUSTER).withColumn("blocks", F.ceil(F.col("tokens") / CLUSTER)), "large")
-    linked = joined(members.join(large, "cluster", "left_anti").withColumn("task", F.col("cluster"))).select("node", "component_id")
+    linked = joined(members.join(large, "cluster", "left_anti").withColumn("task", F.col("cluster"))).select("node", "rep")
     if large.limit(1).count():
         linked = linked.unionByName(_large_clusters(members, large, joined))
-    moved = classes.filter("copies > 1 or open").join(linked.select(F.col("node").alias("s1"), F.col("component_id").alias("c")), "s1", "left").select("s1", "s2", F.least("first", F.coalesce("c", "first")).alias("c"))
+    # ids may be null or repeated, so a component's first row is found by its key
+    linked = materialize(linked.join(members.select("node", "key"), "node"), "linked")
+    least = linked.groupBy("rep").agg(F.min("key").alias("c"))
+    few = least.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    linked = linked.join(F.broadcast(least) if few else least, "rep").select(F.col("node").alias("s1"), "c")
+    moved = classes.filter("copies > 1 or open").join(linked, "s1", "left").select("s1", "s2", F.coalesce("c", "key").alias("c"))
     # a salt spreads a large group of copies, and gives the small side a shuffle of its own, so that AQE may split what is still large
     salts = 8
     moved = moved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = known.withColumn("salt", F.pmod(F.hash("__tl_id"), F.lit(salts))).join(moved, ["s1", "s2", "salt"], "left")
-    component = F.coalesce("c", "__tl_id")
-    return out.select("__tl_id", F.col("n").alias("n_shingles"), F.when(component == LONG_MAX, None).otherwise(component).alias("component_id"))
+    out = known.withColumn("salt", F.pmod(F.hash("__tl_id", "__tl_row"), F.lit(salts))).join(moved, ["s1", "s2", "salt"], "left")
+    first = F.coalesce("c", F.struct("__tl_id", "__tl_row"))
+    out = out.select("__tl_id", "__tl_row", F.col("n").alias("n_shingles"), first.alias("__tl_first"))
+    component = F.col("__tl_first.__tl_id")
+    return out.withColumn("component_id", F.when(component == LONG_MAX, None).otherwise(component))
