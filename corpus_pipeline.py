@@ -40,8 +40,11 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold too much of a benchmark item."""
-    return decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    """Drops documents that hold too much of a benchmark item, and cuts passages out of the others."""
+    marked = docs.withColumn("__tl_before", F.char_length("text"))
+    cleaned = decontaminate(marked, read(spark, sf_dir, "benchmark"), mode="both")
+    n_chars = F.char_length("text")
+    return cleaned.withColumn("n_chars", F.when(n_chars < F.col("__tl_before"), n_chars.cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,13 @@ def test_jaccard_join_tells_rows_with_one_id_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join(docs).collect()), key=repr)
     assert got == sorted([(1, 37, 1), (None, 37, 1), (None, 47, None), (7, 27, 7), (7, 37, 1)], key=repr)
+
+
+def test_pipeline_cuts_passages_out_of_long_documents(spark, tmp_path):
+    spark.createDataFrame([("i", words(0, 60))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    around = (words(1000, 2000), words(3000, 3440))
+    rows = [(1, f"{around[0]}\n{words(0, 60)} {around[1]}"), (2, f"{around[0]} {words(20, 33)} {around[1]}"), (3, f"{words(0, 60)} {words(1000, 1100)}"), (4, around[0]), (5, None), (None, f"{around[1]} {words(5, 18)}")]
+    docs = spark.createDataFrame([(i, t, t and len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    want = {1: "\n".join(around), 2: " ".join(around), 4: around[0], 5: None, None: f"{around[1]} "}
+    assert got == {i: (t, t and len(t)) for i, t in want.items()}

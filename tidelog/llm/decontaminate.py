@@ -86,15 +86,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, mode: str = "document", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``docs`` without contaminated documents (``mode="document"``), or with all hit words cut out of their texts (``"span"``)."""
-    if mode not in ("document", "span"):
+    """``docs`` without contaminated documents (``mode="document"``), with all hit words cut out of their texts (``"span"``), or both, the latter for documents that stay (``"both"``)."""
+    if mode not in ("document", "span", "both"):
         raise ValueError(f"mode: {mode}")
     found = scan(docs, benchmark, id_col, text_col, n, max_broadcast).withColumnRenamed(id_col, "__tl_id")
     same = F.col(id_col).eqNullSafe(F.col("__tl_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__tl_row"))
     if mode == "document":
         return docs.join(found.filter("contaminated").select("__tl_id", "__tl_row").distinct(), same, "left_anti")
-    spans = found.filter("n_hit > 0").select("__tl_id", "__tl_row", "spans").dropDuplicates(["__tl_id", "__tl_row"])
+    spans = found.filter("n_hit > 0").select("__tl_id", "__tl_row", "spans", F.col("contaminated").alias("__tl_gone")).dropDuplicates(["__tl_id", "__tl_row"])
     joined = docs.join(spans, same, "left")
+    if mode == "both":
+        joined = joined.filter(~F.coalesce("__tl_gone", F.lit(False)))
     # pieces of the text: separator, word, separator, word ...; words inside a span go with the separator after them
     word = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
     flags = F.expr("flatten(transform(spans, s -> sequence(s.at, s.at + s.len - 1)))")
