@@ -13,19 +13,19 @@ the texts in one shuffle on the document.
 
 Defined cases. A null or empty text is one empty line. A null id is one document that
 sorts after all others. Rows with one id are one document: they never make each other's
-lines repeated, and each row is cleaned on its own. Columns of the input named
-``n_lines`` or ``n_dropped`` are replaced; all others pass through.
+lines repeated, and each row is cleaned on its own. Columns of the input that are named
+like an added one are replaced; all others pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, ascii_lower, drop_columns, id_order, text_or_empty
 
-
 SALTS = 4
+ADDED = ["n_lines", "n_dropped"]
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int, with_place: bool) -> DataFrame:
@@ -41,8 +41,19 @@ def _places(docs: DataFrame, id_col: str, text_col: str, min_chars: int, with_pl
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """``docs`` with cleaned texts, ``n_lines`` (before) and ``n_dropped``.
+def longest_run(ordered: Column) -> Column:
+    """How often the commonest value of a sorted array occurs; one pass."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"].eqNullSafe(x), acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.aggregate(ordered, start, step, lambda acc: acc["most"])
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, from_one: bool = False) -> DataFrame:
+    """``docs`` with cleaned texts, ``n_lines`` (before) and ``n_dropped``; ``from_one`` adds ``n_from_one``, the most dropped lines that one and the same document holds first.
 
     Lines whose key (white space stripped at both ends, A-Z lower-cased) has
     ``min_chars`` code points or more and is found in ``min_docs`` documents or more are
@@ -61,9 +72,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(repeated, ["__tl_h1", "__tl_h2", "__tl_salt"])
         .filter(F.col("__tl_doc") != F.col("__tl_first"))
         .groupBy("__tl_doc", "__tl_row")
-        .agg(F.sort_array(F.collect_set("__tl_pos")).alias("__tl_drop"))
+        .agg(F.sort_array(F.collect_set(F.struct("__tl_pos", *["__tl_first"] * from_one))).alias("__tl_found"))
+        .withColumn("__tl_drop", F.col("__tl_found.__tl_pos"))
     )
-    docs = drop_columns(docs, ["n_lines", "n_dropped"])
+    drops = drops.withColumn("__tl_one", longest_run(F.array_sort(F.col("__tl_found.__tl_first")))) if from_one else drops
+    drops, added = drops.drop("__tl_found"), [*ADDED, *["n_from_one"] * from_one]
+    docs = drop_columns(docs, added)
     text = text_or_empty(text_col)
     joined = docs.withColumns({"__tl_doc": id_order(F.col(id_col)), "__tl_row": F.xxhash64(text)}).join(drops, ["__tl_doc", "__tl_row"], "left")
     lines = F.split(text, "\n", -1)
@@ -75,5 +89,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_dropped": F.when(F.col("__tl_drop").isNull(), F.lit(0)).otherwise(F.size("__tl_drop")).cast("bigint"),
         "__tl_kept": F.when(F.col("__tl_drop").isNull(), text).otherwise(F.array_join(kept, "\n")),
     }
+    if from_one:
+        out["n_from_one"] = F.coalesce("__tl_one", F.lit(0)).cast("bigint")
     cols = [F.col("__tl_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.withColumns(out).select(*cols, "n_lines", "n_dropped")
+    return joined.withColumns(out).select(*cols, *added)

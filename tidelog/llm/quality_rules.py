@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, drop_columns, let, text_or_empty, ws_words
+from .common import WS, drop_columns, let, text_or_empty, window_hashes, ws_words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -30,14 +30,6 @@ BOILERPLATE = "(?i)lorem ipsum|javascript|enable cookies|use of cookies|cookie p
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_kept_lines", "kept_share", "base_failed", "kept"]
 
 
-def window_hashes(hashes: Column, n: int) -> Column:
-    """Hashes of ``n`` neighbours from hashes of one, by doubling; places without ``n`` neighbours hold leftovers."""
-    if n == 1:
-        return hashes
-    half = n // 2 if n % 2 == 0 else n - 1
-    return let(window_hashes(hashes, half), lambda a: F.zip_with(a, F.slice(a if n % 2 == 0 else hashes, half + 1, F.size(hashes)), lambda x, y: F.xxhash64(x, y)))
-
-
 def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words that lie in a ``window``-word window found twice or more in the text."""
     hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.slice(window_hashes(h, window), 1, F.size(h) - (window - 1)))
