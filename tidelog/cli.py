@@ -16,6 +16,7 @@ def main(argv: list[str] | None = None) -> int:
         c.add_argument("--config", required=True)
         if name == "run":
             c.add_argument("--available-now", action="store_true", help="deliver what is there, then end")
+            c.add_argument("--ignore-unused", action="store_true", help="go on although some configured options do nothing here")
     state = commands.add_parser("state", help="stored state")
     state.add_argument("action", choices=["show", "reset"])
     state.add_argument("--config", required=True)
@@ -27,6 +28,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"error: {e}", file=sys.stderr)
         return 2
     if args.command == "validate":
+        for name in config.unhonoured():
+            print(f"warning: a run does nothing with {name}", file=sys.stderr)
         print(f"{config.name}: valid")
         return 0
 
@@ -42,10 +45,14 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         store.delete(config.name)
         return 0
+    if (unused := config.unhonoured()) and not args.ignore_unused:
+        print(f"error: a run does nothing with {', '.join(unused)}; remove them or give --ignore-unused", file=sys.stderr)
+        return 2
     return run(config, store, args.available_now)
 
 
 def run(config: cf.Config, store, available_now: bool) -> int:
+    from .encode.json import heartbeat_route
     from pyspark.sql import SparkSession
 
     from .plans.delivery import source_records
@@ -54,7 +61,9 @@ def run(config: cf.Config, store, available_now: bool) -> int:
     sink = {"stdout": lambda: runtime.StdoutSink(), "files": lambda: runtime.FileSink(config.sink.path), "kafka": lambda: runtime.KafkaSink(config.sink.servers, **config.sink.options)}[config.sink.kind]()
     spark = SparkSession.builder.appName(config.name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     r = config.runtime
-    connector = runtime.Connector(config.name, sink, store, config.identity(), retries=r.max_retries, retry_initial_ms=r.retry_initial_ms, retry_max_ms=r.retry_max_ms)
+    connector = runtime.Connector(config.name, sink, store, config.identity(), retries=r.max_retries, retry_initial_ms=r.retry_initial_ms, retry_max_ms=r.retry_max_ms, heartbeat_ms=r.heartbeat_interval_ms)
+    if r.heartbeat_interval_ms:
+        connector.heartbeat_topic = heartbeat_route(config.sink.prefix or config.name, config.sink.heartbeat_prefix, config.sink.heartbeat_topic)
     try:
         stream = source_records(spark, config)
     except ValueError as e:

@@ -13,6 +13,7 @@ from pathlib import Path
 from .functions.masking import Rule
 from .functions.positions import FAMILIES
 from .model import DEFAULTS, UNAVAILABLE
+from .operators.schema_history import Field, Table
 from .operators.snapshot import MODES
 
 
@@ -69,6 +70,26 @@ class Column:
         return Rule(self.selector, self.kind, self.length, self.algorithm, self.salt)
 
 
+@dataclass
+class TableColumn:
+    name: str
+    type: str
+    optional: bool = True
+    key: bool = False
+
+
+@dataclass
+class TableSchema:
+    """A declared table, by the name that selects it (``schema.table``, or ``database.table``)."""
+
+    name: str
+    columns: list[TableColumn] = field(default_factory=list)
+    version: int = 1
+
+    def table(self) -> Table:
+        return Table(self.name, self.version, [Field(c.name, c.type, c.optional, c.key) for c in self.columns])
+
+
 @dataclass
 class Format:
     kind: str = "envelope"  # envelope, native, json_schema, avro, protobuf
@@ -109,6 +130,7 @@ class Config:
     source: Source
     snapshot: Snapshot = field(default_factory=Snapshot)
     columns: list[Column] = field(default_factory=list)
+    tables: list[TableSchema] = field(default_factory=list)
     format: Format = field(default_factory=Format)
     sink: Sink = field(default_factory=Sink)
     runtime: Runtime = field(default_factory=Runtime)
@@ -125,6 +147,8 @@ class Config:
         check(self.source.family in FAMILIES, f"source.family: one of {', '.join(FAMILIES)}")
         check(self.snapshot.mode in MODES, f"snapshot.mode: one of {', '.join(MODES)}")
         check(self.format.kind in ("envelope", "native", "json_schema", "avro", "protobuf"), "format.kind: unknown")
+        check(self.format.kind not in ("json_schema", "avro", "protobuf") or bool(self.tables), f"tables: format {self.format.kind} needs the tables' schemas")
+        check(len({t.name for t in self.tables}) == len(self.tables), "tables: a name is given twice")
         check(self.sink.kind in ("stdout", "files", "kafka"), "sink.kind: unknown")
         check(self.sink.kind != "files" or bool(self.sink.path), "sink.path: needed for files")
         check(self.sink.kind != "kafka" or bool(self.sink.servers), "sink.servers: needed for kafka")
@@ -151,6 +175,19 @@ class Config:
                 out.append(f"columns: {e}")
         return out
 
+    def unhonoured(self) -> list[str]:
+        """Options that are set and that a run over a landed source does nothing with: an error there, unless it is told to go on."""
+        plain = Config(self.name, Source(self.source.family))
+        only_live = {"source": ["host", "port", "user", "password", "interval_mode", "hstore_mode", "money_digits", "unknown_types", "offset_strategy"], "snapshot": ["collections", "isolation", "signal_collection", "signal_path", "read_only"], "sink": ["delivery_timeout_ms"]}
+        if self.source.family != "mysql":
+            only_live["source"] += ["origin_include", "origin_exclude"]
+        out = [f"{section}.{name}" for section, names in only_live.items() for name in names if getattr(getattr(self, section), name) != getattr(getattr(plain, section), name)]
+        if self.source.family == "bridge" and (self.source.messages or self.source.message_include or self.source.message_exclude):
+            out.append("source.messages")
+        if self.format.kind == "native" and not self.format.tombstones:
+            out.append("format.tombstones")  # this format has none
+        return out
+
     def identity(self) -> dict:
         """What the fingerprint is taken of: the data's identity, without secrets and tuning."""
         s = self.source
@@ -159,6 +196,7 @@ class Config:
             "source": {k: getattr(s, k) for k in ("family", "database", "path", "host", "port", "include", "exclude", "messages", "message_include", "message_exclude", "origin_include", "origin_exclude", "interval_mode", "hstore_mode", "money_digits", "unknown_types")},
             "snapshot": {k: getattr(self.snapshot, k) for k in ("mode", "collections", "signal_collection", "read_only")},
             "columns": [vars(c) | {"salt": bool(c.salt)} for c in self.columns],
+            "tables": [t.name for t in self.tables],
             "format": vars(self.format),
             "sink": {"kind": self.sink.kind, "prefix": self.sink.prefix},
         }
@@ -195,8 +233,10 @@ def build(kind, data, where: str = ""):
         value = data[name]
         if kind is Config and name in nested:
             value = build(nested[name], value, f"{where}{name}.")
-        elif kind is Config and name == "columns":
-            value = [build(Column, c, f"columns[{i}].") for i, c in enumerate(value)]
+        elif kind is Config and name in ("columns", "tables"):
+            value = [build(Column if name == "columns" else TableSchema, c, f"{name}[{i}].") for i, c in enumerate(value)]
+        elif kind is TableSchema and name == "columns":
+            value = [build(TableColumn, c, f"{where}columns[{i}].") for i, c in enumerate(value)]
         out[name] = value
     return kind(**out)
 

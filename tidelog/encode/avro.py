@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.schema_history import Table
+from .json_schema import MESSAGE, SOURCE, SOURCE_OF, TRANSACTION
 from .kinds import adjusted_all, kind
 
 
@@ -38,6 +39,40 @@ def row_schema(table: Table, name: str, key: bool = False) -> dict:
     return {"type": "record", "name": name, "fields": fields}
 
 
+def record(name: str, line: str) -> dict:
+    """A record from the members that a line of ``json_schema`` states; a member that may be null is a union."""
+    base = {"string": "string", "integer": "long"}
+    pairs = (part.split() for part in line.split(","))
+    return {"type": "record", "name": name, "fields": [{"name": n, "type": ["null", base[t[:-1]]] if t.endswith("?") else base[t]} for n, t in pairs]}
+
+
+def envelope_schema(table: Table, family: str) -> dict:
+    """The envelope of a table's changes; the row's record is spelled out in both images (``named`` refers to it)."""
+    row = row_schema(table, "Value")
+    source, tx = record("Source", f"{SOURCE}, {SOURCE_OF[family]}"), record("Transaction", TRANSACTION)
+    types = {"before": ["null", row], "after": ["null", row], "source": source, "op": "string", "ts_ms": ["null", "long"], "transaction": ["null", tx]}
+    return {"type": "record", "name": "Envelope", "fields": [{"name": n, "type": t} for n, t in types.items()]}
+
+
+def message_schema(family: str) -> dict:
+    source, tx = record("Source", f"{SOURCE}, {SOURCE_OF[family]}"), record("Transaction", TRANSACTION)
+    types = {"op": "string", "ts_ms": ["null", "long"], "source": source, "transaction": ["null", tx], "message": record("Message", MESSAGE)}
+    return {"type": "record", "name": "MessageEnvelope", "fields": [{"name": n, "type": t} for n, t in types.items()]}
+
+
+def named(schema, seen: set[str] | None = None):
+    """A schema as it is published: a record that has been defined is referred to by its name."""
+    seen = set() if seen is None else seen
+    if isinstance(schema, list):
+        return [named(x, seen) for x in schema]
+    if isinstance(schema, dict) and schema["type"] == "record":
+        if schema["name"] in seen:
+            return schema["name"]
+        seen.add(schema["name"])
+        return schema | {"fields": [f | {"type": named(f["type"], seen)} for f in schema["fields"]]}
+    return schema
+
+
 def _long(n: int) -> bytes:
     n = (n << 1) ^ (n >> 63)
     out = bytearray()

@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.schema_history import Table
+from .json_schema import MESSAGE, SOURCE, SOURCE_OF, TRANSACTION
 from .kinds import adjusted_all, field_numbers, kind
 
 WIRE = {"boolean": "bool", "int": "int32", "long": "int64", "unsigned": "uint64", "double": "double", "bytes": "bytes"}
@@ -103,6 +104,43 @@ def encode_row(fields: list[tuple[str, str]], row: dict, placeholder: str) -> by
     return b"".join(out)
 
 
+#: Numbers of the envelope's parts, and of a message's.
+ENVELOPE = {"before": 1, "after": 2, "source": 3, "op": 4, "ts_ms": 5, "transaction": 6}
+MESSAGE_ENVELOPE = {"op": 1, "ts_ms": 2, "source": 3, "transaction": 4, "message": 5}
+
+
+def _line(line: str) -> list[tuple[str, str]]:
+    """(name, type) of the members that a line of ``json_schema`` states; they are numbered in order."""
+    return [(name, {"string": "string", "integer": "int64"}[t.rstrip("?")]) for name, t in (part.split() for part in line.split(","))]
+
+
+def _part(line: str, value: dict) -> bytes:
+    return b"".join(scalar(i, t, value[n]) or b"" for i, (n, t) in enumerate(_line(line), 1) if value.get(n) is not None)
+
+
+def envelope_definition(table: Table, package: str, family: str) -> str:
+    """The ``.proto`` text of a table's envelope."""
+    parts = {"Source": f"{SOURCE}, {SOURCE_OF[family]}", "Transaction": TRANSACTION}
+    body = [f"message {name} {{ " + " ".join(f"optional {t} {n} = {i};" for i, (n, t) in enumerate(_line(line), 1)) + " }" for name, line in parts.items()]
+    types = {"before": "Value", "after": "Value", "source": "Source", "op": "string", "ts_ms": "int64", "transaction": "Transaction"}
+    body.append("message Envelope { " + " ".join(f"{types[n]} {n} = {i};" for n, i in ENVELOPE.items()) + " }")
+    return definition(table, package) + "\n".join(body) + "\n"
+
+
+def encode_envelope(fields: list[tuple[str, str]], envelope: dict, placeholder: str, family: str) -> bytes:
+    """An envelope of ``encode.json`` (or a message's) as wire bytes; parts that are null are left out."""
+    numbers, source = MESSAGE_ENVELOPE if "message" in envelope else ENVELOPE, f"{SOURCE}, {SOURCE_OF[family]}"
+    made = {
+        "before": lambda v: encode_row(fields, v, placeholder), "after": lambda v: encode_row(fields, v, placeholder), "source": lambda v: _part(source, v), "transaction": lambda v: _part(TRANSACTION, v), "message": lambda v: _part(MESSAGE, v),
+    }
+    out = b""
+    for name, number in numbers.items():
+        value = envelope.get(name)
+        if value is not None:
+            out += _delimited(number, made[name](value)) if name in made else scalar(number, "string" if name == "op" else "int64", value)
+    return out
+
+
 @functools.lru_cache(maxsize=256)
 def parsed(fields: str) -> list[tuple[str, str]]:
     return [tuple(f) for f in json.loads(fields)]

@@ -1,4 +1,4 @@
 from .registry import QUERIES, SQL
-from . import control, encode, logs, ordering, snapshot, types  # noqa: F401
+from . import control, deliver, encode, logs, ordering, snapshot, types  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

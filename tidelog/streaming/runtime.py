@@ -70,7 +70,8 @@ class KafkaSink:
         self.options = {"kafka.bootstrap.servers": servers, "kafka.acks": "all", "kafka.enable.idempotence": "true"} | options
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.select("topic", "key", "value").write.format("kafka").options(**self.options).save()
+        headers = F.transform(F.map_entries("headers"), lambda h: F.struct(h["key"].alias("key"), h["value"].cast("binary").alias("value")))
+        batch.select("topic", "key", "value", headers.alias("headers")).write.format("kafka").options(**self.options).save()
 
 
 @dataclass
@@ -196,6 +197,9 @@ class Connector:
     retries: int = DEFAULTS["max_retries"]
     retry_initial_ms: int = DEFAULTS["retry_initial_ms"]
     retry_max_ms: int = DEFAULTS["retry_max_ms"]
+    heartbeat_topic: str | None = None
+    heartbeat_ms: int = 0
+    last_heartbeat: float = 0.0
     status: Status = field(default_factory=Status)
     cancelled: threading.Event = field(default_factory=threading.Event)
 
@@ -206,10 +210,24 @@ class Connector:
         if found and found.fingerprint != fingerprint(self.config):
             self.status.to("failed")
             raise StateError("the configuration has changed since the checkpoint was written")
-        self.status.to("streaming" if found and found.snapshot_completed else "snapshotting" if self.config.get("snapshot", "initial") == "initial" else "streaming")
+        self.status.to("streaming" if found and found.snapshot_completed else "streaming" if self._mode() == "never" else "snapshotting")
         self.generation = found.generation if found else str(uuid.uuid4())
         return found
 
+    def _mode(self) -> str:
+        snapshot = self.config.get("snapshot", "initial")
+        return snapshot.get("mode", "initial") if isinstance(snapshot, dict) else snapshot
+
+    def with_heartbeat(self, out: DataFrame) -> DataFrame:
+        """``out`` and a heartbeat at its end, if one is due."""
+        now = time.time()
+        if not self.heartbeat_topic or (now - self.last_heartbeat) * 1000 < self.heartbeat_ms:
+            return out
+        self.last_heartbeat = now
+        key, value = json.dumps({"serverName": self.name}, separators=(",", ":")), json.dumps({"ts_ms": int(now * 1000)}, separators=(",", ":"))
+        beat = out.sparkSession.range(1).select(F.lit(self.heartbeat_topic).alias("topic"), *[F.lit(v).cast(out.schema[c].dataType).alias(c) for c, v in (("key", key), ("value", value))], F.create_map(F.lit("tidelog.heartbeat"), F.lit("true")).alias("headers"))
+        return out.unionByName(beat)
+
     def deliver(self, batch: DataFrame, batch_id: int) -> None:
         """The body of ``foreachBatch``."""
         last = self.store.load(self.name)
@@ -225,6 +243,7 @@ class Connector:
             if last and last.position and position and list(position.values()) < list(last.position.values()):
                 raise StateError(f"the position went back: {last.position} to {position}")
             out = batch.filter(F.col("topic").isNotNull()).drop("boundary", "pos", "source_us")
+            out = self.with_heartbeat(out) if facts["end"] else out  # only behind whole transactions
             try:
                 self.status.retries += write_with_retry(self.sink, out, batch_id, self.cancelled, self.retries, self.retry_initial_ms, self.retry_max_ms)
             except Exception:

@@ -74,6 +74,44 @@ def transaction_order(log: DataFrame, tx: str = "txid", table: str = "tbl", arri
     return log.groupBy(tx).applyInPandasWithState(number, schema, "total long, tables array<string>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+#: How a transaction ends in a log: its rows go on, or they go.
+ENDS = {"commit": True, "stream_commit": True, "commit_prepared": True, "stream_abort": False, "rollback": False, "rollback_prepared": False}
+
+
+def committed(entries: DataFrame, tx: str = "txid", order: str = "lsn") -> DataFrame:
+    """Log entries of transactions whose commit has been seen, with their commits; entries outside a transaction pass.
+
+    Rows of a transaction that is rolled back are never given out, those of one that is still open not yet: in a
+    stream they wait in state, keyed by transaction, until an entry of ``ENDS`` releases or drops them (state lives
+    as long as the transaction); a batch joins with the transactions that ended in it. Snapshot rows belong to none.
+    """
+    inside = F.col(tx).isNotNull() & ~F.col("kind").isin("read", "snapshot_complete")
+    free, bound = entries.filter(~F.coalesce(inside, F.lit(False))), entries.filter(inside)
+    good, bad = [k for k, ok in ENDS.items() if ok], [k for k, ok in ENDS.items() if not ok]
+    if not entries.isStreaming:
+        ended = bound.filter(F.col("kind").isin(*ENDS)).groupBy(tx).agg(F.max(F.col("kind").isin(*bad)).alias("_bad")).filter(~F.col("_bad")).select(tx)
+        return free.unionByName(bound.join(ended, tx, "left_semi").select(*entries.columns))
+
+    def hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        for kind, row in pd.concat(list(batches)).sort_values(order)[["kind", "row"]].itertuples(index=False):
+            if ENDS.get(kind, True):
+                held.append(row)
+            if kind in good:
+                yield pd.DataFrame({"row": held})
+            if kind in ENDS:
+                held = []
+        if held:
+            state.update((held,))
+        elif state.exists:
+            state.remove()
+
+    # rows travel as one JSON text: pandas would turn 64-bit integers next to nulls into doubles
+    packed = bound.select(tx, order, "kind", F.to_json(F.struct(*entries.columns)).alias("row"))
+    out = packed.groupBy(tx).applyInPandasWithState(hold, "row string", "rows array<string>", "append", GroupStateTimeout.NoTimeout)
+    return free.unionByName(out.select(F.from_json("row", entries.schema).alias("r")).select("r.*"))
+
+
 def window_survivors(rows: DataFrame) -> DataFrame:
     """Interleaves chunks with the log: what is left of each chunk when its window closes.
 
