@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidelog.encode import avro, kinds, protobuf
 from tidelog.functions import json_diff, masking, types_doc, types_oracle, types_pg
@@ -156,3 +157,19 @@ def test_relation_evolution():
     two = evolve_from_relation(one, "t", [Field("a", "int"), Field("b", "odd")], {"b"}, keep_opaque=True)
     assert [f.name for f in one.fields] == ["a"] and (two.version, two.fields[1].source_type) == (2, "opaque")
     assert evolve_from_relation(two, "t", two.fields).version == 2
+
+
+@pytest.mark.parametrize(("text", "amount"), [("$1,234.56", "1234.56"), ("(5.00)", "-5.00"), ("-$3", "-3.00"), ("(5", "5.00"), ("1a2", None), ("abc", None), ("$$5", None), ("--5", "-5.00"), ("1.2.3", None), ("", None), ("€.5", "0.50"), ("- 7", "-7.00"), ("$", None), ("(  $1,0 )", "-10.00")])
+def test_money(spark, text, amount):
+    got = spark.createDataFrame([(text,)], "t string").select(types_pg.money(F.col("t")).cast("string")).first()[0]
+    assert got == amount
+
+
+def test_hstore_with_many_blanks():
+    assert types_pg.parse_hstore(" " * 50_000 + '"a"' + " " * 50_000 + '=>"1"') == {"a": "1"}
+
+
+@pytest.mark.parametrize("bad", ["{a,}", "{,a}", "{a,,b}", "{ }"])
+def test_empty_array_elements_must_be_quoted(bad):
+    assert types_pg.parse_array(bad) is None
+    assert types_pg.parse_array('{"",a,NULL,null}') == ["", "a", None, "null"]

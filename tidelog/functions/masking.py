@@ -87,7 +87,7 @@ def java_string(text: str) -> bytes:
 
 
 def md2(data: bytes) -> str:
-    """The MD2 digest (RFC 1319), with its substitution table drawn from the digits of pi as the standard's history describes."""
+    """The MD2 digest (RFC 1319). Its substitution table has 256 entries and is made by its rule: a shuffle by the digits of pi."""
     table = _pi_table()
     pad = 16 - len(data) % 16
     data += bytes([pad]) * pad

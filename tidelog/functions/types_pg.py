@@ -27,12 +27,16 @@ def bytea(text: Column) -> Column:
 
 
 def money(text: Column, scale: int = 2) -> Column:
-    """An amount with a currency sign, thousands separators and either sign form; rounded half up."""
+    """An amount with one currency sign, thousands separators and either sign form, rounded half up; null if the text is anything else.
+
+    Parentheses count as a pair only. What is left after one sign, one currency character and the commas must be a plain number.
+    """
     trimmed = F.trim(text)
-    negative = trimmed.startswith("(") | trimmed.startswith("-") | trimmed.rlike("^\\D-")
-    digits = F.regexp_replace(trimmed, "[^0-9.]", "")
-    plain = F.when(digits.rlike("^[0-9]*\\.?[0-9]+$|^[0-9]+\\.$"), digits).try_cast("decimal(38,10)")
-    return F.round(F.when(negative, -plain).otherwise(plain), scale).cast(f"decimal(38,{scale})")
+    paired = trimmed.rlike("^\\(.*\\)$")
+    inner = F.when(paired, F.trim(F.regexp_extract(trimmed, "^\\((.*)\\)$", 1))).otherwise(trimmed)
+    number = F.replace(F.regexp_extract(inner, "^-?\\s*[^0-9.]?([0-9.,]+)$", 1), F.lit(","), F.lit(""))
+    plain = F.when(number.rlike("^([0-9]+\\.?[0-9]*|\\.[0-9]+)$"), number).try_cast("decimal(38,10)")
+    return F.round(F.when(paired | inner.startswith("-"), -plain).otherwise(plain), scale).cast(f"decimal(38,{scale})")
 
 
 def interval_parts(text: Column) -> Column:
@@ -113,7 +117,11 @@ def parse_hstore(text: str | None) -> dict[str, str | None] | None:
             raise ValueError
         return text[i:j], False, j
 
-    blank = lambda i: i if i >= len(text) or not text[i].isspace() else blank(i + 1)
+    def blank(i: int) -> int:
+        while i < len(text) and text[i].isspace():
+            i += 1
+        return i
+
     try:
         i = blank(0)
         while i < len(text):
@@ -134,7 +142,7 @@ def parse_hstore(text: str | None) -> dict[str, str | None] | None:
 
 
 def parse_array(text: str | None, delimiter: str = ",") -> list | None:
-    """``{1,NULL,"a b",{2}}``, also with ``[1:2]=`` before it; elements stay text. None if malformed."""
+    """``{1,NULL,"a b",{2}}``, also with ``[1:2]=`` before it; elements stay text. None if malformed; an empty element must be quoted."""
     if text is None:
         return None
     if text.startswith("["):
@@ -168,7 +176,9 @@ def parse_array(text: str | None, delimiter: str = ",") -> list | None:
                     part.append(text[at])
                     at += 1
                 word = "".join(part).strip()
-                out.append(None if word.upper() == "NULL" else word)
+                if not word:
+                    raise ValueError
+                out.append(None if word == "NULL" else word)
             if text[at] == "}":
                 at += 1
                 return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import range_bounds, range_of
 from .snapshot import includes
 
 
@@ -23,12 +24,12 @@ def require_known(records: DataFrame, known: Sequence[str], table: str = "tbl")
     return records.withColumn(table, F.when(name.isin(*known), name).otherwise(F.raise_error(F.concat(F.lit("no schema for table "), F.coalesce(name, F.lit("null"))))))
 
 
-def skip_repeated(records: DataFrame, record_id: str, arrival: str, width: int = 65_536) -> DataFrame:
+def skip_repeated(records: DataFrame, record_id: str, arrival: str, rows: int | None = None) -> DataFrame:
     """Drops a record whose id is that of the record before it.
 
-    Neighbours are compared within ranges of the integer arrival, and the first of a range with the last of the one before.
+    Neighbours are compared within ranges of the integer arrival (cut by its quantiles), and the first of a range with the last of the one before.
     """
-    placed = records.withColumn("_range", F.floor(F.col(arrival) / width))
+    placed = records.withColumn("_range", range_of(F.col(arrival).cast("bigint"), range_bounds(records, arrival, rows)))
     ends = placed.groupBy("_range").agg(F.max_by(record_id, arrival).alias("_last"))
     ends = ends.withColumn("_before", F.lag("_last").over(W.orderBy("_range"))).drop("_last")  # a row a range
     at = W.partitionBy("_range").orderBy(arrival)

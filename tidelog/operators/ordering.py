@@ -6,11 +6,13 @@ a total order is only produced where a sink asks for it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import COMMIT, DATA, HEARTBEAT, SNAPSHOT_COMPLETE
 
@@ -31,13 +33,54 @@ def transaction_order(log: DataFrame, tx: str = "txid", table: str = "tbl", arri
     })
 
 
-def global_ordinal(df: DataFrame, lead: str, order: Sequence[str], name: str = "ordinal", width: int = 65_536, group: Sequence[str] = ()) -> DataFrame:
-    """A dense 1-based ordinal over the whole table, without gathering it in one task.
+def by_ranges(df: DataFrame, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """``df`` cut into ranges of ``order`` with about equal numbers of rows: ``_range`` numbers them in order.
 
-    Rows are cut into ranges of the leading integer key; the sizes of the ranges are
-    summed up in order (one row a range), and rows are numbered within their range.
+    The bounds are quantiles, which Spark samples from the keys, so sparse or skewed keys make no difference;
+    rows of one key are in one range. A range is a partition: what is done per range needs no further shuffle of
+    the whole, and there are as many ranges as shuffle partitions, whatever the size of the table.
     """
-    placed = df.withColumn("_range", F.floor(F.col(lead) / width))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *group, *order).withColumn("_range", F.spark_partition_id())
+
+
+#: Rows of a range, about, and the number of ranges at most.
+RANGE_ROWS, MAX_RANGES = 65_536, 4_096
+
+
+def range_bounds(df: DataFrame, key: str, rows: int | None = None) -> list[int]:
+    """Upper bounds of all ranges but the last, so that each holds about ``rows`` rows: quantiles of an integer key, in one pass.
+
+    Sparse, clustered or skewed keys make no difference; rows of one key are in one range.
+    """
+    cuts = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
+    facts = df.agg(F.count("*").alias("n"), F.percentile_approx(F.col(key).cast("bigint"), F.array(*map(F.lit, cuts)), F.lit(4 * MAX_RANGES)).alias("q")).first()
+    n = min(MAX_RANGES, -(-facts["n"] // (rows or RANGE_ROWS)))
+    if n < 2 or not facts["q"]:
+        return []
+    return sorted({facts["q"][i * MAX_RANGES // n - 1] for i in range(1, n)})
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many bounds lie below a key: a binary search in a constant array, 0 for a null key."""
+    steps = len(bounds).bit_length()
+    if not steps:
+        return F.lit(0)
+    high = F.array(*map(F.lit, bounds + [2**63 - 1] * ((1 << steps) - len(bounds)))).cast("array<bigint>")
+    at = F.lit(0)
+    for step in (1 << k for k in reversed(range(steps))):
+        # a lambda binds the place found so far, which the next step reads twice
+        at = F.transform(F.array(at), lambda i: F.when(F.get(high, i + (step - 1)) < key, i + step).otherwise(i))[0]  # noqa: B023
+    return at
+
+
+def global_ordinal(df: DataFrame, lead: str, order: Sequence[str], name: str = "ordinal", group: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """A dense 1-based ordinal over the whole table (or each ``group``), without gathering it in one task.
+
+    Rows are cut into ranges of the leading integer key by its quantiles; the sizes of the
+    ranges are summed up in order (one row a range and group), and rows are numbered within their range.
+    """
+    placed = df.withColumn("_range", range_of(F.col(lead).cast("bigint"), range_bounds(df, lead, rows)))
     sizes = placed.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*group).orderBy("_range") if group else W.orderBy("_range")
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -67,26 +110,31 @@ def batch_ids(records: DataFrame, tx: str, order: Sequence[str], max_batch: int,
     A commit always flushes, so no batch spans transactions; within one, records are
     flushed as soon as ``max_batch`` encoded ones wait. ``encoded`` is how many records a change
     is encoded as (a delete with its tombstone: 2), and a flush may overshoot by that.
-    With one record a change the rule is a division; else it is a fold over the
-    transaction's own counts.
+    With one record a change the rule is a division. Else a batch's end depends on where the one
+    before ended: sorted transactions pass through a fold that holds two numbers, so a
+    transaction of any length takes linear time and no memory.
     """
     at = W.partitionBy(tx).orderBy(*order)
     if encoded is None:
         return records.withColumn("batch_in_tx", F.floor((F.row_number().over(at) - 1) / max_batch).cast("bigint"))
-    counted = records.withColumns({"_rank": F.row_number().over(at), "_n": encoded})
-    sizes = counted.groupBy(tx).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "_n"))), lambda x: x["_n"].cast("bigint")).alias("_sizes"))
-    fold = F.aggregate(
-        "_sizes",
-        F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("held")),
-        lambda s, n: F.struct(
-            F.concat(s["ids"], F.array(s["id"])).alias("ids"),
-            F.when(s["held"] + n >= max_batch, s["id"] + 1).otherwise(s["id"]).alias("id"),
-            F.when(s["held"] + n >= max_batch, F.lit(0).cast("bigint")).otherwise(s["held"] + n).alias("held"),
-        ),
-        lambda s: s["ids"],
-    )
-    ids = sizes.select(tx, F.posexplode(fold).alias("_at", "batch_in_tx"))
-    return counted.withColumn("_at", F.col("_rank") - 1).join(ids, [tx, "_at"]).drop("_at", "_rank", "_n")
+    schema = T.StructType([*records.schema.fields, T.StructField("batch_in_tx", T.LongType())])
+    names = records.columns
+    sized = records.withColumn("_n", encoded.cast("bigint")).repartition(tx).sortWithinPartitions(tx, *order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, held = None, 0, 0
+        for rows in batches:
+            out = []
+            for t, n in zip(rows.column(tx).to_pylist(), rows.column("_n").to_pylist(), strict=True):
+                if t != now:
+                    now, batch, held = t, 0, 0
+                out.append(batch)
+                held += n or 0
+                if held >= max_batch:
+                    batch, held = batch + 1, 0
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(out, pa.int64())], [*names, "batch_in_tx"])
+
+    return sized.mapInArrow(fold, schema)
 
 
 def flush_trigger(boundary: Column, encoded: Column, max_batch: int) -> Column:
@@ -99,14 +147,14 @@ def flush_trigger(boundary: Column, encoded: Column, max_batch: int) -> Column:
     )
 
 
-def order_violations(records: DataFrame, position: str, arrival: str, partition: Sequence[str], width: int = 65_536) -> DataFrame:
+def order_violations(records: DataFrame, position: str, arrival: str, partition: Sequence[str], rows: int | None = None) -> DataFrame:
     """Records whose position lies before that of the record that arrived before them.
 
-    Neighbours are compared within ranges of the (integer) arrival; the first of a range
+    Neighbours are compared within ranges of the (integer) arrival, cut by its quantiles; the first of a range
     is compared with the last of the range before, of which there is one row each. So a
     log of few, large partitions is still checked in parallel.
     """
-    placed = records.withColumn("_range", F.floor(F.col(arrival) / width))
+    placed = records.withColumn("_range", range_of(F.col(arrival).cast("bigint"), range_bounds(records, arrival, rows)))
     ends = placed.groupBy(*partition, "_range").agg(F.max_by(position, arrival).alias("_last"))
     ends = ends.withColumn("_before", F.lag("_last").over(W.partitionBy(*partition).orderBy("_range"))).drop("_last")
     last = F.lag(position).over(W.partitionBy(*partition, "_range").orderBy(arrival))
@@ -114,6 +162,11 @@ def order_violations(records: DataFrame, position: str, arrival: str, partition:
     return found.withColumn("previous", F.coalesce("_lag", "_before")).drop("_lag", "_before", "_range").filter(F.col(position) < F.col("previous"))
 
 
-def skip_replayed(records: DataFrame, position: Column, resume: Column) -> DataFrame:
-    """Records after the resume position."""
-    return records.filter(position > resume)
+def skip_replayed(records: DataFrame, position: Column, resume: Column, lead: tuple[str, int] | None = None) -> DataFrame:
+    """Records after the resume position.
+
+    ``lead`` names the integer column that leads the position, and its value there: a bound that
+    follows from the order and that, unlike the comparison of whole positions, reaches the scan.
+    """
+    rows = records.filter(F.col(lead[0]) >= lead[1]) if lead else records
+    return rows.filter(position > resume)

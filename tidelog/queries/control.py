@@ -53,7 +53,7 @@ def q_transaction_identity(spark, d):
 @query("WITH x AS (SELECT event_id, 'r' || (event_id // 3) AS record_id FROM events), y AS (SELECT *, lag(record_id) OVER (ORDER BY event_id) AS p FROM x) SELECT event_id, record_id FROM y WHERE record_id IS DISTINCT FROM p")
 def q_bridge_repeats(spark, d):
     rows = read(spark, d, "events").select("event_id", F.concat(F.lit("r"), F.expr("event_id div 3").cast("string")).alias("record_id"))
-    return skip_repeated(rows, "record_id", "event_id", width=3000).select("event_id", "record_id")
+    return skip_repeated(rows, "record_id", "event_id", rows=3000).select("event_id", "record_id")
 
 
 _BSON = [

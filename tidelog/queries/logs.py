@@ -81,13 +81,13 @@ def binlog(spark, d):
 @query(f"WITH {LOG}, {_BINLOG_OUT} SELECT * FROM r")
 def q_binlog_decode(spark, d):
     # a log file is a partition of its own: transactions do not span files
-    out = logs.decode_binlog(binlog(spark, d), partition=["server_id", "file"])
+    out = logs.decode_binlog(binlog(spark, d))
     return out.select("arrival", "event_id", "op", "boundary", "tx_id", "anchor", "event_serial")
 
 
 @query(f"WITH {LOG}, {_BINLOG_OUT} SELECT arrival, op, boundary, tx_id FROM r WHERE boundary = 'transaction_commit' OR NOT regexp_matches(tx_id, '^src-1:', 'i')")
 def q_origin_filter(spark, d):
-    records = logs.decode_binlog(binlog(spark, d), partition=["server_id", "file"])
+    records = logs.decode_binlog(binlog(spark, d))
     return logs.filter_origin(records, exclude=["src-1"]).select("arrival", "op", "boundary", "tx_id")
 
 

@@ -64,15 +64,14 @@ def q_replay_skip(spark, d):
     log = raw_log(read(spark, d, "events"))
     key = positions.sort_key("postgresql", lsn="lsn", serial=F.col("event_id") % 5, snapshot=F.lit(False))
     resume = positions.sort_key("postgresql", lsn=F.lit(4000), serial=F.lit(2), snapshot=F.lit(False))
-    # the bound on the leading coordinate says the same in a form that reaches the scan
-    return ordering.skip_replayed(log.filter("event_id >= 500"), key, resume).select("event_id", "lsn", "op")
+    return ordering.skip_replayed(log, key, resume, lead=("lsn", 4000)).select("event_id", "lsn", "op")
 
 
 @query(f"""WITH {LOG}, x AS (SELECT event_id, tbl, CASE WHEN event_id % 97 = 13 THEN lsn - 5000 ELSE lsn END AS pos FROM raw),
 y AS (SELECT *, lag(pos) OVER (PARTITION BY tbl ORDER BY event_id) AS previous FROM x) SELECT event_id, tbl, pos, previous FROM y WHERE pos < previous""")
 def q_monotonic_guard(spark, d):
     log = raw_log(read(spark, d, "events")).withColumn("pos", F.when(F.col("event_id") % 97 == 13, F.col("lsn") - 5000).otherwise(F.col("lsn")))
-    return ordering.order_violations(log, "pos", "event_id", ["tbl"], width=4096).select("event_id", "tbl", "pos", "previous")
+    return ordering.order_violations(log, "pos", "event_id", ["tbl"], rows=4096).select("event_id", "tbl", "pos", "previous")
 
 
 _STRATEGIES = [(s, c, p, t) for s in ("no_validation", "trust_offset", "trust_slot", "trust_greater_lsn") for c, p in ((100, 100), (200, 100), (100, 200)) for t in (True, False)]

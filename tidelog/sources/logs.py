@@ -67,17 +67,23 @@ def decode_binlog(entries: DataFrame, arrival: str = "arrival", partition: Seque
 
     kind: gtid, query, table_map, write, update, delete, xid. ``query`` holds BEGIN,
     COMMIT, ROLLBACK or DDL. Rows share the position of their table map and differ by serial.
+    Work is spread by log file, not by server; entries name their ``file``.
     """
-    kind, so_far = F.col("kind"), W.partitionBy(*partition).orderBy(arrival).rowsBetween(W.unboundedPreceding, 0)
+    kind, at = F.col("kind"), F.col(arrival)
     starts = (kind == "gtid") | ((kind == "query") & (F.upper("query") == "BEGIN"))
-    tx = F.last(F.when(starts, F.struct(F.col("gtid"), F.col("file"), F.col("pos"))), ignorenulls=True).over(so_far)
-    anchor = F.last(F.when(kind == "table_map", F.col("pos")), ignorenulls=True).over(so_far)
-    out = entries.withColumns({"_tx": tx, "anchor": anchor})
+    tx, anchor = F.when(starts, F.struct(F.col("gtid"), F.col("file"), F.col("pos"))), F.when(kind == "table_map", F.col("pos"))
+    # what is open where a file ends goes on into the next: one small row a file
+    files = entries.groupBy(*partition, "file").agg(F.min(at).alias("_since"), F.max_by(tx, F.when(starts, at)).alias("_tx"), F.max_by(anchor, F.when(kind == "table_map", at)).alias("_anchor"))
+    before = W.partitionBy(*partition).orderBy("_since").rowsBetween(W.unboundedPreceding, -1)
+    carried = files.select(*partition, "file", F.last("_tx", ignorenulls=True).over(before).alias("_tx_before"), F.last("_anchor", ignorenulls=True).over(before).alias("_anchor_before"))
+    so_far = W.partitionBy(*partition, "file").orderBy(arrival).rowsBetween(W.unboundedPreceding, 0)
+    out = entries.withColumns({"_tx": F.last(tx, ignorenulls=True).over(so_far), "anchor": F.last(anchor, ignorenulls=True).over(so_far)}).join(carried, [*partition, "file"])
+    out = out.withColumns({"_tx": F.coalesce("_tx", "_tx_before"), "anchor": F.coalesce("anchor", "_anchor_before")}).drop("_tx_before", "_anchor_before")
     op = F.when(kind == "write", "c").when(kind == "update", "u").when(kind == "delete", "d")
     end = (kind == "xid") | ((kind == "query") & F.upper("query").isin("COMMIT", "ROLLBACK"))
     out = out.withColumns({"op": op, "boundary": F.when(op.isNotNull(), DATA).when(end, COMMIT), "tx_id": transaction_id(F.col("_tx.gtid"), F.col("_tx.file"), F.col("_tx.pos"))}).filter(F.col("boundary").isNotNull())
-    at = W.partitionBy(*partition, "file", "anchor").orderBy(arrival)
-    return out.withColumn("event_serial", F.when(F.col("op").isNotNull(), F.sum(F.col("op").isNotNull().cast("bigint")).over(at))).drop("_tx")
+    same_map = W.partitionBy(*partition, "file", "anchor").orderBy(arrival)
+    return out.withColumn("event_serial", F.when(F.col("op").isNotNull(), F.sum(F.col("op").isNotNull().cast("bigint")).over(same_map))).drop("_tx")
 
 
 def filter_origin(records: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), tx: str = "tx_id") -> DataFrame:
