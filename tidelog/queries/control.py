@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..encode import json_schema
@@ -13,7 +11,8 @@ from ..model import UNAVAILABLE
 from ..operators.filters import business_tables, require_known, skip_repeated
 from ..plans.changelog import raw_log, read
 from ..sources.logs import transaction_id
-from .encode import CUSTOMER
+from ..operators.schema_history import Field, Table
+from .encode import _R, _VALUE, encoded
 from .registry import LOG, literal, query, table
 
 
@@ -56,15 +55,14 @@ def q_bridge_repeats(spark, d):
     return skip_repeated(rows, "record_id", "event_id", rows=3000).select("event_id", "record_id")
 
 
-_BSON = [
-    (1, '{"_id":{"$oid":"65"},"n":{"$numberLong":"7"},"d":{"$numberDecimal":"1.50"}}', '{"_id":"65","d":"1.50","n":7}'), (2, '{"at":{"$date":{"$numberLong":"0"}},"u":{"$undefined":true}}', '{"at":"1970-01-01T00:00:00Z","u":null}'),
-    (3, '{"a":[{"$numberInt":"1"},{"$binary":{"base64":"AP8=","subType":"00"}}]}', '{"a":[1,"00ff"]}'),
-]
-
-
-@query(literal("n int, doc string", [(n, o) for n, _, o in _BSON]))
+@query("""SELECT event_id, '{"_id":"' || lpad(hex(event_id), 24, '0') || '","a":[' || (event_id % 100) || ',"00ff",null],"at":"' || strftime(make_timestamp(event_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '","d":"' || event_id || '.50","n":' || event_id || ',"t":"' || event_type || '"}' AS doc FROM events""")
 def q_extended_json(spark, d):
-    return table(spark, "n int, doc string", [(n, i) for n, i, _ in _BSON]).select("n", plain_json("doc").alias("doc"))
+    n = F.col("event_id")
+    doc = F.concat(
+        F.lit('{"_id":{"$oid":"'), F.lpad(F.hex(n), 24, "0"), F.lit('"},"n":{"$numberLong":"'), n, F.lit('"},"d":{"$numberDecimal":"'), n, F.lit('.50"},"at":{"$date":{"$numberLong":"'), n * 1000, F.lit('"}},"t":"'), F.col("event_type"),
+        F.lit('","a":[{"$numberInt":"'), n % 100, F.lit('"},{"$binary":{"base64":"AP8=","subType":"00"}},{"$undefined":true}]}'),
+    )
+    return read(spark, d, "events").select("event_id", doc.alias("doc")).select("event_id", plain_json("doc").alias("doc"))
 
 
 @query("SELECT o_orderkey, o_custkey || ',' || o_orderkey AS key_text, CASE WHEN o_orderkey % 2 = 0 THEN 't' ELSE 'f' END AS flag_text FROM orders")
@@ -73,8 +71,17 @@ def q_key_text(spark, d):
     return rows.select("o_orderkey", F.concat_ws(",", key_text(F.col("o_custkey"), "bigint"), key_text(F.col("o_orderkey"), "bigint")).alias("key_text"), key_text(F.col("o_orderkey") % 2 == 0, "boolean").alias("flag_text"))
 
 
-@query(literal("part string, title string, fields string", [("key", "shop.app.customer.Key", "c_custkey"), ("value", "shop.app.customer.Envelope", "before,after,source,op,ts_ms,transaction")]))
+@query(f"""WITH {LOG}, {_R}, v AS (SELECT event_id, tbl, {_VALUE} AS value FROM j)
+SELECT event_id, array_to_string(json_keys(value), ',') AS members, array_to_string(json_keys(value, '$.source'), ',') AS source_members, array_to_string(json_keys(value, '$.transaction'), ',') AS transaction_members, 'shop.app.public.' || tbl || '.Envelope' AS title, true AS conforms FROM v""")
 def q_json_schema(spark, d):
-    key, value = json_schema.key_schema(CUSTOMER, "shop.app.customer"), json_schema.envelope_schema(CUSTOMER, "shop.app.customer", UNAVAILABLE)
-    json.dumps([key, value])
-    return table(spark, "part string, title string, fields string", [("key", key["title"], ",".join(key["properties"])), ("value", value["title"], ",".join(value["properties"]))])
+    """Every envelope of the log against the schema of its table: members in order, nothing besides, types of what is there."""
+    columns = [Field("k", "bigint", False, True), Field("v", "numeric(18,2)"), Field("event_type", "varchar(20)")]
+    schema = json_schema.envelope_schema(Table("public.accounts", 1, columns), "t", UNAVAILABLE, "postgresql")
+    parts = schema["properties"]
+    value, keys = F.col("value"), lambda path: F.json_object_keys(F.get_json_object("value", path))
+    image = lambda side: F.coalesce(F.size(F.array_except(keys(f"$.{side}"), F.array(*map(F.lit, parts[side]["anyOf"][1]["properties"])))) == 0, F.lit(True))
+    whole = F.get_json_object("value", "$.source.lsn").rlike("^[0-9]+$") & F.get_json_object("value", "$.ts_ms").rlike("^[0-9]+$")
+    good = (F.json_object_keys(value) == F.array(*map(F.lit, schema["required"]))) & (keys("$.source") == F.array(*map(F.lit, parts["source"]["required"]))) & F.get_json_object("value", "$.op").isin(parts["op"]["enum"]) & image("before") & image("after") & whole
+    title = F.concat(F.col("topic"), F.lit(".Envelope"))
+    joined = lambda c: F.array_join(c, ",")
+    return encoded(spark, d).select("event_id", joined(F.json_object_keys(value)).alias("members"), joined(keys("$.source")).alias("source_members"), joined(keys("$.transaction")).alias("transaction_members"), title.alias("title"), good.alias("conforms"))

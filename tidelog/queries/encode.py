@@ -153,7 +153,9 @@ _KINDS = [
 ]
 
 
-@query(literal("source_type string, kind string", _KINDS))
+@query(f"""WITH t AS ({literal("source_type string", [(t,) for t, _ in _KINDS])}), b AS (SELECT source_type, regexp_replace(source_type, '(\\[\\])+$', '') AS base, (length(source_type) - length(regexp_replace(source_type, '(\\[\\])+$', ''))) // 2 AS depth FROM t)
+SELECT source_type, repeat('array:', depth) || CASE WHEN base LIKE 'tinyint(1)%' OR base LIKE 'bool%' THEN 'boolean' WHEN base LIKE '%unsigned%' OR base = 'oid' THEN 'unsigned' WHEN regexp_matches(base, '^(hstore|map)') THEN 'map' WHEN base IN ('json', 'jsonb') THEN 'json'
+  WHEN regexp_matches(base, '^(numeric|decimal|money)') THEN 'decimal' WHEN regexp_matches(base, '^big|^int8$') THEN 'long' WHEN regexp_matches(base, '^(int|integer|smallint|tinyint|serial)( *\\(.*)?$') THEN 'int' WHEN regexp_matches(base, '^(double|real|float)') THEN 'double' WHEN regexp_matches(base, '^(bytea|blob|binary|varbinary)') THEN 'bytes' ELSE 'string' END AS kind FROM b""")
 def q_wire_kinds(spark, d):
     return table(spark, "source_type string, kind string", [(t, kinds.kind(t)) for t, _ in _KINDS])
 
@@ -175,7 +177,20 @@ def q_encode_avro(spark, d):
     return _customer_json(spark, d).select("c_custkey", F.lower(F.hex(avro.encode_json(F.col("j"), schema))).alias("datum"))
 
 
-@query()
+_VARINT = "CASE WHEN {0} < 128 THEN lpad(hex({0}), 2, '0') WHEN {0} < 16384 THEN hex({0} % 128 + 128) || lpad(hex({0} // 128), 2, '0') ELSE hex({0} % 128 + 128) || hex({0} // 128 % 128 + 128) || lpad(hex({0} // 16384), 2, '0') END"
+#: A column's message: an integer is field 1 as a varint, a text field 1 with its length.
+_COLUMN = {"c_custkey": f"('08' || {_VARINT.format('c_custkey')})", "c_name": "('0A' || lpad(hex(strlen(c_name)), 2, '0') || hex(encode(c_name)))", "c_nationkey": f"('08' || {_VARINT.format('c_nationkey')})"}
+
+
+def _tag(name: str) -> str:
+    """The bytes before a column's message: its number shifted by three, wire type 2."""
+    n, out = kinds.field_number(name) << 3 | 2, ""
+    while n > 127:
+        out, n = out + f"{n & 127 | 128:02X}", n >> 7
+    return f"{out}{n:02X}"
+
+
+@query("SELECT c_custkey, lower(" + " || ".join(f"'{_tag(n)}' || lpad(hex(length({_COLUMN[n]}) // 2), 2, '0') || {_COLUMN[n]}" for n in sorted(_COLUMN, key=kinds.field_number)) + ") AS datum FROM customer")
 def q_encode_protobuf(spark, d):
-    """Wire bytes; held against the Protobuf runtime in tests."""
+    """Wire bytes; held against the Protobuf runtime in tests, too."""
     return _customer_json(spark, d).select("c_custkey", F.lower(F.hex(protobuf.encode_json(F.col("j"), CUSTOMER, UNAVAILABLE))).alias("datum"))

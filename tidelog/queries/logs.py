@@ -111,36 +111,37 @@ def q_cdc_poll_union(spark, d):
     return logs.poll_changes(tables, (40, 202, 3), 1500, 256, ["k", "v"])
 
 
-_REDO = [
-    (1, "r1", 1, 1, """insert into "APP"."T"("ID","NAME") values ('1','O''Brien, AND co')""", None), (2, "r1", 1, 3, """update "APP"."T" set "NAME" = 'x' where "ID" = '1' and "NOTE" IS NULL""", """update "APP"."T" set "NAME" = 'a AND b' where "ID" = '1'"""),
-    (3, "r1", 1, 2, """delete from "APP"."T" where "ID" = '1'""", """insert into "APP"."T"("ID","N") values (1, 2.5)"""), (4, "r1", 1, 7, "commit", None), (5, "r2", 1, 6, "set transaction read write", None), (6, "r2", 1, 5, "alter table t add x int", None),
-]
-_REDO_S = "scn bigint, rs_id string, ssn int, operation_code int, sql_redo string, sql_undo string"
-_REDO_OUT = [
-    (2, "u", "data", '{"ID":"1","NAME":"x","NOTE":null}', '{"ID":"1","NAME":"a AND b"}'), (3, "d", "data", None, '{"ID":1,"N":2.5}'), (4, None, "transaction_commit", None, None), (6, "m", "data", None, None),
-]
+_say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-@query(literal("scn bigint, op string, boundary string, after string, before string", _REDO_OUT))
+@query("""WITH e AS (SELECT event_id AS n, event_type AS t, event_id % 6 AS style FROM events) SELECT n AS scn, CASE style WHEN 0 THEN 'c' WHEN 1 THEN 'u' WHEN 2 THEN 'd' WHEN 5 THEN 'm' END AS op, CASE style WHEN 3 THEN 'transaction_commit' ELSE 'data' END AS boundary,
+CASE style WHEN 0 THEN '{"ID":"' || n || '","NAME":"O''Brien, AND ' || t || '"}' WHEN 1 THEN '{"ID":"' || n || '","NAME":"' || t || '","NOTE":null}' END AS after,
+CASE style WHEN 1 THEN '{"ID":"' || n || '","NAME":"a AND ' || t || '"}' WHEN 2 THEN '{"ID":' || n || ',"N":2.5}' END AS before FROM e WHERE style <> 4 AND (n > 3 OR (n = 3 AND 'r1' > 'r1'))""")
 def q_logminer_parse(spark, d):
-    return logs.decode_logminer(table(spark, _REDO_S, _REDO), (1, "r1", 1)).select("scn", "op", "boundary", "after", "before")
-
-
-_DOCS = [
-    (1, "insert", '{"_id":"1","a":"x"}', None, None, '{"_id":"1"}'), (2, "update", None, '{"a":"y"}', None, '{"_id":"1"}'), (3, "update", '{"_id":"1","a":"y","b":"z"}', '{"b":"z"}', '{"_id":"1"}', '{"_id":"1"}'),
-    (4, "replace", '{"_id":"1","c":"q"}', None, None, '{"_id":"1"}'), (5, "delete", None, None, None, '{"_id":"1"}'), (6, "delete", None, None, '{"_id":"2","c":"q"}', '{"_id":"2"}'), (7, "drop", None, None, None, None),
-]
-_DOCS_OUT = [
-    (1, "c", None, '{"_id":"1","a":"x"}'), (2, "u", None, '{"_id":"1","a":"y"}'), (3, "u", '{"_id":"1"}', '{"_id":"1","a":"y","b":"z"}'), (4, "u", None, '{"_id":"1","c":"q"}'),
-    (5, "d", '{"_id":"1"}', None), (6, "d", '{"_id":"2","c":"q"}', None), (7, "m", None, None),
-]
-
-
-@query(literal("n int, op string, before string, after string", _DOCS_OUT))
+    """Redo and undo statements of every kind, behind a cursor."""
+    n, t = F.col("event_id"), F.col("event_type")
+    code = F.element_at(F.array(*map(F.lit, (1, 3, 2, 7, 6, 5))), (n % 6 + 1).cast("int"))
+    redo = F.when(code == 1, _say("insert into \"APP\".\"T\"(\"ID\",\"NAME\") values ('", n, "','O''Brien, AND ", t, "')")).when(code == 3, _say("update \"APP\".\"T\" set \"NAME\" = '", t, "' where \"ID\" = '", n, "' and \"NOTE\" IS NULL"))
+    undo = F.when(code == 3, _say("update \"APP\".\"T\" set \"NAME\" = 'a AND ", t, "' where \"ID\" = '", n, "'")).when(code == 2, _say('insert into "APP"."T"("ID","N") values (', n, ", 2.5)"))
+    rows = read(spark, d, "events").select(n.alias("scn"), F.lit("r1").alias("rs_id"), F.lit(1).alias("ssn"), code.alias("operation_code"), redo.alias("sql_redo"), undo.alias("sql_undo"))
+    return logs.decode_logminer(rows, (3, "r1", 1)).select("scn", "op", "boundary", "after", "before")
+
+
+@query("""WITH e AS (SELECT event_id AS n, event_type AS t, event_id % 7 AS style FROM events) SELECT n AS event_id, CASE WHEN style = 0 THEN 'c' WHEN style < 4 THEN 'u' WHEN style < 6 THEN 'd' ELSE 'm' END AS op,
+CASE style WHEN 2 THEN '{"_id":"' || n || '"}' WHEN 4 THEN '{"_id":"' || n || '"}' WHEN 5 THEN '{"_id":"' || n || '","c":"' || t || '"}' END AS before,
+CASE style WHEN 0 THEN '{"_id":"' || n || '","a":"' || t || '"}' WHEN 1 THEN '{"_id":"' || n || '","a":"' || t || '"}' WHEN 2 THEN '{"_id":"' || n || '","a":"y","b":"' || t || '"}' WHEN 3 THEN '{"_id":"' || n || '","c":"' || t || '"}' END AS after FROM e""")
 def q_doc_change(spark, d):
-    rows = table(spark, "n int, kind string, full string, updated string, before_doc string, key string", _DOCS)
+    """Inserts, updates with and without the full document, replacements, deletes with and without a before image, drops."""
+    n, t = F.col("event_id"), F.col("event_type")
+    style, key = n % 7, _say('{"_id":"', n, '"}')
+    doc = lambda name: _say('{"_id":"', n, f'","{name}":"', t, '"}')
+    kind = F.element_at(F.array(*map(F.lit, ("insert", "update", "update", "replace", "delete", "delete", "drop"))), (style + 1).cast("int"))
+    full = F.when(style == 0, doc("a")).when(style == 2, _say('{"_id":"', n, '","a":"y","b":"', t, '"}')).when(style == 3, doc("c"))
+    updated = F.when(style == 1, _say('{"a":"', t, '"}')).when(style == 2, _say('{"b":"', t, '"}'))
+    images = {"kind": kind, "full": full, "updated": updated, "before_doc": F.when(style == 2, key).when(style == 5, doc("c")), "key": F.when(style < 6, key)}
+    rows = read(spark, d, "events").select("event_id", *[c.alias(name) for name, c in images.items()])
     op, before, after = logs.decode_document_change(F.col("kind"), F.col("full"), F.col("updated"), F.col("before_doc"), F.col("key"))
-    return rows.select("n", op.alias("op"), before.alias("before"), after.alias("after"))
+    return rows.select("event_id", op.alias("op"), before.alias("before"), after.alias("after"))
 
 
 def envelopes(spark, d):
@@ -171,15 +172,17 @@ def q_bridge_time(spark, d):
     return table(spark, "n int, ts_ns bigint, ts_us bigint, ts_ms bigint", _TIMES).select("n", types_doc.bridge_micros(F.col("ts_ns"), F.col("ts_us"), F.col("ts_ms")).alias("source_us"))
 
 
-_DIFFS = [
-    (1, '{"a":1,"b":[1,2]}', '[{"op":"replace","path":"$.a","value":5}]'), (2, '{"a":1,"b":[1,2]}', '[{"op":"insert","path":"$.b[1]","value":9},{"op":"remove","path":"$.a"}]'), (3, '{"a":1}', '[{"op":"replace","path":"$.zz","value":5}]'),
-    (4, None, '[]'), (5, '{"a b":{"c":1}}', '[{"op":"insert","path":"$.\\"a b\\".d","value":null}]'),
-]
-
-
-@query(literal("n int, doc string", [(1, '{"a":5,"b":[1,2]}'), (2, '{"b":[1,9,2]}'), (3, None), (4, None), (5, '{"a b":{"c":1,"d":null}}')]))
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"a":' || event_id || ',"b":[1,2]}' WHEN 1 THEN '{"b":[1,' || event_id || ',2]}' WHEN 4 THEN '{"a b":{"c":1,"d":"' || event_type || '"}}' END AS doc FROM events""")
 def q_json_diff(spark, d):
-    return table(spark, "n int, base string, diffs string", _DIFFS).select("n", json_diff.json_after("base", "diffs").alias("doc"))
+    """Replace, insert and remove by path; a path that leads nowhere, and a missing base, leave the value unknown."""
+    n, t = F.col("event_id"), F.col("event_type")
+    pick = lambda *c: F.element_at(F.array(*c), (n % 5 + 1).cast("int"))
+    plain = F.lit('{"a":1,"b":[1,2]}')
+    base = pick(plain, plain, F.lit('{"a":1}'), F.lit(None).cast("string"), F.lit('{"a b":{"c":1}}'))
+    diffs = pick(
+        _say('[{"op":"replace","path":"$.a","value":', n, "}]"), _say('[{"op":"insert","path":"$.b[1]","value":', n, '},{"op":"remove","path":"$.a"}]'), _say('[{"op":"replace","path":"$.zz","value":', n, "}]"), F.lit("[]"), _say('[{"op":"insert","path":"$.\\"a b\\".d","value":"', t, '"}]')
+    )
+    return read(spark, d, "events").select("event_id", base.alias("base"), diffs.alias("diffs")).select("event_id", json_diff.json_after("base", "diffs").alias("doc"))
 
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k, value::DECIMAL(18,2)::VARCHAR AS value FROM events")

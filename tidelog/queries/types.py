@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import positions, types_mssql, types_mysql, types_pg
@@ -22,53 +23,67 @@ def q_pg_types(spark, d):
     return rows.select(types_pg.boolean(F.col("b")).alias("b"), i.alias("i"), failed.alias("i_failed"), F.when(~F.isnan(f), f).alias("f"), F.lower(F.hex(types_pg.bytea(F.col("y")))).alias("y_hex"), "s")
 
 
-_MONEY = [("$1,234.56", "1234.56"), ("-$0.125", "-0.13"), ("($1,000)", "-1000.00"), ("€12.345", "12.35"), ("12", "12.00"), ("n/a", None), (None, None)]
+_txt = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+_say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-@query(literal("text string, amount string", _MONEY))
-def q_money(spark, d):
-    return table(spark, "text string, x string", _MONEY).select("text", types_pg.money(F.col("text")).cast("string").alias("amount"))
+def _styles(style: Column, *texts: Column) -> Column:
+    """The text of a row's style."""
+    return F.element_at(F.array(*texts), (style % len(texts) + 1).cast("int"))
 
 
-_INTERVALS = [
-    ("1 year 2 mons 3 days 04:05:06.789", 14, 3, 14706789000, 37091106789000, "P1Y2M3DT4H5M6.789S"), ("-00:00:01.5", 0, 0, -1500000, -1500000, "P0Y0M0DT0H0M-1.5S"), ("3 days", 0, 3, 0, 259200000000, "P0Y0M3DT0H0M0S"),
-    ("@ 1 mon 2 days ago", -1, -2, 0, -2802600000000, "P0Y-1M-2DT0H0M0S"), ("P1Y2M3DT4H5M6S", 14, 3, 14706000000, 37091106000000, "P1Y2M3DT4H5M6S"), ("PT15M", 0, 0, 900000000, 900000000, "P0Y0M0DT0H15M0S"), ("soon", None, None, None, None, None),
-]
-_IN = "text string, months bigint, days bigint, micros bigint, total bigint, iso string"
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey * 7919 % 100000000 AS n, o_orderkey % 7 AS style FROM orders), c AS (SELECT *, (n + 5) // 10 AS cents FROM o)
+SELECT o_orderkey, CASE WHEN style = 5 THEN NULL ELSE CASE WHEN style IN (1, 2, 6) AND cents > 0 THEN '-' ELSE '' END || (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') END AS amount FROM c""")
+def q_money(spark, d):
+    """Amounts of three decimals in seven spellings, one of them no amount."""
+    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 100_000_000).alias("n"))
+    plain = F.concat(F.format_number(F.expr("n div 1000"), 0), F.lit("."), F.lpad(_txt(F.col("n") % 1000), 3, "0"))
+    text = _styles(F.col("o_orderkey"), _say("$", plain), _say("-$", plain), _say("($", plain, ")"), _say("€", plain), plain, _say("n/a ", plain), _say(" - ", plain))
+    return o.select("o_orderkey", types_pg.money(text).cast("string").alias("amount"))
 
 
-@query(literal("text string, months bigint, days bigint, micros bigint", [r[:4] for r in _INTERVALS]))
-def q_interval(spark, d):
-    parts = table(spark, _IN, _INTERVALS).select("text", types_pg.interval_parts(F.col("text")).alias("p"))
-    return parts.select("text", "p.months", "p.days", "p.micros")
+_PARTS = """WITH e AS (SELECT event_id AS e, event_id % 5 AS style, event_id % 4 AS y, event_id % 12 AS mo, event_id % 31 AS d, event_id % 24 AS h, event_id % 60 AS mi, event_id * 7 % 60 AS s, event_id * 13 % 1000000 AS us FROM events),
+p AS (SELECT *, CASE style WHEN 1 THEN -1 WHEN 3 THEN -1 ELSE 1 END AS sign, style IN (0, 1, 2) AS dated, CASE WHEN style = 1 THEN 0 ELSE s END AS sec, CASE WHEN style = 0 THEN us ELSE 0 END AS frac FROM e),
+q AS (SELECT *, CASE WHEN style < 4 THEN CASE WHEN dated THEN sign * (y * 12 + mo) ELSE 0 END END AS months, CASE WHEN style < 4 THEN CASE WHEN dated THEN sign * d ELSE 0 END END AS days,
+  CASE WHEN style < 4 THEN sign * ((h * 3600 + mi * 60 + sec) * 1000000 + frac) END AS micros FROM p)"""
 
 
-@query(literal("text string, total_micros bigint, iso string", [(r[0], *r[4:]) for r in _INTERVALS]))
-def q_interval_micros(spark, d):
-    parts = table(spark, _IN, _INTERVALS).select("text", types_pg.interval_parts(F.col("text")).alias("p"))
-    return parts.select("text", types_pg.interval_micros(F.col("p")).alias("total_micros"), types_pg.interval_iso(F.col("p")).alias("iso"))
+def _intervals(spark, d):
+    """Intervals spelled out, spelled out and negated, in the ISO form, as a negative clock, and something else."""
+    e = F.col("event_id")
+    y, mo, day, h, mi, s, us = e % 4, e % 12, e % 31, e % 24, e % 60, e * 7 % 60, e * 13 % 1_000_000
+    two = lambda c: F.lpad(_txt(c), 2, "0")
+    clock = _say(two(h), ":", two(mi), ":", two(s))
+    text = _styles(e, _say(y, " years ", mo, " mons ", day, " days ", clock, ".", F.lpad(_txt(us), 6, "0")), _say("@ ", y, " years ", mo, " mons ", day, " days ", h, " hours ", mi, " mins ago"), _say("P", y, "Y", mo, "M", day, "DT", h, "H", mi, "M", s, "S"), _say("-", clock), _say("in ", day, " days"))
+    return read(spark, d, "events").select("event_id", types_pg.interval_parts(text).alias("p"))
 
 
-_HSTORE = [('"a"=>"1", "b"=>NULL', '{"a":"1","b":null}'), ('b=>"x, \\"y\\"", "a b"=>"=>"', '{"a b":"=>","b":"x, \\"y\\""}'), ("", "{}"), ("a=1", None), (None, None)]
+@query(f"{_PARTS} SELECT e AS event_id, months, days, micros FROM q")
+def q_interval(spark, d):
+    return _intervals(spark, d).select("event_id", "p.months", "p.days", "p.micros")
 
 
-@query(literal("text string, as_json string", _HSTORE))
-def q_hstore(spark, d):
-    m = types_pg.hstore(F.col("text"))
-    rows = table(spark, "text string, x string", _HSTORE).select("text", m.alias("m"))
-    ordered = F.map_from_entries(F.array_sort(F.map_entries("m")))
-    return rows.select("text", F.to_json(ordered, {"ignoreNullFields": "false"}).alias("as_json"))
+@query(f"""{_PARTS} SELECT e AS event_id, months * 2629800000000 + days * 86400000000 + micros AS total_micros,
+CASE WHEN style < 4 THEN 'P' || CASE WHEN dated THEN sign * y ELSE 0 END || 'Y' || CASE WHEN dated THEN sign * mo ELSE 0 END || 'M' || days || 'DT' || sign * h || 'H' || sign * mi || 'M' || CASE WHEN sign < 0 AND sec > 0 THEN '-' ELSE '' END || sec || CASE WHEN frac > 0 THEN rtrim('.' || lpad(frac::VARCHAR, 6, '0'), '0') ELSE '' END || 'S' END AS iso FROM q""")
+def q_interval_micros(spark, d):
+    return _intervals(spark, d).select("event_id", types_pg.interval_micros(F.col("p")).alias("total_micros"), types_pg.interval_iso(F.col("p")).alias("iso"))
 
 
-_VECTORS = [(1, "[1,2.5,-3]"), (2, "{1:0.5,3:2}/5"), (3, "oops"), (4, "{}/4")]
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"n":"' || event_id || '","type":"' || event_type || '","z":null}' WHEN 1 THEN '{"a b":"=>' || event_id || '","q":"x, \\"' || event_type || '\\""}' WHEN 2 THEN '{}' END AS as_json FROM events""")
+def q_hstore(spark, d):
+    """Quoted and bare, with escapes, empty, and malformed."""
+    n, t = F.col("event_id"), F.col("event_type")
+    text = _styles(n, _say('"type"=>"', t, '", z=>NULL, "n"=>', n), _say('q=>"x, \\"', t, '\\"", "a b"=>"=>', n, '"'), F.lit(" "), _say(t, "=", n))
+    m = read(spark, d, "events").select("event_id", types_pg.hstore(text).alias("m"))
+    return m.select("event_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("m"))), {"ignoreNullFields": "false"}).alias("as_json"))
 
 
-@query(literal("n int, dense_sum double, dimensions int, nonzero int, third double", [(1, 0.5, None, None, None), (2, None, 5, 2, 2.0), (3, None, None, None, None), (4, None, 4, 0, None)]))
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id + event_id % 7 + 0.5 - 3 END::DOUBLE AS dense_sum, CASE event_id % 3 WHEN 1 THEN 5 END AS dimensions, CASE event_id % 3 WHEN 1 THEN 2 END AS nonzero, CASE event_id % 3 WHEN 1 THEN event_id % 9 END::DOUBLE AS third FROM events""")
 def q_vector(spark, d):
-    rows = table(spark, "n int, text string", _VECTORS)
-    dense, sparse = types_pg.dense_vector(F.col("text")), types_pg.sparse_vector(F.col("text"))
-    rows = rows.select("n", dense.alias("dense"), sparse.alias("sparse"))
-    return rows.select("n", F.aggregate("dense", F.lit(0.0), lambda a, x: a + x).alias("dense_sum"), "sparse.dimensions", F.when(F.col("sparse").isNotNull(), F.size("sparse.vector")).alias("nonzero"), F.try_element_at("sparse.vector", F.lit(3)).alias("third"))
+    n = F.col("event_id")
+    text = _styles(n, _say("[", n, ",", n % 7, ".5,-3]"), _say("{1:0.5, 3:", n % 9, "}/5"), _say("[", n))
+    rows = read(spark, d, "events").select("event_id", types_pg.dense_vector(text).alias("dense"), types_pg.sparse_vector(text).alias("sparse"))
+    return rows.select("event_id", F.aggregate("dense", F.lit(0.0), lambda a, x: a + x).alias("dense_sum"), "sparse.dimensions", F.when(F.col("sparse").isNotNull(), F.size("sparse.vector")).alias("nonzero"), F.try_element_at("sparse.vector", F.lit(3)).alias("third"))
 
 
 @query("SELECT vec_id, len(embedding)::INTEGER AS dimensions, embedding[1]::DOUBLE AS first, label FROM embeddings")
@@ -76,13 +91,13 @@ def q_vector_column(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.size("embedding").alias("dimensions"), F.get("embedding", 0).cast("double").alias("first"), "label")
 
 
-_ARRAYS = [("{1,2,NULL}", '["1","2",null]'), ('{"a b","c\\"d",e}', '["a b","c\\"d","e"]'), ("[0:1]={x,y}", '["x","y"]'), ("{{1,2},{3,4}}", '["[\\"1\\", \\"2\\"]","[\\"3\\", \\"4\\"]"]'), ("{}", "[]"), ("{1", None), (None, None)]
-
-
-@query(literal("text string, as_json string", _ARRAYS))
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '["' || event_id || '","2",null]' WHEN 1 THEN '["a ' || event_type || '","c\\"d","' || event_id || '"]' WHEN 2 THEN '["x","' || event_id || '"]' WHEN 3 THEN '["[\\"' || event_id || '\\", \\"2\\"]","[\\"3\\", null]"]' END AS as_json FROM events""")
 def q_pg_array(spark, d):
-    rows = table(spark, "text string, x string", _ARRAYS).select("text", types_pg.array(F.col("text")).alias("a"))
-    return rows.select("text", F.to_json("a", {"ignoreNullFields": "false"}).alias("as_json"))
+    """Plain, quoted, with bounds, nested, and malformed arrays."""
+    n = F.col("event_id")
+    text = _styles(n, _say("{", n, ",2,NULL}"), _say('{"a ', F.col("event_type"), '","c\\"d",', n, "}"), _say("[0:1]={x,", n, "}"), _say("{{", n, ",2},{3,NULL}}"), _say("{", n, ",}"))
+    rows = read(spark, d, "events").select("event_id", types_pg.array(text).alias("a"))
+    return rows.select("event_id", F.to_json("a", {"ignoreNullFields": "false"}).alias("as_json"))
 
 
 _MY = [("1", "18446744073709551615", "-5", "12.30"), ("0", "0", "x", "7"), (None, None, None, None)]
@@ -102,12 +117,13 @@ def q_mysql_timestamp(spark, d):
     return read(spark, d, "events").withColumn("us", us).select("event_id", types_mysql.timestamp_text(epoch).alias("text"))
 
 
-_TIMES = [(0, "00:00:00"), (-3661000000, "-01:01:01"), (3020399000000, "838:59:59"), (1500000, "00:00:01.500000"), (None, None)]
-
-
-@query(literal("micros bigint, text string", _TIMES))
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 3 = 0 THEN (event_id * 37 % 6040798 - 3020399) * 1000000 ELSE event_id * 37000003 % 6040798000001 - 3020399000000 END AS us FROM events), a AS (SELECT *, abs(us) AS x, abs(us) // 3600000000 AS h FROM e)
+SELECT event_id, us AS micros, CASE WHEN us < 0 THEN '-' ELSE '' END || CASE WHEN h < 10 THEN '0' ELSE '' END || h || ':' || lpad((x // 60000000 % 60)::VARCHAR, 2, '0') || ':' || lpad((x // 1000000 % 60)::VARCHAR, 2, '0') || CASE WHEN x % 1000000 > 0 THEN '.' || lpad((x % 1000000)::VARCHAR, 6, '0') ELSE '' END AS text FROM a""")
 def q_mysql_time(spark, d):
-    return table(spark, "micros bigint, x string", _TIMES).select("micros", types_mysql.time_text(F.col("micros")).alias("text"))
+    """Times from -838:59:59 to 838:59:59, with and without a fraction."""
+    n = F.col("event_id")
+    us = F.when(n % 50 == 0, None).when(n % 3 == 0, (n * 37 % 6040798 - 3020399) * 1_000_000).otherwise(n * 37000003 % 6040798000001 - 3020399000000)
+    return read(spark, d, "events").select("event_id", us.alias("micros")).withColumn("text", types_mysql.time_text(F.col("micros")))
 
 
 @query("""SELECT event_id, coalesce((['low', 'mid', 'high'])[(event_id % 5)::INTEGER], '') AS label, array_to_string(list_filter([CASE WHEN event_id % 8 & 1 > 0 THEN 'a' END, CASE WHEN event_id % 8 & 2 > 0 THEN 'b' END, CASE WHEN event_id % 8 & 4 > 0 THEN 'c' END], lambda x: x IS NOT NULL), ',') AS labels FROM events""")
@@ -160,10 +176,20 @@ def q_mask_hash_v1(spark, d):
     return read(spark, d, "customer").select("c_custkey", hash_column(F.col("c_name"), "SHA-256", "CzQMA0cB5K", 1, 20).alias("hashed"))
 
 
-@query()
+#: Digests of "s" and a segment's name, made with other implementations, for what DuckDB has no function for.
+_DIGESTS = [
+    ("AUTOMOBILE", "baae8495957b7f5c13c6ed16bde33ead", "69bbbb9e20d43ff1fe160a8ebf2a455d6eedf4f3fb6e22dda42004ab21314abe", "7be7ea4010b98c80d610f1cc1e31c05503ffeb9b70b746519a8976f89e12a1f1"),
+    ("BUILDING", "a9c05a42d99733226edc6269f04fc12d", "b56a370a4afd0f99cc0a0a6d05e29100f4f7fbd5544f47237b549425a3af213d", "796c211c0da7008e3812adb1245cd7420564caad6f8c345edf1fea0c1fbd438e"),
+    ("FURNITURE", "76bb92390db383c51d6ff3ab6ee28203", "6637b5c4e5a4da53ce00486b2ed0939a4f934674b70a70172da09158aab6b5c0", "02d6d78474b4aa837518de121543e3e1de5d6e1875dc38c0e7d328f658c46015"),
+    ("HOUSEHOLD", "12de6e90d80deef18d4950c58a43db4e", "2ecc63e0049b4721d11b4e3813e0eeed7de4751007371213146ebd1b1bde5b2e", "9971a8ebee7acad74abc97fe830b936982f82b46e1d7ccabfc2dea85816ea641"),
+    ("MACHINERY", "0924aa921c1fa1f4f3929d8c6561d3ad", "20fb3b68e060d076bf9914af2059a84f9f213b31a2bc82b86f2190fbd4c470bf", "38641028cc23fda0c236cea647b89b99d43ac8bdb5be6b5cb13eeb87620df546"),
+]
+
+
+@query(f"WITH h AS ({literal('segment string, md2 string, sha3_256 string, sha_512_256 string', _DIGESTS)}) SELECT c_custkey, md2, sha3_256, sha_512_256 FROM customer JOIN h ON segment = c_mktsegment")
 def q_mask_hash_library(spark, d):
-    """Algorithms that neither Spark nor DuckDB has; held against known vectors in tests."""
-    c = F.col("c_name")
+    """Algorithms that neither Spark nor DuckDB has."""
+    c = F.col("c_mktsegment")
     return read(spark, d, "customer").select("c_custkey", *[hash_column(c, a, "s", 2, None).alias(a.replace("-", "_").replace("/", "_").lower()) for a in ("MD2", "SHA3-256", "SHA-512/256")])
 
 
