@@ -36,3 +36,13 @@ def skip_repeated(records: DataFrame, record_id: str, arrival: str, rows: int |
     found = placed.withColumns({"_n": F.row_number().over(at), "_lag": F.lag(record_id).over(at)}).join(ends, "_range")
     previous = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))
     return found.filter(~F.col(record_id).eqNullSafe(previous)).drop("_n", "_lag", "_before", "_range")
+
+
+#: Capture rows that may be broadcast.
+MAX_CAPTURES = 100_000
+
+
+def with_capture(log: DataFrame, captures: DataFrame, key: str = "capture") -> DataFrame:
+    """Log rows with what is known of their capture instance; rows of others go. The table of captures is counted before it is broadcast."""
+    few = captures.limit(MAX_CAPTURES + 1).count() <= MAX_CAPTURES
+    return log.join(F.broadcast(captures) if few else captures, key)

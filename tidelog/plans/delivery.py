@@ -18,7 +18,7 @@ from ..model import COMMIT, DATA, HEARTBEAT, SNAPSHOT_COMPLETE
 from ..operators.snapshot import includes
 from ..sources import bridge, tables
 from ..streaming.stateful import committed
-from . import images
+from . import families, images
 
 
 def none(kind: str) -> Column:
@@ -131,10 +131,15 @@ def log_records(entries: DataFrame, config: Config) -> DataFrame:
     return finish(out, config)
 
 
+def family_records(entries: DataFrame, config: Config) -> DataFrame:
+    """Landed entries of a family (their columns: ``sources.tables.ENTRIES``) to sink records."""
+    if config.source.family == "postgresql":
+        return log_records(entries, config)
+    return finish(families.FAMILIES[config.source.family](entries, config), config)
+
+
 def source_records(spark: SparkSession, config: Config) -> DataFrame:
     """The stream of a configured source."""
     if config.source.family == "bridge":
         return bridge_records(spark, config)
-    if config.source.family == "postgresql":
-        return log_records(tables.read_log(spark, config.source.path), config)
-    raise ValueError(f"{config.source.family}: land its log as envelopes and use the bridge family")
+    return family_records(tables.read_log(spark, config.source.path, family=config.source.family), config)

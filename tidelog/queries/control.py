@@ -8,7 +8,7 @@ from ..encode import json_schema
 from ..functions.keys import key_text
 from ..functions.types_doc import plain_json
 from ..model import UNAVAILABLE
-from ..operators.filters import business_tables, require_known, skip_repeated
+from ..operators.filters import business_tables, require_known, skip_repeated, with_capture
 from ..plans.changelog import raw_log, read
 from ..sources.logs import transaction_id
 from ..operators.schema_history import Field, Table
@@ -31,8 +31,8 @@ _CAPTURES = [("dbo_accounts", "dbo", "accounts"), ("dbo_sessions", "dbo", "sessi
 @query(f"WITH {LOG}, c AS ({literal('capture string, sch string, tbl_name string', _CAPTURES)}) SELECT event_id, sch, tbl_name FROM raw JOIN c ON c.capture = 'dbo_' || raw.tbl")
 def q_capture_join(spark, d):
     log = raw_log(read(spark, d, "events")).withColumn("capture", F.concat(F.lit("dbo_"), F.col("tbl")))
-    captures = table(spark, "capture string, sch string, tbl_name string", _CAPTURES)  # a row a captured table
-    return log.join(F.broadcast(captures), "capture").select("event_id", "sch", "tbl_name")
+    captures = table(spark, "capture string, sch string, tbl_name string", _CAPTURES)
+    return with_capture(log, captures).select("event_id", "sch", "tbl_name")
 
 
 @query(f"""WITH {LOG} SELECT event_id, CASE WHEN txid % 2 = 0 THEN 'src:' || txid ELSE 'log.1:' || (txid * 40) END AS mysql_tx, '0x' || lower(lpad(hex(txid), 20, '0')) AS sqlserver_tx, (txid % 10) || '.' || (txid % 7) || '.' || txid AS oracle_tx,

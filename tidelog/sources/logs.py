@@ -81,7 +81,7 @@ def decode_binlog(entries: DataFrame, arrival: str = "arrival", partition: Seque
     out = out.withColumns({"_tx": F.coalesce("_tx", "_tx_before"), "anchor": F.coalesce("anchor", "_anchor_before")}).drop("_tx_before", "_anchor_before")
     op = F.when(kind == "write", "c").when(kind == "update", "u").when(kind == "delete", "d")
     end = (kind == "xid") | ((kind == "query") & F.upper("query").isin("COMMIT", "ROLLBACK"))
-    out = out.withColumns({"op": op, "boundary": F.when(op.isNotNull(), DATA).when(end, COMMIT), "tx_id": transaction_id(F.col("_tx.gtid"), F.col("_tx.file"), F.col("_tx.pos"))}).filter(F.col("boundary").isNotNull())
+    out = out.withColumns({"op": op, "boundary": F.when(op.isNotNull(), DATA).when(end, COMMIT), "tx_id": transaction_id(F.col("_tx.gtid"), F.col("_tx.file"), F.col("_tx.pos")), "tx_gtid": F.col("_tx.gtid")}).filter(F.col("boundary").isNotNull())
     same_map = W.partitionBy(*partition, "file", "anchor").orderBy(arrival)
     return out.withColumn("event_serial", F.when(F.col("op").isNotNull(), F.sum(F.col("op").isNotNull().cast("bigint")).over(same_map))).drop("_tx")
 

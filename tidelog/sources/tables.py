@@ -30,6 +30,21 @@ LOG_ENTRY = T.StructType([
 ])
 
 
+def _entry(line: str) -> T.StructType:
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in (part.split() for part in line.split(","))])
+
+
+#: Landed entries of the other families; images and keys are JSON text. Snapshot rows are of kind ``read`` (operation 0) and have their image in ``after`` (``image``, ``full``).
+ENTRIES = {
+    "postgresql": LOG_ENTRY,
+    "mysql": _entry("kind string, server_id long, file string, pos long, arrival long, gtid string, gtid_set string, query string, database string, table string, key string, before string, after string, ts_us long"),
+    "sqlserver": _entry("commit_lsn string, change_lsn string, operation int, database string, schema string, table string, key string, image string, ts_us long"),
+    "oracle": _entry("scn long, rs_id string, ssn int, operation_code int, commit_scn long, xid string, database string, schema string, table string, key string, sql_redo string, sql_undo string, after string, ts_us long"),
+    "mongodb": _entry("kind string, database string, table string, key string, full string, updated string, before string, token string, seconds long, increment long, session string, ts_us long"),
+}
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None, columns: list[str] | None = None, **options: str) -> DataFrame:
     """A table from files; only ``columns`` are read."""
     if fmt not in FILE_FORMATS:
@@ -49,13 +64,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, fetch_size: i
     return spark.read.format("jdbc").options(**given).load()
 
 
-def read_log(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 64) -> DataFrame:
+def read_log(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 64, family: str = "postgresql") -> DataFrame:
     """A landed log as a stream."""
-    return spark.readStream.format(fmt).schema(LOG_ENTRY).option("maxFilesPerTrigger", max_files).load(path)
+    return spark.readStream.format(fmt).schema(ENTRIES[family]).option("maxFilesPerTrigger", max_files).load(path)
 
 
 def table_entries(table: DataFrame, name: str, schema: str, key: list[str], anchor: int) -> DataFrame:
-    """A snapshot table as log entries of kind ``read`` at the anchor position."""
-    as_json = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    """A snapshot table as log entries of kind ``read`` at the anchor position; its key may have any columns, or none."""
+    as_json = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else F.lit(None)
     given = {"kind": F.lit("read"), "lsn": F.lit(anchor), "schema": F.lit(schema), "table": F.lit(name), "key": as_json(key), "after": as_json(table.columns)}
     return table.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_ENTRY.fields])

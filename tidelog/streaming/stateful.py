@@ -6,7 +6,7 @@ transaction), so it spreads over executors and ends with its key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..model import COMMIT, DATA
 from ..operators.pairing import CHANGE_OPS, DELETE, INSERT, UPDATE_AFTER, UPDATE_BEFORE
 
-PAIRED = "commit_lsn bigint, change_lsn bigint, op string, serial bigint, before string, after string"
 
-
-def pair_updates(changes: DataFrame) -> DataFrame:
-    """Change-table rows (commit_lsn, change_lsn, operation, image) to changes; an update's first half waits for its second.
+def pair_updates(changes: DataFrame, keys: Sequence[str] = ("commit_lsn", "change_lsn")) -> DataFrame:
+    """Change-table rows (``keys``, operation, image) to changes; an update's first half waits for its second.
 
     An after row without its before row is an error, as the order of a change table does not allow it.
     """
@@ -46,10 +45,40 @@ def pair_updates(changes: DataFrame) -> DataFrame:
             state.update((held,))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["commit_lsn", "change_lsn", "op", "serial", "before", "after"])
+        yield pd.DataFrame(out, columns=[*keys, "op", "serial", "before", "after"])
 
     assert set(CHANGE_OPS) == {DELETE, INSERT, UPDATE_AFTER}
-    return changes.groupBy("commit_lsn", "change_lsn").applyInPandasWithState(pair, PAIRED, "held string", "append", GroupStateTimeout.NoTimeout)
+    keys = list(keys)
+    paired = ", ".join([*(f"`{k}` {changes.schema[k].dataType.simpleString()}" for k in keys), "op string, serial bigint, before string, after string"])
+    return changes.groupBy(*keys).applyInPandasWithState(pair, paired, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def binlog(entries: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """What ``sources.logs.decode_binlog`` gives, for a stream: a server's open transaction and table map wait in state between batches."""
+    names = entries.columns
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        gtid, tx, anchor, file, serial = state.get if state.exists else (None, "", None, None, 0)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(arrival).itertuples(index=False):
+            op, end = {"write": "c", "update": "u", "delete": "d"}.get(r.kind), r.kind == "xid" or (r.kind == "query" and r.word in ("COMMIT", "ROLLBACK"))
+            if r.kind == "gtid" or (r.kind == "query" and r.word == "BEGIN"):
+                gtid = r.gtid
+                tx = gtid or f"{r.file}:{r.pos}"
+            elif r.kind == "table_map":
+                anchor, file, serial = r.pos, r.file, 0
+            elif op:
+                file, serial = r.file, serial + 1 if r.file == file else 1
+                out.append((r.row, op, DATA, tx, gtid, anchor, str(serial)))
+            if end:
+                out.append((r.row, None, COMMIT, tx, gtid, anchor, None))
+        state.update((gtid, tx, anchor, file, serial))
+        yield pd.DataFrame(out, columns=["row", "op", "boundary", "tx_id", "tx_gtid", "anchor", "event_serial"])
+
+    packed = entries.select("server_id", arrival, "kind", "gtid", "file", F.col("pos").cast("string").alias("pos"), F.upper("query").alias("word"), F.to_json(F.struct(*names)).alias("row"))
+    out = packed.groupBy("server_id").applyInPandasWithState(step, "row string, op string, boundary string, tx_id string, tx_gtid string, anchor string, event_serial string", "gtid string, tx string, anchor string, file string, serial long", "append", GroupStateTimeout.NoTimeout)
+    back = out.withColumn("r", F.from_json("row", entries.schema)).select("r.*", "op", "boundary", "tx_id", "tx_gtid", F.col("anchor").cast("bigint").alias("anchor"), F.col("event_serial").cast("bigint").alias("event_serial"))
+    return back
 
 
 def transaction_order(log: DataFrame, tx: str = "txid", table: str = "tbl", arrival: str = "lsn", last: str = "is_last") -> DataFrame:
