@@ -199,3 +199,55 @@ def test_heartbeats_come_behind_whole_transactions(spark, tmp_path):
     assert connector.status.state == "streaming"
     connector.deliver(log_records(spark.createDataFrame([row(kind="message", lsn=1, prefix="x", transactional=False)], tables.LOG_ENTRY), c), 0)
     assert sink.topics == ["hb"]
+
+
+def test_incremental_snapshot_by_signal(spark, tmp_path):
+    from tidelog.streaming.incremental import IncrementalSnapshots
+
+    c = config.load(f"""
+name: shop
+source: {{family: postgresql, database: app, path: "{tmp_path}/log"}}
+tables: [{{name: public.t, columns: [{{name: a, type: int, key: true}}, {{name: b, type: text, key: true}}, {{name: v, type: int}}]}}, {{name: public.nokey, columns: [{{name: x, type: int}}]}}]
+snapshot: {{mode: never, path: "{tmp_path}/tables", signal_path: "{tmp_path}/signals", chunk_size: 3}}
+sink: {{kind: files, path: "{tmp_path}/out", prefix: p}}
+""", {})
+    table = [(i // 3, f"k{i % 3}", i) for i in range(10)]
+    spark.createDataFrame(table, "a int, b string, v int").write.parquet(f"{tmp_path}/tables/public.t")
+    (tmp_path / "signals").mkdir()
+    signal = {"id": "s1", "type": "execute-snapshot", "data": json.dumps({"data-collections": ["public\\.t"], "additional-conditions": [{"data-collection": "public\\.t", "filter": "v <> 5"}]})}
+    (tmp_path / "signals" / "1.json").write_text(json.dumps(signal) + "\nnot json\n\n")
+
+    def batch(*rows):
+        return log_records(spark.createDataFrame([*rows, row(kind="message", lsn=max((r[1] for r in rows), default=0) + 50, prefix="x", transactional=False)], tables.LOG_ENTRY), c)
+
+    def touched(lsn, a, b):
+        key = json.dumps({"a": a, "b": b}, separators=(",", ":"))
+        return change(lsn, None, kind="update", key=1) [:NAMES.index("key")] + (key,) + change(lsn, None)[NAMES.index("key") + 1 :]
+
+    sink = []
+
+    class Kept:
+        def write(self, df, batch_id):
+            sink.append([(json.loads(r["key"]) if r["key"] else None, json.loads(r["value"])["op"], json.loads(r["value"])["source"]["snapshot"], json.loads(r["value"])["after"]) for r in df.collect()])
+
+    store = runtime.CheckpointStore(str(tmp_path / "s"))
+
+    def connector():
+        out = runtime.Connector("shop", Kept(), store, c.identity(), incremental=IncrementalSnapshots(spark, c))
+        out.open()
+        return out
+
+    one = connector()
+    one.deliver(batch(touched(10, 0, "k0")), 0)  # the signal is seen, and the first chunk read, behind this batch
+    assert [x[1] for x in sink[0]] == ["u"] and one.incremental.answers == [("s1", "started")]
+    one.deliver(batch(touched(100, 0, "k1"), touched(101, 9, "zz")), 1)  # touches the second row of the chunk
+    snapshot = lambda out: sorted(tuple(x[3].values()) for x in out if x[2] == "incremental")
+    assert snapshot(sink[1]) == [(0, "k0", 0), (0, "k2", 2)] and all(x[0] == {"a": x[3]["a"], "b": x[3]["b"]} for x in sink[1] if x[1] == "r")
+    two = connector()  # a restart: the open chunk was not delivered, and is read again
+    assert two.incremental.state.last_key == (0, "k2") and two.incremental.chunk is None
+    while two.step():
+        pass
+    assert [snapshot(x) for x in sink[2:]] == [[(1, "k0", 3), (1, "k1", 4), (2, "k0", 6)], [(2, "k1", 7), (2, "k2", 8), (3, "k0", 9)]]
+    assert list(two.incremental.state.completed) == ["s1"] and not two.step()
+    (tmp_path / "signals" / "2.json").write_text(json.dumps(signal) + "\n" + json.dumps({"id": "s2", "type": "execute-snapshot", "data": "{}"}))
+    assert not two.step() and two.incremental.answers == [("s1", "duplicate"), ("s2", "refused: a snapshot needs a data collection")]

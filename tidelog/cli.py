@@ -64,6 +64,10 @@ def run(config: cf.Config, store, available_now: bool) -> int:
     connector = runtime.Connector(config.name, sink, store, config.identity(), retries=r.max_retries, retry_initial_ms=r.retry_initial_ms, retry_max_ms=r.retry_max_ms, heartbeat_ms=r.heartbeat_interval_ms)
     if r.heartbeat_interval_ms:
         connector.heartbeat_topic = heartbeat_route(config.sink.prefix or config.name, config.sink.heartbeat_prefix, config.sink.heartbeat_topic)
+    if config.snapshot.path and config.source.family == "postgresql":
+        from .streaming.incremental import IncrementalSnapshots
+
+        connector.incremental = IncrementalSnapshots(spark, config)
     try:
         stream = source_records(spark, config)
     except ValueError as e:
@@ -72,6 +76,8 @@ def run(config: cf.Config, store, available_now: bool) -> int:
     query = connector.start(stream, r.checkpoint_dir or f"{r.state_dir}/stream", available_now)
     try:
         query.awaitTermination()
+        while available_now and not query.exception() and connector.step():
+            pass
     except KeyboardInterrupt:
         connector.stop(query)
     return 1 if query.exception() else 0

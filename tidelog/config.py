@@ -55,6 +55,7 @@ class Snapshot:
     isolation: str = "repeatable_read"
     signal_collection: str = ""
     signal_path: str = ""
+    path: str = ""  # where the tables of incremental snapshots lie, by name
     read_only: bool = False
 
 
@@ -179,6 +180,10 @@ class Config:
         """Options that are set and that a run over a landed source does nothing with: an error there, unless it is told to go on."""
         plain = Config(self.name, Source(self.source.family))
         only_live = {"source": ["host", "port", "user", "password", "interval_mode", "hstore_mode", "money_digits", "unknown_types", "offset_strategy"], "snapshot": ["collections", "isolation", "signal_collection", "signal_path", "read_only"], "sink": ["delivery_timeout_ms"]}
+        if self.source.family == "postgresql" and self.snapshot.path:
+            only_live["snapshot"].remove("signal_path")
+        else:
+            only_live["snapshot"].append("path")
         if self.source.family != "mysql":
             only_live["source"] += ["origin_include", "origin_exclude"]
         out = [f"{section}.{name}" for section, names in only_live.items() for name in names if getattr(getattr(self, section), name) != getattr(getattr(plain, section), name)]

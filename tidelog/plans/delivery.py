@@ -98,7 +98,7 @@ def log_records(entries: DataFrame, config: Config) -> DataFrame:
     kind = F.col("kind")
     if config.snapshot.mode == "never":
         entries = entries.filter(~kind.isin("read", "snapshot_complete"))
-    codes = {"read": "r", "insert": "c", "update": "u", "delete": "d", "truncate": "t", "message": "m"}
+    codes = {"read": "r", "incremental": "r", "insert": "c", "update": "u", "delete": "d", "truncate": "t", "message": "m"}
     op = F.coalesce(*[F.when(kind == k, c) for k, c in codes.items()])
     commit = kind.isin("commit", "stream_commit", "commit_prepared") | ((kind == "message") & ~F.coalesce("transactional", F.lit(True)))
     boundary = F.when(kind == "snapshot_complete", SNAPSHOT_COMPLETE).when(commit, COMMIT).otherwise(DATA)
@@ -107,12 +107,12 @@ def log_records(entries: DataFrame, config: Config) -> DataFrame:
     chosen = F.when(kind == "message", F.lit(config.source.messages) & prefix_ok).otherwise(includes(name, config.source.include, config.source.exclude) & op.isNotNull())
     rows = committed(entries).withColumns({"op": op, "boundary": boundary, "chosen": F.coalesce(chosen, F.lit(False)), "name": name, "database": F.lit(config.source.database)})
     rows = rows.filter(F.col("chosen") | (F.col("boundary") != DATA))
-    snapshot = F.col("kind") == "read"
+    snapshot = F.coalesce(F.col("op") == "r", F.lit(False))
     serial = F.coalesce("serial", F.lit(1))
     position = ids.position_json("postgresql", lsn=F.col("lsn"), commit_lsn=F.col("commit_lsn"), txid=F.col("txid"), xmin=F.col("xmin"), serial=serial, snapshot=snapshot)
     observed = F.floor(F.col("ts_us") / 1000)
     source = ej.source_block(
-        "postgresql", "postgresql", config.name, F.col("database"), F.col("schema"), F.col("table"), observed, F.when(snapshot, "initial"), commit_lsn=F.col("commit_lsn"), lsn=F.col("lsn"), txid=F.col("txid"), xmin=F.coalesce("xmin", none("bigint"))
+        "postgresql", "postgresql", config.name, F.col("database"), F.col("schema"), F.col("table"), observed, F.when(F.col("kind") == "incremental", "incremental").when(snapshot, "initial"), commit_lsn=F.col("commit_lsn"), lsn=F.col("lsn"), txid=F.col("txid"), xmin=F.coalesce("xmin", none("bigint"))
     )
     prefix = config.sink.prefix or config.name
     is_message = F.col("op") == "m"

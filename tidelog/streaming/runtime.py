@@ -15,9 +15,9 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..model import COMMIT, DEFAULTS, SNAPSHOT_COMPLETE
 
+if TYPE_CHECKING:
+    from .incremental import IncrementalSnapshots
+
 STORAGE_VERSION = 2
 
 
@@ -37,7 +40,7 @@ class StateError(Exception):
 
 
 class Sink(Protocol):
-    def write(self, batch: DataFrame, batch_id: int) -> None: ...
+    def write(self, batch: DataFrame, batch_id: int | str) -> None: ...
 
 
 class FileSink:
@@ -200,6 +203,9 @@ class Connector:
     heartbeat_topic: str | None = None
     heartbeat_ms: int = 0
     last_heartbeat: float = 0.0
+    incremental: IncrementalSnapshots | None = None
+    lock: threading.RLock = field(default_factory=threading.RLock)
+    steps: int = 0
     status: Status = field(default_factory=Status)
     cancelled: threading.Event = field(default_factory=threading.Event)
 
@@ -212,6 +218,8 @@ class Connector:
             raise StateError("the configuration has changed since the checkpoint was written")
         self.status.to("streaming" if found and found.snapshot_completed else "streaming" if self._mode() == "never" else "snapshotting")
         self.generation = found.generation if found else str(uuid.uuid4())
+        if self.incremental and found:
+            self.incremental.restore(found.state)
         return found
 
     def _mode(self) -> str:
@@ -230,6 +238,24 @@ class Connector:
 
     def deliver(self, batch: DataFrame, batch_id: int) -> None:
         """The body of ``foreachBatch``."""
+        with self.lock:
+            self._deliver(batch, batch_id)
+
+    def step(self) -> bool:
+        """Without a batch: delivers the open chunk of an incremental snapshot and opens the next; whether there is more to do."""
+        with self.lock:
+            last = self.store.load(self.name)
+            if self.incremental is None or last is None or last.position is None:
+                return False
+            self.incremental.open()
+            rows = self.incremental.close(None, int(last.position.get("lsn") or 0))
+            if rows is not None:
+                self.steps += 1
+                self.status.retries += write_with_retry(self.sink, rows, f"{last.batch_id}-{self.generation[:8]}-{time.time_ns()}", self.cancelled, self.retries, self.retry_initial_ms, self.retry_max_ms)
+            self.store.save(replace(last, state=self.incremental.store(), updated_at=time.time()))
+            return self.incremental.state.active is not None and not self.incremental.state.is_paused
+
+    def _deliver(self, batch: DataFrame, batch_id: int) -> None:
         last = self.store.load(self.name)
         if last and batch_id <= last.batch_id and last.generation == self.generation:
             return  # delivered and stored before a crash
@@ -243,6 +269,9 @@ class Connector:
             if last and last.position and position and list(position.values()) < list(last.position.values()):
                 raise StateError(f"the position went back: {last.position} to {position}")
             out = batch.filter(F.col("topic").isNotNull()).drop("boundary", "pos", "source_us")
+            if self.incremental:
+                survivors = self.incremental.close(out, int((position or {}).get("lsn") or 0))
+                out = out if survivors is None else out.unionByName(survivors)
             out = self.with_heartbeat(out) if facts["end"] else out  # only behind whole transactions
             try:
                 self.status.retries += write_with_retry(self.sink, out, batch_id, self.cancelled, self.retries, self.retry_initial_ms, self.retry_max_ms)
@@ -252,12 +281,16 @@ class Connector:
                 raise
             completed = bool(facts["done"]) or bool(last and last.snapshot_completed)
             plain = None if position is None else {k: int(v) if not isinstance(v, (str, int, type(None))) else v for k, v in position.items()}
-            self.store.save(Checkpoint(self.name, self.generation, plain, completed, fingerprint(self.config), batch_id, time.time()))
+            if self.incremental:
+                self.incremental.poll()
+            self.store.save(Checkpoint(self.name, self.generation, plain, completed, fingerprint(self.config), batch_id, time.time(), self.incremental.store() if self.incremental else None))
             self.status.delivered += facts["n"]
             self.status.last_source_us = facts["us"]
             if facts["done"]:
                 self.status.to("streaming")
             self.acknowledge(plain, batch_id)
+            if self.incremental:
+                self.incremental.open()  # its window is the time until the next batch
         finally:
             batch.unpersist()
 
@@ -265,7 +298,14 @@ class Connector:
         self.open()
         writer = records.writeStream.foreachBatch(self.deliver).option("checkpointLocation", checkpoint_dir).queryName(self.name)
         trigger = {"availableNow": True} if available_now else {"processingTime": f"{self.config.get('flush_interval_ms', DEFAULTS['flush_interval_ms'])} milliseconds"}
-        return writer.trigger(**trigger).start()
+        query = writer.trigger(**trigger).start()
+        if self.incremental and not available_now:
+            threading.Thread(target=self._idle, daemon=True).start()
+        return query
+
+    def _idle(self, interval_s: float = 1.0) -> None:
+        while not self.cancelled.wait(interval_s):
+            self.step()
 
     def stop(self, query: StreamingQuery) -> None:
         self.status.to("stopping")

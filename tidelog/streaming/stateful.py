@@ -114,7 +114,7 @@ def committed(entries: DataFrame, tx: str = "txid", order: str = "lsn") -> DataF
     stream they wait in state, keyed by transaction, until an entry of ``ENDS`` releases or drops them (state lives
     as long as the transaction); a batch joins with the transactions that ended in it. Snapshot rows belong to none.
     """
-    inside = F.col(tx).isNotNull() & ~F.col("kind").isin("read", "snapshot_complete")
+    inside = F.col(tx).isNotNull() & ~F.col("kind").isin("read", "incremental", "snapshot_complete")
     free, bound = entries.filter(~F.coalesce(inside, F.lit(False))), entries.filter(inside)
     good, bad = [k for k, ok in ENDS.items() if ok], [k for k, ok in ENDS.items() if not ok]
     if not entries.isStreaming:
