@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 
 from . import config as cf
@@ -55,8 +56,11 @@ def run(config: cf.Config, store, available_now: bool) -> int:
     from .encode.json import heartbeat_route
     from pyspark.sql import SparkSession
 
+    from pyspark.errors import StreamingQueryException
+
     from .plans.delivery import source_records
-    from .streaming import runtime
+    from .streaming import runtime, server
+    from .streaming.signal_queue import SignalQueue
 
     sink = {"stdout": lambda: runtime.StdoutSink(), "files": lambda: runtime.FileSink(config.sink.path), "kafka": lambda: runtime.KafkaSink(config.sink.servers, **config.sink.options)}[config.sink.kind]()
     spark = SparkSession.builder.appName(config.name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -64,20 +68,31 @@ def run(config: cf.Config, store, available_now: bool) -> int:
     connector = runtime.Connector(config.name, sink, store, config.identity(), retries=r.max_retries, retry_initial_ms=r.retry_initial_ms, retry_max_ms=r.retry_max_ms, heartbeat_ms=r.heartbeat_interval_ms)
     if r.heartbeat_interval_ms:
         connector.heartbeat_topic = heartbeat_route(config.sink.prefix or config.name, config.sink.heartbeat_prefix, config.sink.heartbeat_topic)
+    signals = SignalQueue()
     if config.snapshot.path and config.source.family == "postgresql":
         from .streaming.incremental import IncrementalSnapshots
 
-        connector.incremental = IncrementalSnapshots(spark, config)
-    try:
-        stream = source_records(spark, config)
-    except ValueError as e:
-        print(f"error: {e}", file=sys.stderr)
-        return 2
-    query = connector.start(stream, r.checkpoint_dir or f"{r.state_dir}/stream", available_now)
-    try:
-        query.awaitTermination()
-        while available_now and not query.exception() and connector.step():
-            pass
-    except KeyboardInterrupt:
-        connector.stop(query)
-    return 1 if query.exception() else 0
+        connector.incremental = IncrementalSnapshots(spark, config, signals)
+    beside = []
+    if r.management_port:
+        beside.append(server.management(connector, lambda: connector.query and connector.stop(connector.query), signals if connector.incremental else None, r.management_changes, port=r.management_port))
+    if r.listen_port:
+        beside.append(server.listener(config.source.path, r.listen_token, port=r.listen_port))
+    # a landing folder that cannot be reached for a while is no reason to end
+    transient = lambda e: any(word in str(e) for word in ("Connection refused", "timed out", "java.net.", "java.io.IOException"))
+    with contextlib.ExitStack() as stack:
+        for s in beside:
+            stack.enter_context(s)
+        try:
+            connector.run(lambda: source_records(spark, config), r.checkpoint_dir or f"{r.state_dir}/stream", available_now, transient)
+            while available_now and connector.step():
+                pass
+        except KeyboardInterrupt:
+            connector.stop(connector.query)
+        except ValueError as e:
+            print(f"error: {e}", file=sys.stderr)
+            return 2
+        except StreamingQueryException as e:
+            print(f"error: {e}", file=sys.stderr)
+            return 1
+    return 0

@@ -123,6 +123,10 @@ class Runtime:
     max_retries: int = DEFAULTS["max_retries"]
     retry_initial_ms: int = DEFAULTS["retry_initial_ms"]
     retry_max_ms: int = DEFAULTS["retry_max_ms"]
+    management_port: int = 0  # 0: no management interface
+    management_changes: bool = False
+    listen_port: int = 0  # bridge: 0: no listener
+    listen_token: str = ""
 
 
 @dataclass
@@ -189,6 +193,8 @@ class Config:
         out = [f"{section}.{name}" for section, names in only_live.items() for name in names if getattr(getattr(self, section), name) != getattr(getattr(plain, section), name)]
         if self.source.family == "bridge" and (self.source.messages or self.source.message_include or self.source.message_exclude):
             out.append("source.messages")
+        if self.source.family != "bridge" and self.runtime.listen_port:
+            out.append("runtime.listen_port")
         if self.format.kind == "native" and not self.format.tombstones:
             out.append("format.tombstones")  # this format has none
         return out

@@ -20,6 +20,7 @@ from ..operators.signals import SnapshotState
 from ..operators.snapshot import maximum_key, next_chunk
 from ..plans.delivery import log_records
 from ..sources.tables import read_table, table_entries
+from .signal_queue import SignalQueue
 
 #: Signals that are read from the signal folder at once.
 MAX_SIGNALS = 10_000
@@ -28,8 +29,8 @@ MAX_SIGNALS = 10_000
 class IncrementalSnapshots:
     """The snapshots of one connector; tables lie under ``snapshot.path`` by name, signals under ``snapshot.signal_path``."""
 
-    def __init__(self, spark: SparkSession, config: Config):
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, config: Config, queue: SignalQueue | None = None):
+        self.spark, self.config, self.queue = spark, config, queue
         self.keys = {t.name: [c.name for c in t.columns if c.key] for t in config.tables}
         self.state = SnapshotState(sorted(self.keys))
         self.handled: set[str] = set()
@@ -42,6 +43,11 @@ class IncrementalSnapshots:
     def store(self) -> dict:
         return {"snapshot": asdict(self.state) | {"completed": list(self.state.completed)}, "handled": sorted(self.handled), "maximum": self.maximum}
 
+    def stored(self) -> None:
+        """After the checkpoint: those who wait for a signal's effect go on."""
+        if self.queue:
+            self.queue.acknowledge()
+
     def restore(self, stored: dict | None) -> None:
         if stored:
             s = stored["snapshot"]
@@ -51,7 +57,9 @@ class IncrementalSnapshots:
     # signals
 
     def poll(self) -> None:
-        """Handles signals that have come, in the order of their files' names; unreadable lines are dropped."""
+        """Handles signals that have come: those of the queue, then those of the folder in the order of their files' names; unreadable lines are dropped."""
+        for p in self.queue.take() if self.queue else ():
+            self._handle(p.id, p.type, p.data)
         if not self.config.snapshot.signal_path:
             return
         lines = self.spark.read.text(self.config.snapshot.signal_path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"), F.from_json("value", "id string, type string, data string").alias("s"))
@@ -59,10 +67,13 @@ class IncrementalSnapshots:
         for r in fresh:
             if r["at"] not in self.handled:
                 self.handled.add(r["at"])
-                try:
-                    self.answers.append((r["s"]["id"], self.state.handle(r["s"]["id"], r["s"]["type"], r["s"]["data"] or "{}")))
-                except ValueError as e:
-                    self.answers.append((r["s"]["id"], f"refused: {e}"))
+                self._handle(r["s"]["id"], r["s"]["type"], r["s"]["data"] or "{}")
+
+    def _handle(self, signal_id: str, kind: str, data: str) -> None:
+        try:
+            self.answers.append((signal_id, self.state.handle(signal_id, kind, data)))
+        except ValueError as e:
+            self.answers.append((signal_id, f"refused: {e}"))
 
     # chunks
 

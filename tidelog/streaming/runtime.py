@@ -14,6 +14,7 @@ import os
 import threading
 import time
 import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
@@ -168,6 +169,8 @@ class Status:
     retries: int = 0
     last_source_us: int | None = None
     queued: int = 0
+    restarts: int = 0
+    late_acknowledgements: int = 0
 
     def to(self, state: str) -> None:
         if state != self.state:
@@ -180,7 +183,7 @@ class Status:
 
     def metrics(self, connector: str) -> str:
         """In the text format of metric scrapers."""
-        values = {"delivered_total": self.delivered, "failed_total": self.failed, "retries_total": self.retries, "queue_depth": self.queued, "source_lag_ms": self.lag_ms(), "up": int(self.state in ("snapshotting", "streaming"))}
+        values = {"delivered_total": self.delivered, "failed_total": self.failed, "retries_total": self.retries, "queue_depth": self.queued, "restarts_total": self.restarts, "source_lag_ms": self.lag_ms(), "up": int(self.state in ("snapshotting", "streaming"))}
         return "".join(f'tidelog_{k}{{connector="{connector}"}} {v}\n' for k, v in values.items() if v is not None)
 
 
@@ -197,6 +200,9 @@ class Connector:
     store: CheckpointStore
     config: dict = field(default_factory=dict)
     acknowledge: Callable[[dict | None, int], None] = lambda position, batch_id: None
+    acknowledge_mode: str = "connector"  # or manual
+    acknowledge_timeout_s: float | None = None
+    acknowledge_late: str = "fail"  # or warn, ignore
     retries: int = DEFAULTS["max_retries"]
     retry_initial_ms: int = DEFAULTS["retry_initial_ms"]
     retry_max_ms: int = DEFAULTS["retry_max_ms"]
@@ -206,6 +212,7 @@ class Connector:
     incremental: IncrementalSnapshots | None = None
     lock: threading.RLock = field(default_factory=threading.RLock)
     steps: int = 0
+    query: StreamingQuery | None = None
     status: Status = field(default_factory=Status)
     cancelled: threading.Event = field(default_factory=threading.Event)
 
@@ -253,6 +260,7 @@ class Connector:
                 self.steps += 1
                 self.status.retries += write_with_retry(self.sink, rows, f"{last.batch_id}-{self.generation[:8]}-{time.time_ns()}", self.cancelled, self.retries, self.retry_initial_ms, self.retry_max_ms)
             self.store.save(replace(last, state=self.incremental.store(), updated_at=time.time()))
+            self.incremental.stored()
             return self.incremental.state.active is not None and not self.incremental.state.is_paused
 
     def _deliver(self, batch: DataFrame, batch_id: int) -> None:
@@ -288,12 +296,55 @@ class Connector:
             self.status.last_source_us = facts["us"]
             if facts["done"]:
                 self.status.to("streaming")
-            self.acknowledge(plain, batch_id)
+            self._acknowledge(plain, batch_id)
             if self.incremental:
+                self.incremental.stored()
                 self.incremental.open()  # its window is the time until the next batch
         finally:
             batch.unpersist()
 
+    def _acknowledge(self, position: dict | None, batch_id: int) -> None:
+        """Tells the source what is stored: by itself (``connector``) or not at all (``manual``); a source that does not answer in time is an error, a warning or nothing."""
+        if self.acknowledge_mode == "manual":
+            return
+        done, failed = threading.Event(), []
+
+        def tell() -> None:
+            try:
+                self.acknowledge(position, batch_id)
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+            done.set()
+
+        threading.Thread(target=tell, daemon=True).start()
+        in_time = done.wait(self.acknowledge_timeout_s)
+        if failed:
+            raise failed[0]
+        if not in_time:
+            self.status.late_acknowledgements += 1
+            if self.acknowledge_late == "fail":
+                raise TimeoutError("the source did not take the acknowledgement in time")
+            if self.acknowledge_late == "warn":
+                warnings.warn(f"{self.name}: the source did not take the acknowledgement in time", stacklevel=2)
+
+    def run(self, build: Callable[[], DataFrame], checkpoint_dir: str, available_now: bool = False, transient: Callable[[Exception], bool] = lambda e: False) -> None:
+        """Runs until the stream ends or is stopped. A transient failure of the source starts it again from its checkpoint, after growing delays; a batch that was delivered in between begins the count anew."""
+        delays, delivered = retry_delays(self.retries, self.retry_initial_ms, self.retry_max_ms), -1
+        while True:
+            try:
+                self.query = self.start(build(), checkpoint_dir, available_now)
+                self.query.awaitTermination()
+                return
+            except Exception as e:
+                if self.status.state != "failed":
+                    self.status.to("failed")
+                if self.status.delivered != delivered:
+                    delays, delivered = retry_delays(self.retries, self.retry_initial_ms, self.retry_max_ms), self.status.delivered
+                delay = next(delays, None) if transient(e) else None
+                if delay is None or self.cancelled.wait(delay / 1000):
+                    raise
+                self.status.restarts += 1
+
     def start(self, records: DataFrame, checkpoint_dir: str, available_now: bool = False) -> StreamingQuery:
         self.open()
         writer = records.writeStream.foreachBatch(self.deliver).option("checkpointLocation", checkpoint_dir).queryName(self.name)
