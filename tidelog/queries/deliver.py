@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,32 @@ from ..config import Column, Config, Format, Sink, Source, TableColumn, TableSch
 from ..encode import avro
 from ..plans import images
 from ..plans.delivery import log_records
-from ..sources.tables import LOG_ENTRY
+from ..model import VERSION
+from ..plans.changelog import read
+from ..sources.tables import LOG_ENTRY, table_entries
 from .encode import _R, rendered
 from .registry import LOG, query
 
+_READ = """'{{"version":"{v}","connector":"postgresql","name":"shop","ts_ms":null,"snapshot":"true","db":"app","schema":"public","table":"{t}","sequence":"[\\"5\\",\\"5\\"]","txId":null,"lsn":5,"xmin":null}}'"""
+
+
+def _read_sql(name: str, table: str, key: str, image: str) -> str:
+    source = _READ.format(v=VERSION, t=name)
+    return f"""SELECT 'shop.app.public.{name}' AS topic, {key} AS "key", '{{"before":null,"after":' || {image} || ',"source":' || {source} || ',"op":"r","ts_ms":null,"transaction":null}}' AS value FROM {table}"""
+
+
+@query(" UNION ALL ".join([
+    _read_sql("customer", "customer", """'{"c_custkey":' || c_custkey || '}'""", """'{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}'"""),
+    _read_sql("lines", "lineitem", """'{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || '}'""", """'{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}'"""),
+    _read_sql("regions", "region", "NULL", """'{"r_name":"' || r_name || '"}'"""),
+]))
+def q_deliver_snapshot(spark, d):
+    """Row images of tables with a single, a composite and no key, as snapshot records."""
+    tables = [("customer", "customer", ["c_custkey", "c_name", "c_nationkey"], 1), ("lines", "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag"], 2), ("regions", "region", ["r_name"], 0)]
+    entries = reduce(DataFrame.unionByName, [table_entries(read(spark, d, t).select(*columns), name, "public", columns[:n_key], 5) for name, t, columns, n_key in tables])
+    return log_records(entries, config()).select("topic", "key", "value")
+
+
 _COLUMNS = [TableColumn("k", "bigint", False, True), TableColumn("v", "numeric(18,2)"), TableColumn("event_type", "varchar(20)")]
 
 
