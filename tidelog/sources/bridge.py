@@ -25,16 +25,22 @@ PAYLOAD = (
 def unwrap(doc: Column, layers: int = 4) -> Column:
     """Takes off ``data`` (next to ``specversion``), ``payload`` (next to ``schema``), and string layers.
 
-    Each layer is bound by a lambda, or the expression would double with every layer.
+    Each layer is bound by a lambda, or the expression would double with every layer. A layer
+    that finds no wrapper ends the unwrapping, so a bare document is parsed for one only once.
     """
 
-    def layer(d: Column) -> Column:
-        wrap = F.from_json(F.when(d.startswith('"'), F.concat(F.lit('{"text":'), d, F.lit("}"))).otherwise(d), "text string, specversion string, data string, `schema` string, payload string")
-        return F.transform(F.array(wrap), lambda w: F.when(w["text"].isNotNull() & d.startswith('"'), w["text"]).when(w["specversion"].isNotNull() & w["data"].isNotNull(), w["data"]).when(w["schema"].isNotNull() & w["payload"].isNotNull(), w["payload"]).otherwise(d))[0]
+    def layer(state: Column) -> Column:
+        d = state["doc"]
+        quoted = d.startswith('"')
+        wrap = F.from_json(F.when(quoted, F.concat(F.lit('{"text":'), d, F.lit("}"))).otherwise(d), "text string, specversion string, data string, `schema` string, payload string")
+        inner = lambda w: F.when(quoted & w["text"].isNotNull(), w["text"]).when(w["specversion"].isNotNull() & w["data"].isNotNull(), w["data"]).when(w["schema"].isNotNull() & w["payload"].isNotNull(), w["payload"])
+        found = F.transform(F.array(wrap), lambda w: inner(w))[0]
+        return F.when(state["wrapped"], F.transform(F.array(found), lambda x: F.struct(F.coalesce(x, d).alias("doc"), x.isNotNull().alias("wrapped")))[0]).otherwise(state)
 
+    state = F.struct(doc.alias("doc"), F.lit(True).alias("wrapped"))
     for _ in range(layers):
-        doc = F.transform(F.array(doc), layer)[0]
-    return doc
+        state = F.transform(F.array(state), layer)[0]
+    return state["doc"]
 
 
 def document_id(doc: Column, header: Column | None = None) -> Column:
