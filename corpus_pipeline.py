@@ -24,13 +24,21 @@ COPIED_LINES = 3
 NEAR_SHINGLE, NEAR_PCT = 5, 80
 
 
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named like an operator's own under other names, and what to call them again."""
+    back = {f"__tl_own_{c}": c for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed({c: own for own, c in back.items()}), back
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those in which no language prevails.
 
     Null and empty texts have no letter and go; repeated rows are judged alike; a null id is allowed.
     """
-    labelled = langid.identify(docs, langid.train(docs))
-    return labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANG_SHARE)).select(docs.columns)
+    moved, back = aside(docs, ["lang_pred", "score", "span_ends", "span_langs"])
+    labelled = langid.identify(moved, langid.train(docs))
+    kept = labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANG_SHARE)).select(moved.columns)
+    return kept.withColumnsRenamed(back)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +50,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Boilerplate comes from many documents and in few lines, so a document that holds it stays.
     A null or empty text has nothing to lose and stays; rows of one id are one document.
     """
-    marked = docs.withColumn("__tl_before", F.char_length("text"))
+    moved, back = aside(docs, ["n_lines", "n_dropped", "n_from_one"])
+    marked = moved.withColumn("__tl_before", F.char_length("text"))
     cleaned = line_dedup(marked, from_one=True).filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     remnant = (F.col("n_from_one") >= COPIED_LINES) & (2 * F.char_length("text") <= F.col("__tl_before"))
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return cleaned.filter(~F.coalesce(remnant, F.lit(False))).withColumn("n_chars", n_chars).select(docs.columns)
+    return cleaned.filter(~F.coalesce(remnant, F.lit(False))).withColumn("n_chars", n_chars).select(moved.columns).withColumnsRenamed(back)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
