@@ -11,8 +11,13 @@ document with the smallest id that links reach.
 2. *Copies.* Equal sets are one class from here on, found by a hash of the set.
 3. *Candidates.* The hash space is cut into ``SLICES``. Linked sets have a slice where
    the parts reach the same similarity, so it is enough to join the parts of each slice
-   by their rarest shingles (prefix filter, exact frequencies), and equal parts count
-   once. The spanning edges that are found make clusters.
+   by their first shingles in a common order (prefix filter); equal parts are merged
+   before they are shipped, and again where they meet. The order puts shingles that many
+   chunks hold last, as the owners of step 1 count them. A part that has such a shingle
+   among its first ones all the same is made of little else: it is a copy in a large
+   family, and is tied to the shingle itself, by a native aggregate, instead of being
+   shipped to a task with the family. (More ties make larger clusters, never wrong ones.)
+   Ties and the spanning edges that the joins find make clusters.
 4. *Prefix-tree join.* The sets of a cluster, in global order (frequent shingles first),
    form a trie. Probing sets walk it level by level, add up the overlap of shared
    stretches once, and leave a subtree when the shingles left on either side can no
@@ -21,6 +26,7 @@ document with the smallest id that links reach.
 
 Nothing is paired within a group: a group of copies is one class, and a group of near
 copies costs one probe that connects it, and one more for each member left outside.
+Posting lists are kept by component, so a probe passes over all that it is connected with at once.
 
 Defined cases. A null or empty text, or one without words, has no shingle and is its own
 component. Repeated rows give a row each. A null id sorts after all others and comes
@@ -50,8 +56,12 @@ SLICES = 16
 SLICE_GROUP = 4_000_000
 #: Shingles of a cluster, or of a block of one, that a task joins.
 CLUSTER = 4_000_000
-#: Ids that may be broadcast (16 bytes each).
-BROADCAST_IDS = 2_000_000
+#: A shingle that at least this many chunks hold, and one in ``HEAVY_SHARE`` of all, is heavy; so many heavy ones are ordered by count at most.
+HEAVY, HEAVY_SHARE, HEAVY_MOST = 16, 64, 1_000_000
+#: Bytes of keys that may be broadcast, at ``KEY_BYTES`` a column.
+BROADCAST_BYTES, KEY_BYTES = 64 << 20, 16
+#: Nodes of a graph with more neighbours than this, and than one in as many of all edges, are joined by broadcast.
+HUB = 10_000
 ADDED = ["n_shingles", "component_id"]
 
 
@@ -68,8 +78,15 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 # 1. shared shingles
 
 
+def few(df: DataFrame) -> bool:
+    """Whether a table of keys may be broadcast."""
+    most = BROADCAST_BYTES // (KEY_BYTES * (1 + len(df.columns)))
+    return df.limit(most + 1).count() <= most
+
+
 def _pack(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
     """Rows (key, chunk, tokens, idx): the shingles of a chunk in a hash range; with key -1, the chunk's documents."""
+    most = min(max(CHUNK, 16 * n_ranges), 8 * CHUNK)  # pieces for owners should not get too small
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -108,7 +125,7 @@ def _pack(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
                 for i, row, s in zip(part["__tl_id"], part["__tl_row"], shingle_sets(list(part["__tl_text"]), k), strict=True):
                     held.append((i, s, signature(s), row))
                     size += len(s)
-                    if size >= CHUNK or len(held) >= 0xFFFF:
+                    if size >= most or len(held) >= 0xFFFF:
                         yield ship()
         if held:
             yield ship()
@@ -117,7 +134,10 @@ def _pack(docs: DataFrame, k: int, n_ranges: int) -> DataFrame:
 
 
 def _own(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Which documents of which chunks hold shingles of this range that others hold too: per chunk, packed (idx, count)."""
+    """Which documents of which chunks hold shingles of this range that others hold too: per chunk, packed (idx, count).
+
+    With chunk -1: heavy shingles, and how many chunks hold them; a chunk ships a shingle once.
+    """
     if key[0] < 0:
         return rows[["chunk", "tokens", "idx"]]
     tokens = [np.frombuffer(t, np.uint32) for t in rows["tokens"]]
@@ -135,6 +155,9 @@ def _own(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     where, n = np.unique(where, return_counts=True)
     cuts = np.searchsorted(where >> 16, np.arange(len(rows) + 1))
     out = [(c, n[a:b].astype(np.uint32).tobytes(), (where[a:b] & 0xFFFF).astype(np.uint16).tobytes()) for c, a, b in zip(rows["chunk"], cuts[:-1], cuts[1:], strict=True) if a < b]
+    heavy = count >= max(HEAVY, len(rows) // HEAVY_SHARE)
+    if heavy.any():
+        out.append((-1, (np.uint64(key[0]) << np.uint64(32) | same[new][heavy].astype(np.uint64)).tobytes(), count[heavy].astype(np.uint32).tobytes()))
     return pd.DataFrame(out, columns=["chunk", "tokens", "idx"])
 
 
@@ -157,7 +180,9 @@ def _settle(pct: int):
 
 def _slice_edges(pct: int):
     def edges(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Spanning edges of the graph of parts with Jaccard similarity of ``pct`` % or more."""
+        """Spanning edges of the graph of parts with Jaccard similarity of ``pct`` % or more; slice -1 has ties that are known."""
+        if key[0] < 0:
+            return pd.DataFrame(np.frombuffer(b"".join(rows["tokens"]), np.int64).reshape(-1, 2), columns=["a", "b"])
         first: dict[bytes, int] = {}
         found: list[tuple[int, int]] = []
         for node, tokens in sorted(zip(rows["node"], rows["tokens"], strict=True)):
@@ -179,42 +204,132 @@ def _slice_edges(pct: int):
                 x = root[x]
             return x
 
-        posting: dict[int, list[int]] = {}
+        posting: dict[int, dict[int, list[int]]] = {}  # by shingle and component
         for i in np.argsort(lens, kind="stable").tolist():
             own, n, seen = set(parts[i].tolist()), int(lens[i]), set()
             order = parts[i][np.argsort(rank[parts[i]])]
             for t in order[: n - -(-pct * n // 100) + 1].tolist():
                 if df[t] < 2:
                     continue
-                listed = posting.setdefault(t, [])
-                for j in listed:
-                    if j in seen or find(j) == find(i):
+                listed = posting.setdefault(t, {})
+                for c in [c for c in listed if find(c) != c]:  # the component has grown: one list of the two
+                    short, long = sorted((listed.pop(c), listed.get(find(c), [])), key=len)
+                    long.extend(short)
+                    listed[find(c)] = long
+                for c, members in listed.items():
+                    if find(c) == find(i):
                         continue
-                    seen.add(j)
-                    m = int(lens[j])
-                    if 100 * m < pct * n:
-                        continue
-                    both = sum(map(own.__contains__, parts[j].tolist()))
-                    if 100 * both >= pct * (n + m - both):
-                        root[find(j)] = find(i)
-                        found.append((nodes[i], nodes[j]))
-                listed.append(i)
+                    for j in members:
+                        if j in seen:
+                            continue
+                        seen.add(j)
+                        m = int(lens[j])
+                        if 100 * m < pct * n:
+                            continue
+                        both = sum(map(own.__contains__, parts[j].tolist()))
+                        if 100 * both >= pct * (n + m - both):
+                            root[find(j)] = find(i)
+                            found.append((nodes[i], nodes[j]))
+                            break  # connected with all of them
+                listed.setdefault(find(i), []).append(i)
         return pd.DataFrame(found, columns=["a", "b"])
 
     return edges
 
 
+class Ties:
+    """Ties between nodes seen by one task, kept as a forest."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.root.setdefault(x, x)
+        while up != x:
+            self.root[x] = self.root[up]
+            x, up = up, self.root[up]
+        return x
+
+    def tie(self, a: int, b: int) -> None:
+        self.root[self.find(a)] = self.find(b)
+
+    def rows(self, buckets: int) -> list[tuple]:
+        """(-1, bucket, None, packed edges): a tie from each node to the root of its tree."""
+        pairs = np.array([(x, self.find(x)) for x in list(self.root)], np.int64).reshape(-1, 2)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        of = np.mod(pairs[:, 0], buckets)
+        self.root = {}
+        return [(-1, int(b), None, pairs[of == b].tobytes()) for b in np.unique(of)]
+
+
+class Heavy:
+    """Heavy shingles by code (range and truncated hash), and how many chunks hold them."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, n_ranges: int):
+        order = np.argsort(codes)
+        self.codes, self.counts, self.n_ranges = codes[order], counts[order], n_ranges
+
+    def code(self, s: np.ndarray) -> np.ndarray:
+        n, low = np.uint64(self.n_ranges), np.uint64(32)
+        of = ((s >> low) * n) >> low
+        small = ((s * n) >> low) & np.uint64(0xFFFFFFFF) if self.n_ranges > 1 else s >> low
+        return of << low | small
+
+    def weights(self, s: np.ndarray) -> np.ndarray:
+        """0 for a shingle that is not heavy, else its count."""
+        if not len(self.codes):
+            return np.zeros(len(s), np.int64)
+        codes = self.code(s)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.counts[at], 0)
+
+
+def _heavy(shared: DataFrame, n_ranges: int) -> Heavy:
+    """The heavy shingles, ``HEAVY_MOST`` at most: those with the smallest counts are left out, by whole classes of counts.
+
+    They only order the shingles, so that any choice gives the same result.
+    """
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t, i in zip(batch["tokens"], batch["idx"], strict=True):
+                yield pd.DataFrame({"code": np.frombuffer(t, np.int64), "n": np.frombuffer(i, np.uint32).astype(np.int64)})
+
+    rows = shared.filter("chunk = -1").mapInPandas(unpack, "code bigint, n bigint").withColumn("c", F.floor(F.log2("n") * 8))
+    least, total = None, 0
+    for r in rows.groupBy("c").count().orderBy(F.col("c").desc()).collect():  # a few hundred classes
+        total += r["count"]
+        if total > HEAVY_MOST:
+            break
+        least = r["c"]
+    if least is None:
+        return Heavy(np.zeros(0, np.uint64), np.zeros(0, np.int64), n_ranges)
+    found = rows.filter(F.col("c") >= least).select("code", "n").toPandas()
+    return Heavy(found["code"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), n_ranges)
+
+
+def _with_least(pairs: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """``pairs`` and ``m``, the least ``other`` of their ``key``.
+
+    A hub's pairs would meet in one task. Hubs have more than one in ``HUB`` of all pairs, so there are ``HUB`` at
+    most, and they are joined by broadcast.
+    """
+    low = pairs.groupBy(key).agg(F.min(other).alias("m"), F.count("*").alias("_n"))
+    is_hub = F.col("_n") > max(HUB, total // HUB)
+    hubs, rest = low.filter(is_hub).drop("_n"), low.filter(~is_hub).drop("_n")
+    cold = pairs.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest, key)
+    return cold.unionByName(pairs.join(F.broadcast(hubs), key))
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, cluster): the smallest node that each node reaches, by alternating large-star and small-star steps."""
     now = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct(), "edges")
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        both, total = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * now.count()
         # every neighbour above a node is linked to the least node next to it
-        large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = _with_least(both, "a", "b", total).withColumn("m", F.least("a", "m")).filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         # every node and its lower neighbours are linked to the least of these
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        small = _with_least(large, "b", "a", total).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         after = materialize(small, "edges")
         done = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() == 0 and after.groupBy("b").count().filter("count > 1").limit(1).count() == 0
         if done:
@@ -341,7 +456,8 @@ def _large_clusters(members: DataFrame, large: DataFrame, joined) -> DataFrame:
     copies of one text that already connects everything. What lies outside the largest
     component then, and only that, is held against every block.
     """
-    cuts = F.broadcast(large.select("cluster", "blocks", "pivot")) if large.limit(10_001).count() <= 10_000 else large.select("cluster", "blocks", "pivot")
+    cuts = large.select("cluster", "blocks", "pivot")
+    cuts = F.broadcast(cuts) if few(cuts) else cuts
     placed = members.join(cuts, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     own = placed.select("__tl_id", "node", "cluster", "n", "block")
     pivots = large.select("pivot.*", "cluster", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
@@ -412,24 +528,28 @@ def row_membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = docs.select(*[c.alias(n) for n, c in row_key(id_col, text_col).items()], text_or_empty(text_col).alias("__tl_text"))
     size = texts.agg(F.sum(F.octet_length("__tl_text"))).first()[0] or 0
-    n_ranges = max(1, min(CHUNK // 16, round(size / 6 / RANGE)))
+    n_ranges = max(1, min(CHUNK // 2, round(size / 6 / RANGE)))  # a million at most: beyond 24 TB an owner holds more than RANGE
     shared = _pack(texts, k, n_ranges).withColumn("__tl_spread", F.when(F.col("key") < 0, F.col("chunk")).otherwise(F.col("key")))
-    shared = shared.groupBy("key", "__tl_spread").applyInPandas(lambda key, rows: _own(key, rows), "chunk bigint, tokens binary, idx binary")
-    known = materialize(shared.groupBy("chunk").applyInPandas(_settle(pct), "__tl_id bigint, __tl_row bigint, n bigint, s1 bigint, s2 bigint, open boolean"), "sets")
+    shared = materialize(shared.groupBy("key", "__tl_spread").applyInPandas(lambda key, rows: _own(key, rows), "chunk bigint, tokens binary, idx binary"), "shared")
+    known = materialize(shared.filter("chunk >= 0").groupBy("chunk").applyInPandas(_settle(pct), "__tl_id bigint, __tl_row bigint, n bigint, s1 bigint, s2 bigint, open boolean"), "sets")
 
     classes = known.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("__tl_id", "__tl_row")).alias("key"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("open").alias("open")).withColumn("first", F.col("key.__tl_id"))
     nodes = materialize(classes.filter("open").select("s1", "first", "n", "key"), "nodes")
 
     def picked(ids: DataFrame) -> DataFrame:
         """The texts of the documents in ``ids`` (__tl_id, ...), which are broadcast if they are few enough."""
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        return texts.drop("__tl_row").join(F.broadcast(ids) if few else ids, "__tl_id")
+        return texts.drop("__tl_row").join(F.broadcast(ids) if few(ids) else ids, "__tl_id")
 
     total = known.filter("open").agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // (SLICES * SLICE_GROUP)))
     bits = SLICES.bit_length() - 1
 
+    heavy = docs.sparkSession.sparkContext.broadcast(_heavy(shared, n_ranges))
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ties, first, size = Ties(), {}, 0
+        columns = ["slice", "part", "node", "tokens"]
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part, out = batch.iloc[at : at + 256], []
@@ -437,12 +557,32 @@ def row_membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if signature(s)[0] != node:
                         continue
                     cuts = np.searchsorted(s >> np.uint64(64 - bits), np.arange(SLICES + 1, dtype=np.uint64))
+                    weights = heavy.value.weights(s)
                     for i in range(SLICES):
-                        own = s[cuts[i] : cuts[i + 1]]
-                        if len(own):
-                            low = np.sort(mix(own + np.uint64(i)))[: len(own) - -(-pct * len(own) // 100) + 1] if groups > 1 else own[:1]
-                            out += [(i, int(g), node, own.tobytes()) for g in np.unique(low % np.uint64(groups))]
-                yield pd.DataFrame(out, columns=["slice", "part", "node", "tokens"])
+                        own, weight = s[cuts[i] : cuts[i + 1]], weights[cuts[i] : cuts[i + 1]]
+                        if not len(own):
+                            continue
+                        tokens = own.tobytes()
+                        known_at = first.setdefault((i, tokens), node)
+                        if known_at != node:  # an equal part has been shipped
+                            ties.tie(node, known_at)
+                            continue
+                        size += len(tokens)
+                        n_first = len(own) - -(-pct * len(own) // 100) + 1
+                        if weight.any():
+                            mixed = mix(own + np.uint64(i))
+                            low = np.lexsort((mixed, weight))[:n_first]
+                            for t in mix(own[low][weight[low] > 0] ^ np.uint64(0xC2B2AE3D27D4EB4F + i)).view(np.int64).tolist():
+                                ties.tie(node, t)
+                            light = mixed[low][weight[low] == 0]
+                        else:
+                            light = np.sort(mix(own + np.uint64(i)))[:n_first] if groups > 1 else own[:1]
+                        out += [(i, int(g), node, tokens) for g in np.unique(light % np.uint64(groups))]
+                    if size > 64 << 20 or len(ties.root) > 1_000_000:
+                        out += ties.rows(buckets)
+                        first, size = {}, 0
+                yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(ties.rows(buckets), columns=columns)
 
     parts = picked(nodes.select(F.col("first").alias("__tl_id"), F.col("s1").alias("node"))).mapInPandas(slices, "slice int, part bigint, node bigint, tokens binary")
     edges = parts.groupBy("slice", "part").applyInPandas(_slice_edges(pct), "a bigint, b bigint")
@@ -491,8 +631,7 @@ def row_membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # ids may be null or repeated, so a component's first row is found by its key
     linked = materialize(linked.join(members.select("node", "key"), "node"), "linked")
     least = linked.groupBy("rep").agg(F.min("key").alias("c"))
-    few = least.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    linked = linked.join(F.broadcast(least) if few else least, "rep").select(F.col("node").alias("s1"), "c")
+    linked = linked.join(F.broadcast(least) if few(least) else least, "rep").select(F.col("node").alias("s1"), "c")
     moved = classes.filter("copies > 1 or open").join(linked, "s1", "left").select("s1", "s2", F.coalesce("c", "key").alias("c"))
     # a salt spreads a large group of copies, and gives the small side a shuffle of its own, so that AQE may split what is still large
     salts = 8
