@@ -7,8 +7,10 @@ to the library to be merged (each once, the counts are remembered in a bounded c
 
 The split uses the pre-tokenizer's own pattern with its character classes spelled out
 for a stated alphabet (below U+0250, and common punctuation), where they are known to
-agree with the library's. A text with any other character is given to the library whole,
-so results are the library's for every input.
+agree with the library's. A text with other characters is first cut where the pattern
+must cut whatever their classes: between a character that is no blank and an ASCII blank.
+Segments within the alphabet are split here; the others, a word or so in most scripts, are
+looked up whole, in the proved set first, and go to the library only if they are not there.
 
 Defined cases. A null text is empty and has no token. Special strings inside a text are
 matched as the library does by default. Memory follows one text, not the table.
@@ -31,6 +33,9 @@ from .common import drop_columns, text_or_empty
 CACHE = 400_000
 LONGEST_CACHED = 48
 SAFE = re.compile("[\\x00-\\u024f\\u2010-\\u2027\\u20ac]*")
+#: Characters that are, or once were, blanks in Unicode; and the place between anything else and an ASCII blank.
+BLANKS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff"
+BORDER = re.compile(f"(?<=[^{BLANKS}])(?=[\\t-\\r ])")
 
 
 def default_path() -> str:
@@ -57,6 +62,19 @@ def splitter() -> re.Pattern:
     return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def pretokens(text: str) -> list[str]:
+    """Pieces that the library encodes independently of each other: pre-tokens, or whole segments outside the safe alphabet."""
+    if SAFE.fullmatch(text):
+        return splitter().findall(text)
+    out = []
+    for segment in BORDER.split(text):
+        if SAFE.fullmatch(segment):
+            out += splitter().findall(segment)
+        else:
+            out.append(segment)
+    return out
+
+
 class Counter(dict):
     """pre-token -> number of tokens; holds the proved vocabulary, and a bounded cache of merged pre-tokens."""
 
@@ -83,11 +101,8 @@ class Counter(dict):
         return n
 
     def count(self, text: str) -> int:
-        if not SAFE.fullmatch(text):
-            return self.merged(text)
         parts = self.special_re.split(text) if self.special_re and any(s in text for s in self.special) else [text]
-        find, get = splitter().findall, self.__getitem__
-        return len(parts) - 1 + sum(sum(map(get, find(p))) for p in parts)
+        return len(parts) - 1 + sum(sum(map(self.__getitem__, pretokens(p))) for p in parts)
 
 
 def prove(tokenizer) -> dict[str, int]:
