@@ -114,10 +114,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         raise ValueError(f"mode: {mode}")
     full = F.exists("spans", lambda s: s["len"] == n) if any_window else F.lit(False)
     found = scan(docs, benchmark, id_col, text_col, n, max_broadcast).withColumnRenamed(id_col, "__tl_id").filter("n_hit > 0")
-    found = found.select("__tl_id", "__tl_row", F.col("spans").alias("__tl_spans"), (F.col("contaminated") | full).alias("__tl_gone")).dropDuplicates(["__tl_id", "__tl_row"])
+    gone = F.col("contaminated") | full if mode != "span" else F.lit(False)
+    # what goes needs no spans
+    found = found.withColumn("__tl_gone", gone).select("__tl_id", "__tl_row", "__tl_gone", F.when(~F.col("__tl_gone"), F.col("spans")).alias("__tl_spans")).dropDuplicates(["__tl_id", "__tl_row"])
     found = materialize(found.filter("__tl_gone").drop("__tl_spans") if mode == "document" else found, "found")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__tl_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("__tl_row"))
-    keys = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if mode == "document" else F.size("__tl_spans")), F.lit(0)).alias("spans")).first()
+    keys = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if mode == "document" else F.coalesce(F.size("__tl_spans"), F.lit(0))), F.lit(0)).alias("spans")).first()
     small = keys["n"] <= MAX_KEYS and keys["spans"] <= MAX_SPANS
     found = F.broadcast(found) if small else found
     if mode == "document":
