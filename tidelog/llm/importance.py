@@ -12,11 +12,13 @@ Documents are joined for speed only: no pair reaches over the end of a document.
 The target model reads a bounded sample of labelled documents (``sample``); the raw model
 counts all documents, as sums by bucket that are combined on the map side. ``k`` follows
 from the share of documents of quality 1 among labelled ones. The k-th largest key is found by
-counting bins twice, then ordering the few rows of one small bin.
+counting bins three times, then ordering the few rows of one small bin.
 
-Defined cases. A null or empty text has log ratio 0. Without a usable label nothing is
-known about the target: all weights are 0 and everything is kept. Ties go to the smaller
-id; a null id sorts last. Columns named like an added one are replaced.
+Defined cases. A document is an id and a text: rows alike in both share a verdict and count
+once, rows of one id (or of a null id) with different texts are documents of their own. A
+null or empty text has log ratio 0. Without a usable label nothing is known about the
+target: all weights are 0 and everything is kept. Ties go to the smaller id, then to the
+smaller hash of the text; a null id sorts last. Columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_columns, id_order, materialize
+from .common import drop_columns, id_order, materialize, text_or_empty
 from .hashing import byte_values, mix
 
 BITS = 14
@@ -134,35 +136,38 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
             yield pd.Series(out)
 
     docs = drop_columns(docs, ADDED)
-    number = id_order(F.col(id_col))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed + 1), number), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = docs.withColumn("log_ratio", F.round(log_ratio(F.col(text_col).cast("string")), 6)).withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform)))
-    keys = materialize(scored.select(number.alias("__tl_i"), "log_ratio", "gumbel_key"), "keys")
+    key = {"__tl_i": id_order(F.col(id_col)), "__tl_row": F.xxhash64(text_or_empty(text_col))}
+    uniform = (F.pmod(F.xxhash64(F.lit(seed + 1), "__tl_i", "__tl_row"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    scored = docs.select(*[c.alias(n) for n, c in key.items()], F.round(log_ratio(F.col(text_col).cast("string")), 6).alias("log_ratio"))
+    scored = scored.groupBy("__tl_i", "__tl_row").agg(F.max("log_ratio").alias("log_ratio"))
+    keys = materialize(scored.withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(uniform))), "keys")
     n = keys.count()
     k = (round(n * share) if usable and share is not None else n) if k is None else k
     kept = F.lit(True)
     if k < n:
         cut = kth_largest(keys, k)
-        kept = F.lit(False) if cut is None else (F.col("gumbel_key") > cut[0]) | ((F.col("gumbel_key") == cut[0]) & (F.col("__tl_i") <= cut[1]))
-    if docs.columns == [id_col]:
-        return keys.select(F.col("__tl_i").alias(id_col), "log_ratio", "gumbel_key", kept.alias("kept"))
-    decided = keys.withColumn("kept", kept).groupBy("__tl_i").agg(F.max("log_ratio").alias("log_ratio"), F.max("gumbel_key").alias("gumbel_key"), F.max("kept").alias("kept"))
-    return docs.withColumn("__tl_i", number).join(decided, "__tl_i", "left").select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
+        i, h = F.col("__tl_i"), F.col("__tl_row")
+        kept = F.lit(False) if cut is None else (F.col("gumbel_key") > cut[0]) | ((F.col("gumbel_key") == cut[0]) & ((i < cut[1]) | ((i == cut[1]) & (h <= cut[2]))))
+    decided = keys.withColumn("kept", kept)
+    return docs.withColumns(key).join(decided, ["__tl_i", "__tl_row"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)
 
 
-def kth_largest(keys: DataFrame, k: int) -> tuple[float, int] | None:
-    """The (key, id) of the k-th row by key descending, id ascending."""
+def kth_largest(keys: DataFrame, k: int) -> tuple[float, int, int] | None:
+    """The (key, id, hash) of the k-th row by key descending, then id and hash ascending.
+
+    Bins are counted, then finer ones of the bin that holds the k-th row, until few rows are left to order.
+    """
     if k <= 0:
         return None
-    place = F.asinh("gumbel_key") * 64
-    fine = F.floor((place - F.floor(place)) * 4096)
     rows, left = keys, k
-    for at in (F.floor(place), fine):
-        bins = rows.groupBy(at.alias("b")).count().orderBy(F.col("b").desc()).collect()
+    place = F.asinh("gumbel_key") * 64
+    finer = lambda x: (x - F.floor(x)) * 4096
+    for at in (F.floor(place), F.floor(finer(place)), F.floor(finer(finer(place)))):
+        bins = rows.groupBy(at.alias("b")).count().orderBy(F.col("b").desc()).collect()  # some thousand bins at most
         for b in bins:
             if b["count"] >= left:
                 break
             left -= b["count"]
         rows = rows.filter(at == b["b"])
-    last = rows.orderBy(F.col("gumbel_key").desc(), "__tl_i").limit(left).orderBy("gumbel_key", F.col("__tl_i").desc()).first()
-    return last["gumbel_key"], last["__tl_i"]
+    last = rows.orderBy(F.col("gumbel_key").desc(), "__tl_i", "__tl_row").limit(left).orderBy("gumbel_key", F.col("__tl_i").desc(), F.col("__tl_row").desc()).first()
+    return last["gumbel_key"], last["__tl_i"], last["__tl_row"]
