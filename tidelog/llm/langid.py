@@ -6,7 +6,8 @@ penalty for switching labels spans, and the language with most letters is the te
 
 Training reads a bounded sample (``sample_per_lang`` documents a language, about), drawn
 by a hash of the id from all labelled documents outside the held-out part; its trigram
-counts are summed on the cluster and the model is languages x 65,536 numbers.
+counts are summed on the cluster and the model is languages x 65,536 numbers, which the
+workers share; so there may be ``MAX_LANGS`` labels (64 MB), and more of them are an error.
 
 Prediction is one scan without a shuffle. Texts are scored in pieces of bounded length,
 vectorised over all letters of a piece; the Viterbi pass steps through the words of many
@@ -35,9 +36,12 @@ BITS = 16
 SWITCH = 12.0
 SMOOTHING = 0.5
 SAMPLE_PER_LANG = 2_000
+#: Labels that a model may have.
+MAX_LANGS = 256
 #: Letters scored at once.
 PIECE = 1_000_000
 UNKNOWN = "und"
+ADDED = ["lang_pred", "score", "span_ends", "span_langs", "known_share"]
 #: First code points of blocks, and the script that starts there (0: common).
 SCRIPTS = [
     (0x0000, 0), (0x0041, 1), (0x005B, 0), (0x0061, 1), (0x007B, 0), (0x00AA, 1), (0x0250, 1), (0x0300, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5),
@@ -101,6 +105,7 @@ class Model:
     langs: list[str]
     weights: np.ndarray  # trigram x language, log probabilities
     allowed: np.ndarray  # script x language
+    seen: np.ndarray  # scripts that some language uses; words of others may be of any
 
     def scores(self, w: Words) -> np.ndarray:
         if not len(w.starts):
@@ -112,9 +117,11 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learns from about ``sample_per_lang`` documents a language, none of them held out."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(is_held_out(id_col), F.lit(False)))
-    n = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().collect()}
+    n = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().limit(MAX_LANGS + 1).collect()}
+    if len(n) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     if not n:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool), np.zeros(N_SCRIPTS, bool))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, sample_per_lang / k))]), F.col(lang_col))
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1_000_003)) < share * 1_000_003).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
@@ -137,8 +144,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts[sums["at"].to_numpy(np.int64), np.searchsorted(langs, sums["lang"].to_numpy(str))] = sums["n"].to_numpy()
     grams, script = counts[: 1 << BITS] + SMOOTHING, counts[1 << BITS :]
     allowed = script >= 0.001 * np.maximum(script.sum(axis=0), 1)
-    allowed[~allowed.any(axis=1)] = True
-    return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), allowed)
+    seen = allowed.any(axis=1)
+    allowed[~seen] = True
+    return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), allowed, seen)
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -189,10 +197,10 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     return out
 
 
-def label(texts: list[str], model: Model, switch: float = SWITCH) -> list[tuple[str, float, list[int], list[str]]]:
-    """For each text: language, share of its letters, ends of spans (code points), languages of spans."""
+def label(texts: list[str], model: Model, switch: float = SWITCH) -> list[tuple[str, float, list[int], list[str], float]]:
+    """For each text: language, share of its letters, ends of spans (code points), languages of spans, share of letters in scripts that were learned."""
     n_langs = len(model.langs)
-    scores, letters, ends = [], [], []
+    scores, letters, ends, learned = [], [], [], []
     joined: list[tuple[int, str]] = []
     for i, text in enumerate(texts):
         at = 0
@@ -210,7 +218,7 @@ def label(texts: list[str], model: Model, switch: float = SWITCH) -> list[tuple[
             begin = np.cumsum([0, *(len(p) + 1 for _, _, p in group)])
             cut = np.searchsorted(w.starts, begin)
             for (i, at, _), a, b, off in zip(group, cut[:-1], cut[1:], begin[:-1], strict=True):
-                parts.setdefault(i, []).append((s[a:b], w.letters[a:b], w.ends[a:b] - off + at))
+                parts.setdefault(i, []).append((s[a:b], w.letters[a:b], w.ends[a:b] - off + at, w.letters[a:b] * model.seen[w.script[a:b]]))
         group, size = [], 0
 
     for item in joined:
@@ -223,22 +231,23 @@ def label(texts: list[str], model: Model, switch: float = SWITCH) -> list[tuple[
         scores.append(np.concatenate([p[0] for p in parts[i]]))
         letters.append(np.concatenate([p[1] for p in parts[i]]))
         ends.append(np.concatenate([p[2] for p in parts[i]]))
+        learned.append(int(sum(p[3].sum() for p in parts[i])))
     out = []
-    for path, n, end in zip(viterbi(scores, switch) if n_langs else [None] * len(texts), letters, ends, strict=True):
+    for path, n, end, known in zip(viterbi(scores, switch) if n_langs else [None] * len(texts), letters, ends, learned, strict=True):
         if path is None or not n.sum():
-            out.append((UNKNOWN, 0.0, [], []))
+            out.append((UNKNOWN, 0.0, [], [], 0.0))
             continue
         by = np.bincount(path, weights=n, minlength=n_langs)
         last = np.append(np.flatnonzero(np.diff(path)), len(path) - 1)
-        out.append((model.langs[by.argmax()], float(by.max() / by.sum()), end[last].tolist(), [model.langs[k] for k in path[last]]))
+        out.append((model.langs[by.argmax()], float(by.max() / by.sum()), end[last].tolist(), [model.langs[k] for k in path[last]], float(known / n.sum())))
     return out
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score``, ``span_ends`` and ``span_langs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.allowed))
+    """``docs`` with ``lang_pred``, ``score``, ``span_ends``, ``span_langs`` and ``known_share`` (of letters in scripts that the model has learned)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.allowed, model.seen))
 
-    @F.pandas_udf("lang_pred string, score double, span_ends array<int>, span_langs array<string>")
+    @F.pandas_udf("lang_pred string, score double, span_ends array<int>, span_langs array<string>, known_share double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Model(*shared.value)
         for texts in batches:
@@ -251,7 +260,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
                     out += label(group, known, switch)
                     group, size = [], 0
             out += label(group, known, switch)
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "span_ends", "span_langs"])
+            yield pd.DataFrame(out, columns=ADDED)
 
-    docs = drop_columns(docs, ["lang_pred", "score", "span_ends", "span_langs", "__tl_l"])
+    docs = drop_columns(docs, [*ADDED, "__tl_l"])
     return docs.withColumn("__tl_l", predict(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in docs.columns], "__tl_l.*")
