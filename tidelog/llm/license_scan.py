@@ -3,8 +3,9 @@
 A multinomial logistic regression over hashed words and word pairs gives each paragraph
 (a line with a word) a licence family or ``unknown``. It is trained here, on variants of
 the templates below and, for the unknown class, on a bounded sample of the corpus's own
-paragraphs; its temperature is set on variants that training did not see, so that the
-probability of ``unknown`` is calibrated. A predicted family counts only where the
+lines (``sample_paragraphs`` distinct ones out of about ``sample_docs`` documents, the first
+``SAMPLE_CHARS`` characters of each); its temperature is set on a fifth of these examples
+that training did not see, so that the probability of ``unknown`` is calibrated. A predicted family counts only where the
 paragraph shares enough three-word shingles with one of the family's templates.
 
 A notice may be wrapped over many lines, none of which is enough by itself. So the shingles
@@ -37,6 +38,7 @@ BITS = 13
 UNKNOWN = "unknown"
 SAMPLE_DOCS = 1_000
 SAMPLE_PARAGRAPHS = 4_000
+SAMPLE_CHARS = 2_000
 MIN_PROBABILITY = 0.5
 MIN_SHARED = 0.6
 #: Notices of public licences.
@@ -146,43 +148,83 @@ def _variants(template: str, rng: np.random.Generator, n: int) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, seed: int = 5) -> Model:
-    """Learns from template variants, and from paragraphs of about ``sample_docs`` documents as the unknown class."""
+@dataclass
+class Examples:
+    """Paragraphs as sparse rows: (line, column, value) in the order of lines, and the class of each."""
+
+    line: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    y: np.ndarray
+
+    @classmethod
+    def of(cls, samples: list[tuple[str, int]], used: np.ndarray | None = None) -> tuple[Examples, np.ndarray]:
+        bucket, line, words, _ = paragraph_features("\n".join(s.replace("\n", " ") for s, _ in samples).encode())
+        used = np.unique(bucket) if used is None else used
+        col = np.minimum(np.searchsorted(used, bucket), len(used) - 1)
+        known = used[col] == bucket
+        order = np.argsort(line[known], kind="stable")
+        line, col = line[known][order], col[known][order]
+        return cls(line, col, (1 / np.sqrt(np.maximum(2 * words - 1, 1)))[line].astype(np.float32), np.array([k for _, k in samples])), used
+
+    def logits(self, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        z = np.zeros((len(self.y), w.shape[1]), np.float32)
+        if len(self.line):
+            first = np.flatnonzero(np.concatenate(([True], self.line[1:] != self.line[:-1])))
+            z[self.line[first]] = np.add.reduceat(w[self.col] * self.value[:, None], first, axis=0)
+        return z + b
+
+    def gradient(self, g: np.ndarray, n: int) -> np.ndarray:
+        by = g[self.line] * self.value[:, None]
+        return np.stack([np.bincount(self.col, weights=by[:, k], minlength=n) for k in range(g.shape[1])], axis=1).astype(np.float32)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS, seed: int = 5, templates: dict[str, list[str]] | None = None) -> Model:
+    """Learns from variants of ``templates``, and from lines of about ``sample_docs`` documents as the unknown class."""
+    templates = TEMPLATES if templates is None else templates
     rng = np.random.default_rng(seed)
-    families = [*sorted(TEMPLATES), UNKNOWN]
+    families = [*sorted(templates), UNKNOWN]
     n = docs.count()
     drawn = docs.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(text_col)), F.lit(1_000_003)) < (min(1.0, sample_docs / max(n, 1)) * 1_000_003))
-    lines = drawn.select(F.explode_outer(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("p")).filter("length(p) between 3 and 2000").orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS)
+    lines = drawn.select(F.explode_outer(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("p")).select(F.substring("p", 1, SAMPLE_CHARS).alias("p")).filter("length(p) >= 3").distinct()
+    lines = lines.orderBy(F.xxhash64("p"), "p").limit(sample_paragraphs)
     shingled = {f: [_shingles(t) for t in TEMPLATES[f]] for f in families[:-1]}
     other = [r[0] for r in lines.collect() if _title(r[0]) is None and not any(_confirmed(r[0], shingled[f], piece=True) for f in shingled)]
     other += ["the use of this work is described in the text of the agreement", "this file is part of the program", "version 3 of the software was released", "free to use", "terms and conditions of the service"]
-    samples = [(v, k) for k, f in enumerate(families[:-1]) for t in TEMPLATES[f] for v in _variants(t, rng, 40)] + [(p, len(families) - 1) for p in other]
-    order = rng.permutation(len(samples))
-    samples = [samples[i] for i in order]
-    bucket, line, words, _ = paragraph_features("\n".join(s.replace("\n", " ") for s, _ in samples).encode())
-    used, col = np.unique(bucket, return_inverse=True)
-    x = np.zeros((len(samples), len(used)), np.float32)
-    np.add.at(x, (line, col), 1)
-    x /= np.sqrt(np.maximum(2 * words - 1, 1))[:, None]
-    y = np.eye(len(families), dtype=np.float32)[[k for _, k in samples]]
+    samples = [(v, k) for k, f in enumerate(families[:-1]) for t in templates[f] for v in _variants(t, rng, 40)] + [(p, len(families) - 1) for p in other]
+    samples = [samples[i] for i in rng.permutation(len(samples))]
     cut = len(samples) * 4 // 5
+    x, used = Examples.of(samples[:cut])
+    y = np.eye(len(families), dtype=np.float32)[x.y]
     w, b = np.zeros((len(used), len(families)), np.float32), np.zeros(len(families), np.float32)
-    rate, weight = 2.0, 1.0 / np.maximum(y[:cut].sum(axis=0), 1)
-    weight = (y[:cut] @ weight)[:, None] / len(families)
+    rate, weight = 2.0, 1.0 / np.maximum(y.sum(axis=0), 1)
+    weight = (y @ weight)[:, None] / len(families)
     for _ in range(150):
-        z = x[:cut] @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        g = (p / p.sum(axis=1, keepdims=True) - y[:cut]) * weight
-        w -= rate * 10 * (x[:cut].T @ g + 1e-5 * w)
+        g = (softmax(x.logits(w, b)) - y) * weight
+        w -= rate * 10 * (x.gradient(g, len(used)) + 1e-5 * w)
         b -= rate * g.sum(axis=0)
-    z, best = x[cut:] @ w + b, (np.inf, 1.0)
-    for t in (0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0):
-        s = z / t - (z / t).max(axis=1, keepdims=True)
-        loss = -float(((s - np.log(np.exp(s).sum(axis=1, keepdims=True))) * y[cut:]).sum())
-        best = min(best, (loss, t))
+    unseen, _ = Examples.of(samples[cut:], used)
+    z = unseen.logits(w, b)
+    loss = {t: -float(np.log(np.maximum(softmax(z / t)[np.arange(len(z)), unseen.y], 1e-30)).sum()) for t in (0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0)}
     full = np.zeros((1 << BITS, len(families)), np.float32)
     full[used] = w
-    return Model(families, full, b, best[1])
+    return Model(families, full, b, min(loss, key=loss.get))
+
+
+def report(model: Model, cases: list[tuple[str, str]]) -> dict[str, float]:
+    """How the classifier alone does on (paragraph, family or ``unknown``): recall and precision of families, calibration error of its first choice."""
+    p = probabilities(model, "\n".join(c.replace("\n", " ") for c, _ in cases).encode())[0]
+    guess, sure = [model.families[k] for k in p.argmax(axis=1)], p.max(axis=1)
+    right = np.array([g == want for g, (_, want) in zip(guess, cases, strict=True)])
+    licences, claimed = np.array([want != UNKNOWN for _, want in cases]), np.array([g != UNKNOWN for g in guess])
+    bins = np.minimum((sure * 10).astype(int), 9)
+    error = sum(abs(sure[bins == k].mean() - right[bins == k].mean()) * (bins == k).mean() for k in range(10) if (bins == k).any())
+    return {"recall": float(right[licences].mean()), "precision": float(right[claimed].mean()) if claimed.any() else 1.0, "calibration_error": float(error)}
 
 
 def _shingles(text: str) -> set[tuple[str, ...]]:
