@@ -59,7 +59,7 @@ def window_hashes(hashes: Column, n: int) -> Column:
 
 
 def id_order(c: Column) -> Column:
-    """An integer id that is never null; a null id sorts after all others."""
+    """An integer id that is never null; a null id sorts after all others. (2**63 - 1 stands for null, so it is no id; ids that are no integers are an error.)"""
     return F.coalesce(c.cast("bigint"), F.lit(LONG_MAX))
 
 
@@ -70,13 +70,15 @@ def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset and there is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     set_already = spark.sparkContext.getCheckpointDir()
     if set_already:
         return set_already.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set; executors need a folder that they share")
     made = "file://" + tempfile.mkdtemp(prefix="tidelog-")
     spark.sparkContext.setCheckpointDir(made)
     return (spark.sparkContext.getCheckpointDir() or made).rstrip("/")

@@ -11,7 +11,7 @@ documents asks for. Range sums give a distributed prefix sum; only the one range
 which a source's budget ends is sorted and summed document by document. What comes out
 is one row a source (epochs, and the key where the last pass ends), so documents are
 decided row by row: texts are never shuffled, and no source, however large, meets in one
-task.
+task. (Sources themselves are taken to be few: their rows, one each, are put in order in one task.)
 
 Defined cases. A null text has no words. A null source is a source, last in order. Rows
 that agree in source, id and size are alike: where the cut falls on them they share the
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = source_targets(sources, weights, max_epochs).withColumn("__tl_budget", budget)
     full = F.when(F.col("source_size") > 0, F.expr("__tl_budget div source_size")).otherwise(F.lit(0).cast("bigint"))
     plan = plan.withColumn("__tl_epochs", full).withColumn("__tl_rest", F.col("__tl_budget") - F.col("__tl_epochs") * F.col("source_size"))
-    plan = plan.withColumn("__tl_ranges", F.ceil(F.col("n_docs") / RANGE_DOCS))
+    plan = plan.withColumn("__tl_ranges", F.ceil(F.col("n_docs") / RANGE_DOCS)).drop("n_docs")
     plan, small = _local(plan)
 
     # prefix sums over key ranges, then within the range where the budget ends

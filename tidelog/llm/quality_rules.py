@@ -4,6 +4,9 @@ Every line is held against punctuation, navigation, boilerplate and noise rules;
 that fail go, and a document that loses too much of its text is rejected. Before that,
 whole-text statistics (length, repeated word windows) reject the hopeless ones.
 
+Lists of words are kept by language (English, French, German, Spanish); rules on line ends,
+noise, capitals, separators and links need no language.
+
 Plan. One scan, no shuffle: all rules are row-wise expressions. The repeated windows of
 a text are found by hashing its 8-word windows; the sort that locates them runs only in
 texts whose hashes are not all distinct.
@@ -25,8 +28,26 @@ MAX_REPEAT_PCT = 30
 #: A document keeps at least this share of the characters of its lines.
 MIN_KEPT_SHARE = 0.6
 END_MARKS = "[.!?:;…。！？][\"'”’»)\\]]*\\z"
-NAVIGATION = "[^ ] ?[|»›•>] [^\n]*[^ ] ?[|»›•>] |(?i:^(home|menu|next|previous|back|login|log in|sign in|sign up|search|share|contact|read more)[^a-z0-9]*\\z)"
-BOILERPLATE = "(?i)lorem ipsum|javascript|enable cookies|use of cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|subscribe to|sign up for|follow us|skip to (main )?content|powered by"
+#: What menus consist of, as a whole line, and phrases of boilerplate, in each language that the rules know.
+#: Letters beyond ASCII stand in both cases, for not every engine folds them.
+NAVIGATION_WORDS = {
+    "en": "home|menu|next|previous|back|login|log in|sign in|sign up|search|share|contact|read more",
+    "fr": "accueil|menu|suivant|pr[éÉ]c[éÉ]dent|retour|connexion|se connecter|s'inscrire|recherche|rechercher|partager|contact|nous contacter|lire la suite|en savoir plus|plan du site",
+    "de": "startseite|men[üÜ]|weiter|zur[üÜ]ck|anmelden|einloggen|registrieren|suche|suchen|teilen|kontakt|impressum|mehr lesen|weiterlesen|mehr erfahren",
+    "es": "inicio|men[úÚ]|siguiente|anterior|volver|iniciar sesi[óÓ]n|registrarse|buscar|compartir|contacto|leer m[áÁ]s|ver m[áÁ]s|mapa del sitio",
+}
+BOILERPLATE_PHRASES = {
+    "any": "lorem ipsum|javascript",
+    "en": "enable cookies|use of cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|subscribe to|sign up for|follow us|skip to (main )?content|powered by",
+    "fr": "utilis(e|er|ons|ation) (de |des |de[s]? )?cookies|accepter les cookies|politique de confidentialit[éÉ]|conditions (g[éÉ]n[éÉ]rales )?d['’]utilisation|mentions l[éÉ]gales|tous droits r[éÉ]serv[éÉ]s|cliquez ici|abonnez-vous|inscrivez-vous [àÀ]|suivez-nous|aller au contenu|propuls[éÉ] par",
+    "de": "verwende(t|n) cookies|cookies (akzeptieren|zulassen)|cookie-richtlinie|datenschutzerkl[äÄ]rung|nutzungsbedingungen|allgemeine gesch[äÄ]ftsbedingungen|alle rechte vorbehalten|klicken sie hier|hier klicken|abonnieren sie|melden sie sich an|folgen sie uns|zum inhalt springen|bereitgestellt von",
+    "es": "(uso|utiliza|utilizamos|usamos) (de )?cookies|aceptar (las )?cookies|pol[íÍ]tica de (privacidad|cookies)|t[éÉ]rminos (de uso|y condiciones|del servicio)|aviso legal|todos los derechos reservados|haga clic aqu[íÍ]|haz clic aqu[íÍ]|suscr[íÍ]bete|suscr[íÍ]base|s[íÍ]guenos|s[íÍ]ganos|(saltar|ir) al contenido|con la tecnolog[íÍ]a de",
+}
+#: Structure that needs no words: entries between separators, and a line of links.
+SEPARATED = "[^ ] ?[|»«›•>·→] [^\n]*[^ ] ?[|»«›•>·→] "
+LINKS = "(https?://|www[.])[^ ]+ [^\n]*(https?://|www[.])[^ ]+ [^\n]*(https?://|www[.])"
+NAVIGATION = f"{SEPARATED}|{LINKS}|(?i:^({'|'.join(NAVIGATION_WORDS.values())})[^a-z0-9]*\\z)"
+BOILERPLATE = f"(?i)({'|'.join(BOILERPLATE_PHRASES.values())})"
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_kept_lines", "kept_share", "base_failed", "kept"]
 
 
