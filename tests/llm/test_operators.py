@@ -28,6 +28,7 @@ ROWS = [
     (8, "a shared line of text\nown words here\nA SHARED LINE OF TEXT \n", "c", 8), (9, "\ta shared line of text\nother words", None, 9), (9, "\ta shared line of text\nother words", None, 9), (None, "a shared line of text", "a", 10), (11, "Ünï cödé 日本語 \U0001f600 ok", "a", 11),
 ]
 WORD = re.compile("[^\x20\x09-\x0d]+")
+M64 = (1 << 64) - 1
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -76,7 +77,8 @@ def test_line_dedup_replaces_clashing_columns(docs, empty):
 
 
 def test_mix(docs, empty):
-    rows = mix(docs.withColumn("taken", F.lit("clash"))).collect()
+    rows = mix(docs.withColumns({"taken": F.lit("clash"), "n_docs": F.lit("own"), "target": F.lit("x")})).collect()
+    assert {r["n_docs"] for r in rows} == {"own"}
     sizes = {r["extra"]: len(WORD.findall(r["text"] or "")) for r in rows}
     assert all(r["size"] == sizes[r["extra"]] for r in rows) and len(rows) == len(ROWS)
     total = sum(r["size"] for r in rows)
@@ -171,6 +173,23 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules(empty).count() == 0
 
 
+LINES = {
+    "en": (["Home", "Read more »", "All rights reserved."], "The house stood at the end of the road, and nobody had lived in it for years."),
+    "fr": (["Accueil", "Lire la suite…", "Tous droits réservés.", "TOUS DROITS RÉSERVÉS.", "Nous utilisons des cookies pour mesurer notre audience.", "Suivez-nous!"], "La maison se trouvait au bout de la route, et personne n'y avait habité depuis des années."),
+    "de": (["Startseite", "Zurück.", "Alle Rechte vorbehalten.", "Diese Seite verwendet Cookies.", "Bitte lesen Sie die Datenschutzerklärung."], "Das Haus stand am Ende der Straße, und seit Jahren hatte niemand mehr darin gewohnt."),
+    "es": (["Inicio", "Leer más...", "Todos los derechos reservados.", "Síguenos!", "Utilizamos cookies propias y de terceros."], "La casa estaba al final del camino, y nadie había vivido en ella desde hacía años."),
+    "none": (["Новости · Спорт · Погода · Ещё.", "http://a.example/x www.b.example https://c.example/y."], "Дом стоял в конце дороги, и никто не жил в нём уже много лет."),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(LINES))
+def test_line_rules_by_language(spark, lang):
+    junk, good = LINES[lang]
+    text = "\n".join([good, *junk, good.replace(",", " (sic),"), good[::-1] + "."])
+    r = quality_rules(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert r["cleaned_text"].split("\n") == [good, good.replace(",", " (sic),"), good[::-1] + "."] and r["n_lines"] == len(junk) + 3
+
+
 # language ID
 
 EN, DE = "the quick dog ran over the hill and then went home with the others", "der schnelle Hund lief über den Hügel und ging dann mit den anderen nach Hause"
@@ -191,6 +210,63 @@ def test_language_id(spark, empty):
     assert sorted(r["doc_id"] for r in held) == [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2]
 
 
+def words_by_hand(text):
+    """(letters, script, trigram buckets) of each run of letters and marks."""
+    import unicodedata
+
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in text or "")
+    inside = lambda c: unicodedata.category(c)[0] in "LM"
+    out = []
+    for m in re.finditer("[^\x00]+", "".join(c if inside(c) else "\x00" for c in low)):
+        w = [32, *map(ord, m[0]), 32]
+        grams = [((a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F ^ c * 0x165667B19E3779F9) & M64) * 0xFF51AFD7ED558CCD % (1 << 64) >> (64 - langid.BITS) for a, b, c in zip(w, w[1:], w[2:])]
+        script = next(s for a, s in reversed(langid.SCRIPTS) if a <= w[1])
+        out.append((sum(unicodedata.category(c)[0] == "L" for c in m[0]), script, grams))
+    return out
+
+
+def test_language_scores_against_brute_force(spark):
+    import math
+
+    rows = [(i, f"{EN} {'quick ' * (i % 3)}{i}", "en") for i in range(30)] + [(i, f"{DE} {'Hügel ' * (i % 4)}", "de") for i in range(30, 60)] + [(i, "собака бежала домой через холм и лес", "ru") for i in range(60, 80)] + [(None, EN, "en"), (81, None, "en"), (82, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    texts = [f"{EN}. {DE}", f"собака {EN} домой", f"{DE} холм", "dog", "Hügel über", "ДОМОЙ the", "e\u0301te\u0301 the hill", "漢字 the", "1 2", None, f"{EN} {DE} собака бежала " * 3]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), langid.train(docs)).orderBy("doc_id").collect()
+    learned = [r for r in rows if r[1] is not None and r[2] and not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2)]
+    langs = ["de", "en", "ru"]
+    grams, scripts = {k: Counter() for k in langs}, {k: Counter() for k in langs}
+    for _, text, lang in learned:
+        for letters, script, g in words_by_hand(text):
+            grams[lang].update(g)
+            scripts[lang][script] += letters
+    n = 1 << langid.BITS
+    log = {k: lambda g, k=k: math.log((grams[k][g] + langid.SMOOTHING) / (sum(grams[k].values()) + n * langid.SMOOTHING)) for k in langs}
+    allowed = lambda k, s: scripts[k][s] >= 0.001 * max(sum(scripts[k].values()), 1) or not any(scripts[x][s] >= 0.001 * max(sum(scripts[x].values()), 1) for x in langs)
+    for r, text in zip(got, texts, strict=True):
+        words = words_by_hand(text)
+        if not sum(w[0] for w in words):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        best = [(0.0, ())]
+        paths = {k: (0.0, ()) for k in langs}
+        for at, (_, script, g) in enumerate(words):
+            own = {k: sum(map(log[k], g)) - (0 if allowed(k, script) else 1e6) for k in langs}
+            paths = {k: max((v + own[k] - (langid.SWITCH if at and p[-1] != k else 0), (*p, k)) for v, p in paths.values()) for k in langs}
+        best = max(paths.values())[1]
+        share = Counter()
+        for k, w in zip(best, words, strict=True):
+            share[k] += w[0]
+        lang, most = max(share.items(), key=lambda x: x[1])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(most / sum(share.values()))
+        assert r["span_langs"] == [k for i, k in enumerate(best) if i + 1 == len(best) or best[i + 1] != k]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.train(spark.createDataFrame([(i, EN, lang) for i, lang in enumerate(["a", "b", "c", "d", "e", "f"])], "doc_id bigint, text string, lang string"))
+
+
 @given(st.lists(st.lists(st.lists(st.floats(-9, 0), min_size=3, max_size=3), max_size=7), min_size=1, max_size=4))
 @settings(deadline=None)
 def test_viterbi_is_the_best_path(seqs):
@@ -244,7 +320,7 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_jaccard_join(spark, seed, monkeypatch):
     import tidelog.llm.jaccard_join as jj
 
@@ -253,6 +329,11 @@ def test_jaccard_join(spark, seed, monkeypatch):
         monkeypatch.setattr(jj, "CHUNK", 300)
         monkeypatch.setattr(jj, "SLICE_GROUP", 20)
         monkeypatch.setattr(jj, "CLUSTER", 250)
+        monkeypatch.setattr(jj, "HUB", 3)
+    if seed > 2:  # shingles of two chunks are heavy
+        monkeypatch.setattr(jj, "HEAVY", 2)
+        monkeypatch.setattr(jj, "HEAVY_MOST", 500)
+        monkeypatch.setattr(jj, "BROADCAST_BYTES", 0)
     rows = near_copies(seed) + [(r[0] + 1000 if r[0] else r[0], *r[1:]) for r in ROWS]
     got = [tuple(r) for r in membership(spark.createDataFrame(rows, DOCS).repartition(5)).select(F.when(F.col("__tl_id") < 2**63 - 1, F.col("__tl_id")), "n_shingles", "component_id").collect()]
     assert sorted(got, key=repr) == sorted(join_by_hand(rows), key=repr)
@@ -278,10 +359,39 @@ def test_trie_components(sets):
     assert components(list(range(len(sets))), [np.array(sorted(s), np.uint64) for s in sets]) == want
 
 
-def test_connected_components(spark):
-    edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 60), (60, 50), (-3, 70)]
+@pytest.mark.parametrize("hub", [10_000, 2])
+def test_connected_components(spark, monkeypatch, hub):
+    import tidelog.llm.jaccard_join as jj
+
+    monkeypatch.setattr(jj, "HUB", hub)
+    edges = [(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 60), (60, 50), (-3, 70)] + [(200 + i, 999) for i in range(40)] + [(100, 300 + i) for i in range(20)] + [(319, 400)]
     got = {r["node"]: r["cluster"] for r in connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {i: 1 for i in range(1, 31)} | {40: 40, 50: 40, 60: 40, -3: -3, 70: -3}
+    assert got == {i: 1 for i in range(1, 31)} | {40: 40, 50: 40, 60: 40, -3: -3, 70: -3, 999: 200, 100: 100, 400: 100} | {200 + i: 200 for i in range(40)} | {300 + i: 100 for i in range(20)}
+
+
+def test_a_family_of_near_copies_costs_one_comparison_each(monkeypatch):
+    """Posting lists are passed over by component: 4,000 near copies are joined in linear time."""
+    import time
+
+    import pandas as pd
+
+    import tidelog.llm.jaccard_join as jj
+
+    def seconds(n):
+        rng = np.random.default_rng(5)
+        base = rng.integers(0, 2**60, 30, dtype=np.uint64)
+        rows = []
+        for i in range(n):
+            own = base.copy()
+            own[rng.integers(30)] = rng.integers(0, 2**60)
+            rows.append((0, 0, i, np.sort(own).tobytes()))
+        began = time.time()
+        found = jj._slice_edges(85)((0, 0), pd.DataFrame(rows, columns=["slice", "part", "node", "tokens"]))
+        assert len(found) == n - 1
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(8_000) < 10 * max(seconds(2_000), 0.05)
 
 
 # token counts
@@ -306,6 +416,45 @@ def test_chat_encoding_is_the_librarys(text):
     assert ids.tolist() == whole.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == whole.offsets
 
 
+WORLD = [
+    "Съешь же ещё этих мягких французских булок, да выпей чаю.", "我能吞下玻璃而不伤身体。 下一句\u3000也是。", "אני יכול לאכול זכוכית וזה לא מזיק לי", "أنا قادر على أكل الزجاج و هذا لا يؤلمني", "मैं काँच खा सकता हूँ", "ยีนส์ กางเกง", "👩‍👩‍👧 ok 🇩🇪!! don't 𝒳\u200b \u2028x",
+    "Ξεσκεπάζω τὴν ψυχοφθόρα  \n\t βδελυγμία \u1680 1\u0660\u0661 ٣ ²", "mixed naïve слово's日本 'll  <|endoftext|> конец ", "\u2003a \u205f \x1c\x1d б", "ı İ ſ ẞ ʼn ǆ 'ſ 's'ſ", "".join(map(chr, range(0x250, 0x600))),
+]
+
+
+@pytest.mark.parametrize("text", WORLD)
+def test_other_scripts_are_counted_by_segments(text):
+    counter, e = cached_counter(default_path()), encoder(default_path())
+    for t in (text, f" {text}\n{text} ", text[::-1], "\n".join(text.split(" "))):
+        assert counter.count(t) == counter.merged(t)
+        whole = e.tokenizer.encode(t, add_special_tokens=False)
+        ids, starts, ends = e.encode(t)
+        assert ids.tolist() == whole.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == whole.offsets
+
+
+@given(st.lists(st.sampled_from(["слово", "日本", "\u3000", " ", "\n", "x", "'s", "é", "😀", "\u200b", "\u2028", "\x85", "\u0301", "١", "½", "!", "\t", "\x1f", "\ufeff"]), max_size=14).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_segments_are_independent(text):
+    counter = cached_counter(default_path())
+    assert counter.count(text) == counter.merged(text)
+
+
+def test_the_shortcut_is_used_for_other_scripts():
+    from tidelog.llm.token_count import pretokens
+
+    assert pretokens("да и нет, 日本 ok!") == ["да", " и", " нет,", " 日本", " ok", "!"]
+    assert len(pretokens(WORLD[0])) == 10
+
+
+def test_the_encoder_forgets(monkeypatch):
+    import tidelog.llm.chat_format as cf
+
+    monkeypatch.setattr(cf, "REMEMBERED", 3)
+    e = cf.Encoder(default_path())
+    for text in ("one two three four five", "six seven eight", "one two", "", "nine ten eleven twelve thirteen"):
+        assert e.encode(text)[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_every_safe_character_is_split_alike():
     counter = cached_counter(default_path())
     for c in map(chr, (*range(0x250), *range(0x2010, 0x2028), 0x20AC)):
@@ -401,6 +550,47 @@ def test_license_scan_finds_wrapped_notices(spark):
     assert got[60]["licenses"] == got[61]["licenses"] == got[63]["licenses"] == ["MIT"]
 
 
+def test_license_classifier_on_unseen_paragraphs(spark, sf_dir):
+    """Variants that training did not see, lines of documents that it did not see, and wordings whose template was hidden."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    model = license_scan.train(docs)
+    rng = np.random.default_rng(99)
+    lines = [x for r in spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").select("text").limit(300).collect() for x in (r["text"] or "").split("\n") if len(x) > 2 and "icense" not in x]
+    clean = [(x, "unknown") for x in lines]
+    seen = [(v, f) for f, texts in license_scan.TEMPLATES.items() for t in texts for v in license_scan._variants(t, rng, 20)[1:]]
+    got = license_scan.report(model, seen + clean)
+    assert got["recall"] > 0.97 and got["precision"] > 0.97 and got["calibration_error"] < 0.05, got
+    print("unseen variants", got)
+    # a wording of which no template is known is left to the unknown class rather than given to a wrong family: templates confirm what is found, so it could not be found
+    hidden = {f: texts[:-1] for f, texts in license_scan.TEMPLATES.items() if len(texts) > 1}
+    unknown = [(texts[-1], f) for f, texts in license_scan.TEMPLATES.items() if f in hidden]
+    got = license_scan.report(license_scan.train(docs, templates=hidden), unknown + [(x, "unknown") for x in lines])
+    print("hidden wordings", got)
+    assert got["calibration_error"] < 0.1, got
+
+
+def test_license_scan_against_one_line_at_a_time(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    model = license_scan.train(docs)
+    rng, prose = np.random.default_rng(3), [x for r in docs.limit(40).collect() for x in (r["text"] or "").split("\n")[:3]]
+    notices = [v for f in license_scan.TEMPLATES.values() for t in f for v in license_scan._variants(t, rng, 2)] + [t for f in license_scan.TITLES.values() for t in f]
+    texts = ["\n".join(x for i in range(int(rng.integers(0, 6))) for x in (prose[rng.integers(len(prose))], notices[rng.integers(len(notices))] if rng.random() < 0.3 else "", "the end of it all.")) for _ in range(60)]
+    templates = {f: [license_scan._shingles(t) for t in license_scan.TEMPLATES[f]] for f in model.families[:-1]}
+    got = license_scan._scan(model, templates, [t.encode() for t in texts])
+    for text, (n, licenses, at, score) in zip(texts, got, strict=True):
+        found = {}
+        for i, line in enumerate(text.split("\n")):
+            p = license_scan.probabilities(model, line.encode())[0][0]
+            family = model.families[p.argmax()]
+            if family != "unknown" and p.max() >= license_scan.MIN_PROBABILITY and license_scan._shingles(line) and license_scan._confirmed(line, templates[family]):
+                found[i, family] = p.max()
+            title = license_scan._title(line)
+            if title:
+                found.setdefault((i, title), p[model.families.index(title)])
+        assert n == sum(bool(re.search("[0-9A-Za-z\x80-\U0010ffff]", x)) for x in text.split("\n"))
+        assert (licenses, at) == (sorted({f for _, f in found}), sorted({i for i, _ in found})) and score == pytest.approx(max(found.values(), default=0), abs=1e-5)
+
+
 # importance resampling
 
 
@@ -418,6 +608,54 @@ def test_importance_resampling(spark, empty):
     assert importance.importance_resample(empty, labels).count() == 0
 
 
+def mixed(h):
+    """The finalizer of ``hashing.mix``, on integers."""
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h ^= h >> 33
+        h = h * c & M64
+    return h ^ (h >> 33)
+
+
+def buckets_by_hand(text):
+    """Hashed tokens and pairs of one text: runs of letters, digits and longer characters, or of other visible ASCII."""
+    values = [mixed(i * 0x2545F4914F6CDD1D & M64) for i in range(1, 257)]
+    hashed = []
+    for token in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", (text or "").encode()):
+        h, power = 0, 1
+        for byte in token:
+            h = (h + values[byte] * power) & M64
+            power = power * 0x9E3779B97F4A7C15 & M64
+        hashed.append(mixed(h))
+    pairs = [1 << 63 if a == b else mixed((a * 0xD6E8FEB86659FD93 + b) & M64) for a, b in zip(hashed, hashed[1:])]
+    return [h >> (64 - importance.BITS) for h in hashed + pairs]
+
+
+def test_importance_against_brute_force(spark):
+    import math
+
+    texts = [f"{EN} {i % 5} naïve {i % 3}, " * (1 + i % 4) for i in range(40)] + ["!!! ### $$$ buy now!!! " * (1 + i % 3) for i in range(20)] + [None, "", "a a a a", EN]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(1, texts[1]), (1, "other text of one id"), (5, texts[5])]
+    labels = [(i, int(i < 40), int(i % 10 == 4)) for i in range(0, 60, 2)]
+    got = importance.importance_resample(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kept", F.lit("x")).repartition(4), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    good = {i for i, q, t in labels if q == 1 and t == 0}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets_by_hand(t))
+        if i in good:
+            target.update(buckets_by_hand(t))
+    n = 1 << importance.BITS
+    ratio = lambda b: math.log((target[b] + 1) / (sum(target.values()) + n)) - math.log((raw[b] + 1) / (sum(raw.values()) + n))
+    want = {(i, t): round(sum(map(ratio, buckets_by_hand(t))), 6) for i, t in rows}
+    assert {(r["doc_id"], r["text"]) for r in got} == set(want) and len(got) == len(rows)
+    assert all(abs(r["log_ratio"] - want[r["doc_id"], r["text"]]) < 2e-6 for r in got)
+    by = {(r["doc_id"], r["text"] or ""): (r["gumbel_key"], r["kept"]) for r in got}  # a null text is an empty one
+    k = round(len(by) * sum(q for _, q, _ in labels) / len(labels))
+    best = sorted(by.values(), reverse=True)
+    assert [kept for _, kept in best] == [True] * k + [False] * (len(best) - k)
+    noise = [r["gumbel_key"] - r["log_ratio"] for r in got]
+    assert len({round(x, 9) for x in noise}) == len(by) and -3 < sum(noise) / len(noise) - 0.5772 < 3
+
+
 def test_importance_pairs_stay_inside_a_document(spark):
     rows = [(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(60)] + [(60, "w1"), (61, "w1"), (62, None), (63, "w1")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -437,6 +675,6 @@ def test_importance_pairs_stay_inside_a_document(spark):
 @settings(max_examples=15, deadline=None)
 def test_kth_largest(spark, values, data):
     k = data.draw(st.integers(1, len(values)))
-    keys = spark.createDataFrame([(float(v) / 7, i) for i, v in enumerate(values)], "gumbel_key double, __tl_i bigint")
-    ranked = sorted(((float(v) / 7, i) for i, v in enumerate(values)), key=lambda x: (-x[0], x[1]))
+    keys = spark.createDataFrame([(float(v) / 7, i // 2, -i) for i, v in enumerate(values)], "gumbel_key double, __tl_i bigint, __tl_row bigint")
+    ranked = sorted(((float(v) / 7, i // 2, -i) for i, v in enumerate(values)), key=lambda x: (-x[0], x[1], x[2]))
     assert importance.kth_largest(keys, k) == ranked[k - 1]

@@ -90,7 +90,9 @@ def test_pipeline_drops_remnants_of_copies(spark):
     own = lambda i, n: "\n".join(line(i + k) for k in range(n))
     rows = [(1, own(0, 8)), (2, f"{own(0, 6)}\n{own(50, 2)}"), (3, f"{own(0, 3)}\n{own(60, 9)}"), (4, f"{line(0)}\nshort"), (5, f"{own(70, 1)}\n{own(80, 1)}"), (6, f"{line(0)}\n{line(70)}\n{line(80)}\nx"), (7, None), (7, ""), (None, f"{own(0, 5)}\nmore")]
     docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint").withColumn("n_from_one", F.lit("clash"))
-    got = {(r["doc_id"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs.repartition(3), "").collect()}
+    out = corpus_pipeline.dedup_lines(spark, docs.repartition(3), "").collect()
+    assert {r["n_from_one"] for r in out} == {"clash"}
+    got = {(r["doc_id"], r["n_chars"]) for r in out}
     assert got == {(1, len(own(0, 8))), (3, len(own(60, 9))), (4, 5), (5, len(rows[4][1])), (6, 1), (7, None), (7, 0)}
 
 
@@ -99,6 +101,34 @@ def staged(spark, rows):
     return sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_documents(spark, docs.repartition(3), "").collect()), key=repr)
 
 
+def test_pipeline_rejects_scripts_that_were_not_learned(spark):
+    en = "the quick dog ran over the hill and went home"
+    rows = [(i, f"{en} {i}", "en") for i in range(20)] + [(30, "собака бежала домой через холм", None), (31, f"{en} собака", None), (32, "我能吞下玻璃 the dog", None), (33, "12 !", None), (34, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("known_share", F.lit("own"))
+    out = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert {r["doc_id"] for r in out} == {*range(20), 31, 32} and {r["known_share"] for r in out} == {"own"}
+
+
+STAGE_COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_awkward_tables(spark, tmp_path, stage):
+    """An empty table, null columns, null and repeated ids, and columns named like the operators' own."""
+    spark.createDataFrame([("i", words(0, 20)), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    f = dict(corpus_pipeline.STAGES)[stage]
+    empty = spark.createDataFrame([], STAGE_COLUMNS)
+    assert f(spark, empty, str(tmp_path)).count() == 0
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "the quick dog ran home", None, None, 22), (1, "the quick dog ran home", "en", "a", 22), (None, "the other dog", "en", None, 13), (3, "x " * 30_000, "en", "b", 60_000)]
+    clash = ["score", "n_lines", "n_dropped", "n_from_one", "spans", "items", "component_id", "n_shingles", "n_docs", "h", "node", "cluster"]
+    docs = spark.createDataFrame(rows, STAGE_COLUMNS).withColumns({c: F.lit(c) for c in clash})
+    out = f(spark, docs, str(tmp_path))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert all(r[c] == c for r in out.collect() for c in clash)
+    nothing = spark.createDataFrame([(None,) * 5] * 3, STAGE_COLUMNS)
+    assert {r["doc_id"] for r in f(spark, nothing, str(tmp_path)).collect()} <= {None}
+
+
 def words(a, b):
     return " ".join(f"w{i}" for i in range(a, b))
 
