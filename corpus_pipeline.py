@@ -16,8 +16,8 @@ from tidelog.llm.jaccard_join import keep_first
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.mix import mix
 
-#: A document whose main language has a smaller share of its letters is rejected.
-MIN_LANG_SHARE = 0.5
+#: A document whose main language has a smaller share of its letters is rejected, and one with a smaller share of letters in scripts that were learned.
+MIN_LANG_SHARE, MIN_KNOWN_SHARE = 0.5, 0.5
 #: Lines lost to one and the same document that make a gutted document the remnant of a copy.
 COPIED_LINES = 3
 #: Near duplicates share this much (%) of their shingles of so many words; op7's contract (4 words, 85 %) binds its query only.
@@ -31,13 +31,13 @@ def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those in which no language prevails.
+    """Rejects documents without a letter, those in which no language prevails, and those in scripts that no learned language uses.
 
     Null and empty texts have no letter and go; repeated rows are judged alike; a null id is allowed.
     """
-    moved, back = aside(docs, ["lang_pred", "score", "span_ends", "span_langs"])
+    moved, back = aside(docs, langid.ADDED)
     labelled = langid.identify(moved, langid.train(docs))
-    kept = labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANG_SHARE)).select(moved.columns)
+    kept = labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANG_SHARE) & (F.col("known_share") >= MIN_KNOWN_SHARE)).select(moved.columns)
     return kept.withColumnsRenamed(back)
 
 
