@@ -572,9 +572,10 @@ def test_license_classifier_on_unseen_paragraphs(spark, sf_dir):
 def test_license_scan_against_one_line_at_a_time(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
     model = license_scan.train(docs)
-    rng, prose = np.random.default_rng(3), [x for r in docs.limit(40).collect() for x in (r["text"] or "").split("\n")[:3]]
+    rng, prose = np.random.default_rng(3), sorted({x for r in docs.collect() for x in (r["text"] or "").split("\n")[:3]})
+    apart = f"{PROSE} {PROSE}"  # notices so far apart are not taken for one that is wrapped
     notices = [v for f in license_scan.TEMPLATES.values() for t in f for v in license_scan._variants(t, rng, 2)] + [t for f in license_scan.TITLES.values() for t in f]
-    texts = ["\n".join(x for i in range(int(rng.integers(0, 6))) for x in (prose[rng.integers(len(prose))], notices[rng.integers(len(notices))] if rng.random() < 0.3 else "", "the end of it all.")) for _ in range(60)]
+    texts = ["\n".join(x for i in range(int(rng.integers(0, 6))) for x in (prose[rng.integers(len(prose))], apart, notices[rng.integers(len(notices))] if rng.random() < 0.4 else "", apart)) for _ in range(60)]
     templates = {f: [license_scan._shingles(t) for t in license_scan.TEMPLATES[f]] for f in model.families[:-1]}
     got = license_scan._scan(model, templates, [t.encode() for t in texts])
     for text, (n, licenses, at, score) in zip(texts, got, strict=True):
