@@ -190,6 +190,22 @@ def test_line_rules_by_language(spark, lang):
     assert r["cleaned_text"].split("\n") == [good, good.replace(",", " (sic),"), good[::-1] + "."] and r["n_lines"] == len(junk) + 3
 
 
+PHRASES = """Lorem ipsum dolor.|JavaScript is off.|Enable cookies now.|Our use of cookies.|Cookie Policy.|The privacy policy.|Terms of use.|Terms of Service.|All rights reserved.|Click here.|Subscribe to it.|Sign up for it.|Follow us.|Skip to content.|Skip to main content.|Powered by it.|
+Utiliser des cookies.|Accepter les cookies.|Politique de confidentialité.|Conditions d'utilisation.|Conditions générales d’utilisation.|Mentions légales.|Tous droits réservés.|Cliquez ici.|Abonnez-vous.|Inscrivez-vous à la lettre.|Suivez-nous.|Aller au contenu.|Propulsé par eux.|
+Wir verwenden Cookies.|Sie verwendet Cookies.|Cookies akzeptieren.|Cookies zulassen.|Cookie-Richtlinie.|DatenschutzerklÄrung.|Nutzungsbedingungen.|Allgemeine Geschäftsbedingungen.|Alle Rechte vorbehalten.|Klicken Sie hier.|Bitte hier klicken.|Abonnieren Sie uns.|Melden Sie sich an.|Folgen Sie uns.|Zum Inhalt springen.|Bereitgestellt von uns.|
+El uso de cookies.|Utilizamos cookies.|Usamos cookies.|Aceptar las cookies.|Política de privacidad.|POLÍTICA DE COOKIES.|Términos de uso.|Términos y condiciones.|Términos del servicio.|Aviso legal.|Todos los derechos reservados.|Haga clic aquí.|Haz clic aquí.|Suscríbete.|Suscríbase.|Síguenos.|Síganos.|Saltar al contenido.|Ir al contenido.|Con la tecnología de ellos."""
+
+
+def test_every_phrase_passes_the_search_that_comes_first(spark):
+    from tidelog.llm.quality_rules import BOILERPLATE, STEMS
+
+    phrases = [p.strip() for p in PHRASES.split("|")]
+    assert all(any(x in p.lower() for x in STEMS) for p in phrases) and len(phrases) > 60
+    rows = spark.createDataFrame([(i, f"{p}\n{PROSE}\nUnd {p.lower()}") for i, p in enumerate(phrases)], "doc_id bigint, text string")
+    got = quality_rules(rows).select("text", "cleaned_text", F.col("text").rlike(BOILERPLATE).alias("hit")).collect()
+    assert [r["text"] for r in got if not r["hit"] or r["cleaned_text"] != PROSE] == []
+
+
 # language ID
 
 EN, DE = "the quick dog ran over the hill and then went home with the others", "der schnelle Hund lief über den Hügel und ging dann mit den anderen nach Hause"

@@ -17,6 +17,8 @@ alike. Columns named like an added one are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,15 @@ BOILERPLATE_PHRASES = {
 #: Structure that needs no words: entries between separators, and a line of links.
 SEPARATED = "[^ ] ?[|»«›•>·→] [^\n]*[^ ] ?[|»«›•>·→] "
 LINKS = "(https?://|www[.])[^ ]+ [^\n]*(https?://|www[.])[^ ]+ [^\n]*(https?://|www[.])"
-NAVIGATION = f"{SEPARATED}|{LINKS}|(?i:^({'|'.join(NAVIGATION_WORDS.values())})[^a-z0-9]*\\z)"
+WHOLE_LINE = f"(?i:^({'|'.join(NAVIGATION_WORDS.values())})[^a-z0-9]*\\z)"
+NAVIGATION = f"{SEPARATED}|{LINKS}|{WHOLE_LINE}"
 BOILERPLATE = f"(?i)({'|'.join(BOILERPLATE_PHRASES.values())})"
+#: Every phrase of boilerplate holds one of these, which are looked for first: a plain search costs far less than the alternatives.
+STEMS = (
+    "ipsum", "javascript", "cookie", "privacy", "terms of", "rights reserved", "click here", "subscribe to", "sign up", "follow us", "skip to", "powered by", "politique de", "utilisation", "mentions l", "tous droits", "cliquez ici", "abonnez-vous",
+    "inscrivez-vous", "suivez-nous", "aller au contenu", "propuls", "datenschutzerkl", "nutzungsbedingungen", "allgemeine gesch", "alle rechte", "klicken", "abonnieren sie", "melden sie sich", "folgen sie uns", "zum inhalt", "bereitgestellt von",
+    "tica de", "rminos ", "aviso legal", "todos los derechos", "clic aqu", "suscr", "guenos", "ganos", "al contenido", "con la tecnolog",
+)
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_kept_lines", "kept_share", "base_failed", "kept"]
 
 
@@ -74,7 +83,11 @@ def _passes(stripped: Column, n: Column) -> Column:
     capitals = F.char_length(F.regexp_replace(stripped, "[^\\p{Lu}]+", ""))
     small = F.char_length(F.regexp_replace(stripped, "[^\\p{Ll}]+", ""))
     ended = stripped.rlike(END_MARKS) | ((n >= 12) & stripped.rlike("[.!?] "))
-    return ended & (noise * 4 <= n) & ((n < 4) | (capitals <= small)) & ~stripped.rlike(NAVIGATION) & ~stripped.rlike(BOILERPLATE)
+    # each of these is the pattern behind a cheap condition that it implies
+    separated = stripped.rlike("[|»«›•>·→]") & stripped.rlike(SEPARATED)
+    links = (stripped.contains("http") | stripped.contains("www.")) & stripped.rlike(LINKS)
+    phrase = let(F.lower(stripped), lambda low: reduce(Column.__or__, [low.contains(x) for x in STEMS])) & stripped.rlike(BOILERPLATE)
+    return ended & (noise * 4 <= n) & ((n < 4) | (capitals <= small)) & ~separated & ~links & ~stripped.rlike(WHOLE_LINE) & ~phrase
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
