@@ -174,9 +174,11 @@ class Examples:
             z[self.line[first]] = np.add.reduceat(w[self.col] * self.value[:, None], first, axis=0)
         return z + b
 
-    def gradient(self, g: np.ndarray, n: int) -> np.ndarray:
-        by = g[self.line] * self.value[:, None]
-        return np.stack([np.bincount(self.col, weights=by[:, k], minlength=n) for k in range(g.shape[1])], axis=1).astype(np.float32)
+    def dense(self, n: int) -> np.ndarray:
+        """As a matrix: the samples are bounded, and so are the columns (2**BITS)."""
+        x = np.zeros((len(self.y), n), np.float32)
+        np.add.at(x, (self.line, self.col), self.value)
+        return x
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -204,9 +206,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     w, b = np.zeros((len(used), len(families)), np.float32), np.zeros(len(families), np.float32)
     rate, weight = 2.0, 1.0 / np.maximum(y.sum(axis=0), 1)
     weight = (y @ weight)[:, None] / len(families)
+    matrix = x.dense(len(used))
     for _ in range(150):
-        g = (softmax(x.logits(w, b)) - y) * weight
-        w -= rate * 10 * (x.gradient(g, len(used)) + 1e-5 * w)
+        g = (softmax(matrix @ w + b) - y) * weight
+        w -= rate * 10 * (matrix.T @ g + 1e-5 * w)
         b -= rate * g.sum(axis=0)
     unseen, _ = Examples.of(samples[cut:], used)
     z = unseen.logits(w, b)
