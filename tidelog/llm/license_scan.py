@@ -195,8 +195,8 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     drawn = docs.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(text_col)), F.lit(1_000_003)) < (min(1.0, sample_docs / max(n, 1)) * 1_000_003))
     lines = drawn.select(F.explode_outer(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("p")).select(F.substring("p", 1, SAMPLE_CHARS).alias("p")).filter("length(p) >= 3").distinct()
     lines = lines.orderBy(F.xxhash64("p"), "p").limit(sample_paragraphs)
-    shingled = {f: [_shingles(t) for t in TEMPLATES[f]] for f in families[:-1]}
-    other = [r[0] for r in lines.collect() if _title(r[0]) is None and not any(_confirmed(r[0], shingled[f], piece=True) for f in shingled)]
+    shingled = [_shingles(t) for f in families[:-1] for t in TEMPLATES[f]]
+    other = [r[0] for r in lines.collect() if _title(r[0]) is None and not _confirmed(r[0], shingled, piece=True)]
     other += ["the use of this work is described in the text of the agreement", "this file is part of the program", "version 3 of the software was released", "free to use", "terms and conditions of the service"]
     samples = [(v, k) for k, f in enumerate(families[:-1]) for t in templates[f] for v in _variants(t, rng, 40)] + [(p, len(families) - 1) for p in other]
     samples = [samples[i] for i in rng.permutation(len(samples))]
